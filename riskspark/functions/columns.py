@@ -37,8 +37,7 @@ def float_or(c: Column, default: float = 0.0) -> Column:
 
 
 def text_or(c: Column, default: str = "N/A") -> Column:
-    cleaned = strip(c.cast("string"))
-    return F.when(cleaned.isNull() | (cleaned == ""), F.lit(default)).otherwise(cleaned)
+    return F.coalesce(F.nullif(strip(c.cast("string")), F.lit("")), F.lit(default))
 
 
 def one_of(c: Column, domain: list[str], default: str) -> Column:
@@ -54,6 +53,16 @@ def parse_time(c: Column) -> Column:
     )
 
 
+def as_instant(c: Column) -> Column:
+    """Zone-free time taken as UTC, as the instant that watermarks and windows need."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), c).cast("timestamp")
+
+
+def as_local(c: Column) -> Column:
+    """The zone-free UTC time of an instant."""
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), c.cast("timestamp_ntz"))
+
+
 def iso_time(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
 
@@ -68,6 +77,18 @@ def grouped(c: Column, digits: int) -> Column:
     return F.format_number(c, digits)
 
 
+def exact_round(c: Column, digits: int) -> Column:
+    """Rounds the exact binary value, ties to even; decimal-looking ties such as 2.675 differ
+    from ``round``, which goes by the shortest decimal text."""
+    return fixed(c, digits).try_cast("double")
+
+
+def scaled_round(c: Column, digits: int) -> Column:
+    """Rounds after scaling, ties to even, as array libraries do."""
+    factor = 10.0**digits
+    return F.rint(c * factor) / factor
+
+
 def contains_text(c: Column, needle: str) -> Column:
     """Case-insensitive containment; the needle is taken literally."""
     return F.contains(F.lower(c), F.lit(needle.lower()))

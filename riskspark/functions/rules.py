@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from riskspark.functions.columns import exact_round
+
 
 def shipment_status(delay: Column) -> Column:
     return (
@@ -48,7 +50,7 @@ def percentile_severity(delay: Column, defect: Column, inventory: Column, t: dic
 
 
 def _weighted(delay: Column, stock: Column, defect: Column, cost: Column) -> Column:
-    return F.round((delay * 0.35 + stock * 0.25 + defect * 0.20 + cost * 0.20) * 100, 2)
+    return exact_round((delay * 0.35 + stock * 0.25 + defect * 0.20 + cost * 0.20) * 100, 2)
 
 
 def _cost_part(ratio: Column) -> Column:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from riskspark import schema
 from riskspark.functions import rules
-from riskspark.functions.columns import fixed, grouped, iso_time, parse_time, slug, strip, to_double
+from riskspark.functions.columns import (
+    fixed, grouped, iso_time, parse_time, scaled_round, slug, strip, to_double)
 from riskspark.operators.ordering import number_rows
 from riskspark.operators.quantiles import interpolated, order_statistics
 
@@ -58,7 +59,7 @@ def _number(df: DataFrame, name: str, default: float = 0.0) -> Column:
 
 
 def estimated_delay(lead: Column) -> Column:
-    return F.round(lead - lead * 0.80, 2)
+    return scaled_round(lead - lead * 0.80, 2)
 
 
 def batch_stats(df: DataFrame, recompute: bool = False) -> BatchStats:
@@ -104,7 +105,7 @@ def thresholds(df: DataFrame, stats: BatchStats, columns: dict[str, Column]) ->
     scale = stats.max_defect if stats.max_defect > 1.0 else None
     adjust = {
         "delay": lambda v: max(v, 0.0),
-        "defect": lambda v: round(v / scale, 6) if scale else v,
+        "defect": lambda v: round(v / scale * 1e6) / 1e6 if scale else v,
         "stock": lambda v: v,
     }
     quantiles = {"delay": TAIL_QUANTILES, "defect": TAIL_QUANTILES, "stock": STOCK_QUANTILES}
@@ -121,7 +122,7 @@ def thresholds(df: DataFrame, stats: BatchStats, columns: dict[str, Column]) ->
 
 
 def normalised_defect(c: Column, max_defect: float) -> Column:
-    return F.round(c / max_defect, 6) if max_defect > 1.0 else c
+    return scaled_round(c / max_defect, 6) if max_defect > 1.0 else c
 
 
 def spread_timestamp(row_seq: Column, n: int, as_of: datetime) -> Column:

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskspark.functions import rules
-from riskspark.functions.columns import fixed, float_or, grouped, iso_time, parse_time, text_or
-from riskspark.operators.ordering import top_per_key
+from riskspark.functions.columns import (
+    exact_round, fixed, float_or, grouped, iso_time, parse_time, text_or)
+from riskspark.operators.ordering import number_rows, top_per_key
 
 RECENT_INCIDENTS = 5
 
@@ -45,18 +46,20 @@ def record_severity(df: DataFrame) -> Column:
 
 
 def incident_code(df: DataFrame) -> Column:
-    """The code, or INC- and the 0-based row number where a frame carries ``row_seq``."""
-    given = _str(df, "IncidentCode", "")
-    if "row_seq" in df.columns:
-        number = F.lpad((F.col("row_seq") - 1).cast("string"), 5, "0")
-    else:
-        # without row numbers the content names the row
-        number = F.substring(F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in df.columns
-                                                       if c in _IDENTIFYING]), 256), 1, 8)
-    return F.when(given == "", F.concat(F.lit("INC-"), number)).otherwise(given)
+    return _str(df, "IncidentCode", "")
 
 
-_IDENTIFYING = ["SupplierID", "SupplierName", "WarehouseLocation", "OccurredAt", "Title", "InventoryLevel"]
+def fill_codes(df: DataFrame, order: list[str]) -> DataFrame:
+    """Gives rows without a code INC- and their 0-based row number. Rows are numbered only
+    when some code is missing."""
+    code = incident_code(df)
+    if "IncidentCode" in df.columns and df.filter(code == "").isEmpty():
+        return df
+    numbered = number_rows(df.drop("row_seq"), order)
+    number = (F.col("row_seq") - 1).cast("string")
+    padded = F.when(F.length(number) < 5, F.lpad(number, 5, "0")).otherwise(number)
+    return numbered.withColumn(
+        "IncidentCode", F.when(code == "", F.concat(F.lit("INC-"), padded)).otherwise(code))
 
 
 def occurred(df: DataFrame) -> Column:
@@ -114,11 +117,11 @@ def record_metadata(df: DataFrame) -> dict[str, Column]:
         "incident_category": _str(df, "IncidentCategory", "supplier"),
         "warehouse_location": _str(df, "WarehouseLocation"),
         "shipment_status": _str(df, "ShipmentStatus"),
-        "delivery_delay_days": F.round(delay(df), 2),
-        "transportation_cost": F.round(_num(df, "TransportationCost"), 2),
-        "inventory_level": F.round(stock(df), 2),
-        "demand_forecast": F.round(demand(df), 2),
-        "coverage_ratio": F.round(rules.coverage(stock(df), demand(df)), 4),
+        "delivery_delay_days": exact_round(delay(df), 2),
+        "transportation_cost": exact_round(_num(df, "TransportationCost"), 2),
+        "inventory_level": exact_round(stock(df), 2),
+        "demand_forecast": exact_round(demand(df), 2),
+        "coverage_ratio": exact_round(rules.coverage(stock(df), demand(df)), 4),
         "resolution_status": _str(df, "ResolutionStatus", "open"),
         "incident_code": incident_code(df),
         "occurred_at": iso_time(when),
@@ -248,8 +251,8 @@ def supplier_documents(df: DataFrame, order: list[str]) -> DataFrame:
         "supplier_name": F.col("name"),
         "region": F.col("region"),
         "supplier_category": F.col("category"),
-        "avg_delay_days": F.round("avg_delay", 2),
-        "avg_reliability_score": F.round("avg_reliability", 2),
+        "avg_delay_days": exact_round(F.col("avg_delay"), 2),
+        "avg_reliability_score": exact_round(F.col("avg_reliability"), 2),
         "total_incidents": F.col("total"),
         "critical_incidents": F.col("critical_count"),
         "high_incidents": F.col("high_count"),

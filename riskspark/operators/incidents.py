@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.functions.columns import one_of, text_or
+from riskspark.functions.columns import exact_round, one_of, text_or
 from riskspark.operators import documents as docs
 from riskspark.operators.ordering import first_per_key
 
@@ -24,8 +24,8 @@ def supplier_rows(df: DataFrame, order: list[str]) -> DataFrame:
         "name",
         "region",
         "category",
-        F.round("avg_reliability", 2).alias("reliability_score"),
-        F.round("avg_delay", 2).alias("avg_delay_days"),
+        exact_round(F.col("avg_reliability"), 2).alias("reliability_score"),
+        exact_round(F.col("avg_delay"), 2).alias("avg_delay_days"),
         F.col("total").alias("active_orders"),
         one_of(F.col("risk_level"), SEVERITIES, "low").alias("risk_level"),
     )
@@ -70,11 +70,11 @@ def incident_rows(df: DataFrame, order: list[str]) -> DataFrame:
         ref.alias("supplier_ref"),
         col(first, "WarehouseLocation").alias("warehouse_location"),
         col(first, "ShipmentStatus").alias("shipment_status"),
-        F.round(docs.delay(first), 2).alias("delivery_delay_days"),
-        F.round(num(first, "TransportationCost"), 2).alias("transportation_cost"),
-        F.round(docs.stock(first), 2).alias("inventory_level"),
-        F.round(docs.demand(first), 2).alias("demand_forecast"),
-        F.round(impact, 2).alias("impact_score"),
+        exact_round(docs.delay(first), 2).alias("delivery_delay_days"),
+        exact_round(num(first, "TransportationCost"), 2).alias("transportation_cost"),
+        exact_round(docs.stock(first), 2).alias("inventory_level"),
+        exact_round(docs.demand(first), 2).alias("demand_forecast"),
+        exact_round(impact, 2).alias("impact_score"),
         one_of(col(first, "ResolutionStatus", "open"), RESOLUTIONS, "open").alias("resolution_status"),
         docs.occurred(first).alias("occurred_at"),
     ).withColumn("title", F.when(F.col("title") == "", F.col("incident_code")).otherwise(F.col("title")))

@@ -10,10 +10,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskspark import schema
 from riskspark.functions import rules
-from riskspark.functions.columns import strip
+from riskspark.functions.columns import exact_round, strip
 from riskspark.operators.analytics import at, day_start, newest_sessions, snippet
 from riskspark.operators.incidents import patch
 
@@ -69,6 +70,26 @@ def _last_in_chunk(ts: np.ndarray, ttl: int) -> np.ndarray:
         last = moved
 
 
+def _runs(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by ``keys`` as one frame per key, whatever the batches were."""
+    rest: pd.DataFrame | None = None
+    for pdf in frames:
+        if rest is not None:
+            pdf = pd.concat([rest, pdf], ignore_index=True)
+        if pdf.empty:
+            continue
+        changed = np.zeros(len(pdf), dtype=bool)
+        for k in keys:
+            values = pdf[k].to_numpy()
+            changed[1:] |= values[1:] != values[:-1]
+        starts = np.flatnonzero(changed)
+        for begin, end in zip(np.append(0, starts[:-1]), starts):
+            yield pdf.iloc[begin:end]
+        rest = pdf.iloc[starts[-1]:] if len(starts) else pdf
+    if rest is not None and len(rest):
+        yield rest
+
+
 def mark_repeats(
     df: DataFrame, key: str = "key", ts: str = "ts", ident: str = "event_id",
     ttl_seconds: int = CACHE_SECONDS, chunk_seconds: int = 3600,
@@ -83,58 +104,60 @@ def mark_repeats(
     """
     ttl, size = ttl_seconds * _MICROS, max(chunk_seconds, ttl_seconds) * _MICROS
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    rows = df.select(
-        F.col(key).alias("key"), F.col(ident).alias("ident"), micros.alias("us"),
-        F.floor(micros / size).alias("chunk"))
-
-    def reduce(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.unique(pdf["us"].to_numpy())
-        start = k[1] * size
-        n = min(len(t), int(np.searchsorted(t, start + ttl)) + 1)
-        leave = t[_last_in_chunk(t, ttl)[:n]]
-        # neighbouring entries with the same exit share one row, named by the later entry
-        keep = np.append(leave[1:] != leave[:-1], True)
-        return pd.DataFrame({"key": k[0], "chunk": k[1], "enter": t[:n][keep], "leave": leave[keep]})
-
-    ktype = df.schema[key].dataType.simpleString()
-    exits = rows.groupBy("key", "chunk").applyInPandas(
-        reduce, f"key {ktype}, chunk bigint, enter bigint, leave bigint")
+    rows = df.withColumns({"_key": F.col(key).cast("string"), "_us": micros, "_chunk": F.floor(micros / size)})
+    group = ["_key", "_chunk"]
+
+    def reduce(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _runs(frames, group):
+            name, chunk = pdf["_key"].iloc[0], int(pdf["_chunk"].iloc[0])
+            t = np.unique(pdf["_us"].to_numpy())
+            n = min(len(t), int(np.searchsorted(t, chunk * size + ttl)) + 1)
+            leave = t[_last_in_chunk(t, ttl)[:n]]
+            # neighbouring entries with the same exit share one row, named by the later entry
+            keep = np.append(leave[1:] != leave[:-1], True)
+            yield pd.DataFrame({"_key": name, "_chunk": chunk, "enter": t[:n][keep], "leave": leave[keep]})
 
     def follow(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # rows arrive sorted by key, chunk, entry; the state is one time per key
-        state = {"key": None, "chunk": None, "last": None, "done": False}
+        name = chunk = last = None
+        done = False
         for pdf in frames:
             out = []
-            for k, c, enter, leave in zip(pdf["key"], pdf["chunk"], pdf["enter"], pdf["leave"]):
-                if k != state["key"]:
-                    state = {"key": k, "chunk": None, "last": None, "done": False}
-                if c != state["chunk"]:
-                    state["chunk"], state["done"] = c, False
-                    out.append((k, c, state["last"]))
-                if not state["done"] and (state["last"] is None or enter >= state["last"] + ttl):
-                    state["last"], state["done"] = leave, True
-            yield pd.DataFrame(out, columns=["key", "chunk", "last"]).astype({"last": "Int64"})
-
+            for k, c, enter, leave in zip(pdf["_key"], pdf["_chunk"], pdf["enter"], pdf["leave"]):
+                if k != name:
+                    name, chunk, last = k, None, None
+                if c != chunk:
+                    chunk, done = c, False
+                    out.append((k, c, last))
+                if not done and (last is None or enter >= last + ttl):
+                    last, done = leave, True
+            yield pd.DataFrame(out, columns=["_key", "_chunk", "_last"]).astype({"_last": "Int64"})
+
+    columns = df.columns
+
+    def mark(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _runs(frames, group):
+            t, hit = pdf["_us"].to_numpy(), np.ones(len(pdf), dtype=bool)
+            last = pdf["_last"].iloc[0]
+            i = 0 if pd.isna(last) else int(np.searchsorted(t, int(last) + ttl))
+            while i < len(t):
+                hit[i] = False
+                i = int(np.searchsorted(t, t[i] + ttl))
+            yield pdf[columns].assign(hit=hit)
+
+    exits = (
+        rows.select(*group, "_us").repartition(*group).sortWithinPartitions(*group, "_us")
+        .mapInPandas(reduce, "_key string, _chunk bigint, enter bigint, leave bigint")
+    )
     entries = (
-        exits.repartition("key")
-        .sortWithinPartitions("key", "chunk", "enter")
-        .mapInPandas(follow, f"key {ktype}, chunk bigint, last bigint")
+        exits.repartition("_key").sortWithinPartitions("_key", "_chunk", "enter")
+        .mapInPandas(follow, "_key string, _chunk bigint, _last bigint")
+    )
+    out = T.StructType([*df.schema.fields, T.StructField("hit", T.BooleanType())])
+    return (
+        rows.join(entries, group).repartition(*group).sortWithinPartitions(*group, "_us", ident)
+        .mapInPandas(mark, out)
     )
-
-    def mark(k: tuple, pdf: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["us", "ident"], kind="stable")
-        t, hit = pdf["us"].to_numpy(), np.ones(len(pdf), dtype=bool)
-        last = entry["last"].iloc[0] if len(entry) else None
-        i = 0 if last is None or pd.isna(last) else int(np.searchsorted(t, int(last) + ttl))
-        while i < len(t):
-            hit[i] = False
-            i = int(np.searchsorted(t, t[i] + ttl))
-        return pd.DataFrame({"ident": pdf["ident"], "hit": hit})
-
-    itype = df.schema[ident].dataType.simpleString()
-    marks = rows.groupBy("key", "chunk").cogroup(entries.groupBy("key", "chunk")).applyInPandas(
-        mark, f"ident {itype}, hit boolean")
-    return df.join(marks.withColumnRenamed("ident", ident), ident)
 
 
 # --- sessions --------------------------------------------------------------------
@@ -313,7 +336,14 @@ def judge(df: DataFrame) -> DataFrame:
     """Adds ``overall`` and ``verdict``; a missing score counts 5, a missing overall is the mean."""
     scores = [F.coalesce(F.col(c), F.lit(5.0)) for c in JUDGE_SCORES]
     overall = F.coalesce(F.col("overall_score"), (scores[0] + scores[1] + scores[2] + scores[3]) / 4)
-    return df.withColumns({"overall": F.round(overall, 2), "verdict": rules.verdict(overall)})
+    return df.withColumns({"overall": exact_round(overall, 2), "verdict": rules.verdict(overall)})
+
+
+def mean_of_decimals(c: Column, digits: int) -> Column:
+    """Mean of numbers with few decimals, added up as integers so that the order of rows
+    cannot move it across a rounding border."""
+    factor = 10.0**digits
+    return F.sum(F.rint(c * factor).cast("bigint")) / (F.count(c) * factor)
 
 
 def session_verdict(judged: DataFrame) -> DataFrame:
@@ -321,7 +351,7 @@ def session_verdict(judged: DataFrame) -> DataFrame:
     seen = lambda v: F.coalesce(F.bool_or(F.coalesce(F.col("verdict"), F.lit("NEEDS_REVISION")) == v), F.lit(False))
     rejected, approved, revise = seen("REJECTED"), seen("APPROVED"), seen("NEEDS_REVISION")
     return judged.groupBy("session_id").agg(
-        F.round(F.avg(F.coalesce("overall", F.lit(5.0))), 2).alias("overall_score"),
+        exact_round(mean_of_decimals(F.coalesce("overall", F.lit(5.0)), 2), 2).alias("overall_score"),
         F.when(rejected, "REJECTED").when(approved & ~revise, "APPROVED").otherwise("NEEDS_REVISION")
         .alias("verdict"),
     )
@@ -336,7 +366,7 @@ def metric_rollup(df: DataFrame) -> DataFrame:
     for m, threshold in schema.METRIC_THRESHOLDS.items():
         passed = passed & F.coalesce(F.col(m) >= threshold, F.lit(True))
     return df.withColumns(
-        {"average_score": F.when(F.size(known) > 0, F.round(total / F.size(known), 4)), "passed": passed})
+        {"average_score": F.when(F.size(known) > 0, exact_round(total / F.size(known), 4)), "passed": passed})
 
 
 def write_back(

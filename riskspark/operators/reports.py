@@ -65,9 +65,9 @@ def supplier_report(df: DataFrame, split: Column) -> DataFrame:
     whole = df.agg(
         _band(F.avg("risk_score")).alias("risk_level"), trend(recent, prior).alias("trend")
     ).select(F.struct("*")).scalar()
-    top = scores.orderBy(F.round("score", 6).desc(), "supplier_id").limit(REPORT_ROWS)
+    top = scores.orderBy(F.round("score", 9).desc(), "supplier_id").limit(REPORT_ROWS)
     return top.select(
-        "supplier_id", "name", F.round("score", 6).alias("risk_score"), "primary_issue",
+        "supplier_id", "name", F.round("score", 9).alias("risk_score"), "primary_issue",
         whole["risk_level"].alias("risk_level"), whole["trend"].alias("trend"))
 
 
@@ -146,9 +146,9 @@ ACTION_LABELS = [("REC-001", "P1", "48 hours"), ("REC-002", "P2", "1 week"), ("R
 def mitigation_queue(df: DataFrame, split: Column) -> DataFrame:
     """Exactly three actions, ranked by the score of their cause: the riskiest supplier, the
     most delayed route and the least covered location."""
-    supplier = supplier_scores(df, split).orderBy(F.round("score", 6).desc(), "supplier_id").limit(1).select(
+    supplier = supplier_scores(df, split).orderBy(F.round("score", 9).desc(), "supplier_id").limit(1).select(
         F.lit("supplier").alias("domain"), F.col("supplier_id").alias("target"),
-        F.round("score", 6).alias("score"), F.lit("Procurement").alias("responsible_team"))
+        F.round("score", 9).alias("score"), F.lit("Procurement").alias("responsible_team"))
     route = congested(df, "route", 1).select(
         F.lit("shipment"), "route", F.round(F.least(F.col("avg_delay_days") / 20.0, F.lit(1.0)) * 100, 6),
         F.lit("Logistics"))

@@ -106,7 +106,7 @@ def with_anomalies(df: DataFrame) -> DataFrame:
             "transportation_cost": F.col("transportation_cost") * F.when(every(103, 2), 10.0).otherwise(1.0),
             "defect_rate": F.col("defect_rate") * F.when(F.col("supplier_id") == "SUP-0003", 5.0).otherwise(1.0),
             "delivery_delay_days": F.when(
-                F.col("row_key") >= floor, F.lit(1000.0)).otherwise(F.col("delivery_delay_days")),
+                F.col("row_key") >= floor, key("l_orderkey") / 1000.0).otherwise(F.col("delivery_delay_days")),
         }
     )
     return changed
