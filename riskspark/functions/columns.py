@@ -10,7 +10,7 @@ DATE_FORMATS = ["M/d/yyyy", "yyyy/M/d", "d-MMM-yyyy", "M/d/yyyy H:mm"]
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\r\v\f"))
 
 
 def normalise_header(c: Column) -> Column:
@@ -69,7 +69,7 @@ def iso_time(c: Column) -> Column:
 
 def fixed(c: Column, digits: int) -> Column:
     """Fixed-point text; exact binary ties go to the even digit."""
-    return F.regexp_replace(F.format_number(c, digits), ",", "")
+    return F.replace(F.format_number(c, digits), F.lit(","), F.lit(""))
 
 
 def grouped(c: Column, digits: int) -> Column:

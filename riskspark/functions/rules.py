@@ -1,117 +1,92 @@
-"""Business rules as column expressions."""
+"""Business rules as SQL expressions.
 
-from __future__ import annotations
+Arguments and results are SQL text, so a rule is one parsed expression however many
+branches it has; use them through ``F.expr``.
+"""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from __future__ import annotations
 
-from riskspark.functions.columns import exact_round
+from riskspark.functions.text import exact_round, num
 
 
-def shipment_status(delay: Column) -> Column:
+def shipment_status(delay: str) -> str:
     return (
-        F.when(delay < 0, "Early")
-        .when(delay == 0, "On-Time")
-        .when(delay <= 3, "In-Transit")
-        .when(delay <= 7, "Delayed")
-        .otherwise("Critical")
+        f"CASE WHEN {delay} < 0 THEN 'Early' WHEN {delay} = 0 THEN 'On-Time' "
+        f"WHEN {delay} <= 3 THEN 'In-Transit' WHEN {delay} <= 7 THEN 'Delayed' ELSE 'Critical' END"
     )
 
 
-def coverage(inventory: Column, demand: Column) -> Column:
-    return F.when(demand > 0, inventory / demand).otherwise(F.lit(1.0))
+def coverage(stock: str, demand: str) -> str:
+    return f"(CASE WHEN {demand} > 0 THEN {stock} / {demand} ELSE 1D END)"
 
 
-def rule_severity(delay: Column, inventory: Column, demand: Column) -> Column:
-    cover = coverage(inventory, demand)
-    return (
-        F.when((delay > 14) | (cover < 0.20), "critical")
-        .when((delay > 7) | (cover < 0.50), "high")
-        .when((delay > 3) | (cover < 0.70), "medium")
-        .otherwise("low")
-    )
+def _levels(critical: str, high: str, medium: str) -> str:
+    return f"CASE WHEN {critical} THEN 'critical' WHEN {high} THEN 'high' WHEN {medium} THEN 'medium' ELSE 'low' END"
 
 
-def percentile_severity(delay: Column, defect: Column, inventory: Column, t: dict[str, float]) -> Column:
+def rule_severity(delay: str, stock: str, demand: str) -> str:
+    cover = coverage(stock, demand)
+    return _levels(
+        f"{delay} > 14 OR {cover} < 0.20D", f"{delay} > 7 OR {cover} < 0.50D", f"{delay} > 3 OR {cover} < 0.70D")
+
+
+def percentile_severity(delay: str, defect: str, stock: str, t: dict[str, float]) -> str:
     """Severity against the distribution of the batch; early deliveries are always low."""
 
-    def beyond(upper: str, lower: str) -> Column:
+    def beyond(upper: str, lower: str) -> str:
         return (
-            (delay > t[f"delay_{upper}"]) | (defect > t[f"defect_{upper}"]) | (inventory < t[f"stock_{lower}"])
+            f"{delay} > {num(t[f'delay_{upper}'])} OR {defect} > {num(t[f'defect_{upper}'])} "
+            f"OR {stock} < {num(t[f'stock_{lower}'])}"
         )
 
-    return (
-        F.when(delay < 0, "low")
-        .when(beyond("p90", "p10"), "critical")
-        .when(beyond("p75", "p25"), "high")
-        .when(beyond("p50", "p50"), "medium")
-        .otherwise("low")
-    )
+    levels = _levels(beyond("p90", "p10"), beyond("p75", "p25"), beyond("p50", "p50"))
+    return f"CASE WHEN {delay} < 0 THEN 'low' ELSE {levels} END"
 
 
-def _weighted(delay: Column, stock: Column, defect: Column, cost: Column) -> Column:
-    return exact_round((delay * 0.35 + stock * 0.25 + defect * 0.20 + cost * 0.20) * 100, 2)
+def _weighted(delay: str, stock: str, defect: str, cost: str) -> str:
+    return exact_round(f"({delay} * 0.35D + {stock} * 0.25D + {defect} * 0.20D + {cost} * 0.20D) * 100", 2)
 
 
-def _cost_part(ratio: Column) -> Column:
-    return F.least(F.greatest(ratio - 1.0, F.lit(0.0)) / 2.0, F.lit(1.0))
+def _cost_part(cost: str, mean_cost: float) -> str:
+    ratio = f"{cost} / {num(mean_cost)}" if mean_cost > 0 else "1D"
+    return f"least(greatest({ratio} - 1D, 0D) / 2D, 1D)"
 
 
 def relative_risk(
-    delay: Column, defect: Column, inventory: Column, cost: Column, t: dict[str, float],
-    mean_cost: float, max_inventory: float,
-) -> Column:
+    delay: str, defect: str, stock: str, cost: str, t: dict[str, float], mean_cost: float, max_stock: float
+) -> str:
     """Score 0-100 relative to the batch: delay, stock, defects, cost."""
-    top_delay = max(t["delay_p90"] * 1.5, 1.0)
-    top_defect = max(t["defect_p90"] * 1.5, 0.001)
-    ratio = cost / mean_cost if mean_cost > 0 else F.lit(1.0)
+    top_delay, top_defect = max(t["delay_p90"] * 1.5, 1.0), max(t["defect_p90"] * 1.5, 0.001)
     return _weighted(
-        F.greatest(F.lit(0.0), F.least(delay / top_delay, F.lit(1.0))),
-        1.0 - F.least(inventory / max(max_inventory, 1.0), F.lit(1.0)),
-        F.least(defect / top_defect, F.lit(1.0)),
-        _cost_part(ratio),
+        f"greatest(0D, least({delay} / {num(top_delay)}, 1D))",
+        f"(1D - least({stock} / {num(max(max_stock, 1.0))}, 1D))",
+        f"least({defect} / {num(top_defect)}, 1D)",
+        _cost_part(cost, mean_cost),
     )
 
 
-def static_status(delay: Column) -> Column:
+def static_status(delay: str) -> str:
     return (
-        F.when(delay > 14, "Critical").when(delay > 7, "Delayed").when(delay > 0, "In-Transit")
-        .otherwise("On-Time")
+        f"CASE WHEN {delay} > 14 THEN 'Critical' WHEN {delay} > 7 THEN 'Delayed' "
+        f"WHEN {delay} > 0 THEN 'In-Transit' ELSE 'On-Time' END"
     )
 
 
-def static_severity(delay: Column, inventory: Column, demand: Column, defect: Column) -> Column:
-    cover = coverage(inventory, demand)
-    return (
-        F.when((defect > 0.10) | (delay > 14) | (cover < 0.20), "critical")
-        .when((defect > 0.05) | (delay > 7) | (cover < 0.50), "high")
-        .when((defect > 0.02) | (delay > 3) | (cover < 0.70), "medium")
-        .otherwise("low")
+def static_severity(delay: str, stock: str, demand: str, defect: str) -> str:
+    cover = coverage(stock, demand)
+    return _levels(
+        f"{defect} > 0.10D OR {delay} > 14 OR {cover} < 0.20D",
+        f"{defect} > 0.05D OR {delay} > 7 OR {cover} < 0.50D",
+        f"{defect} > 0.02D OR {delay} > 3 OR {cover} < 0.70D",
     )
 
 
-def static_risk(
-    delay: Column, inventory: Column, demand: Column, defect: Column, cost: Column, mean_cost: float
-) -> Column:
-    ratio = cost / mean_cost if mean_cost > 0 else F.lit(1.0)
+def static_risk(delay: str, stock: str, demand: str, defect: str, cost: str, mean_cost: float) -> str:
     return _weighted(
-        F.least(delay / 20.0, F.lit(1.0)),
-        F.greatest(F.lit(0.0), 1.0 - coverage(inventory, demand)),
-        F.least(defect / 0.15, F.lit(1.0)),
-        _cost_part(ratio),
-    )
+        f"least({delay} / 20D, 1D)", f"greatest(0D, 1D - {coverage(stock, demand)})",
+        f"least({defect} / 0.15D, 1D)", _cost_part(cost, mean_cost))
 
 
-def supplier_risk(critical: Column, high: Column, mean_delay: Column) -> Column:
-    return (
-        F.when(critical >= 3, "critical")
-        .when((high >= 3) | (mean_delay > 10), "high")
-        .when(mean_delay > 3, "medium")
-        .otherwise("low")
-    )
+def supplier_risk(critical: str, high: str, mean_delay: str) -> str:
+    return _levels(f"{critical} >= 3", f"{high} >= 3 OR {mean_delay} > 10", f"{mean_delay} > 3")
 
-
-def verdict(overall: Column) -> Column:
-    return (
-        F.when(overall >= 7.5, "APPROVED").when(overall >= 5.0, "NEEDS_REVISION").otherwise("REJECTED")
-    )

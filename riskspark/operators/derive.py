@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from riskspark import schema
 from riskspark.functions import rules
-from riskspark.functions.columns import (
-    fixed, grouped, iso_time, parse_time, scaled_round, slug, strip, to_double)
+from riskspark.functions.columns import iso_time, parse_time, scaled_round, slug, strip, to_double
+from riskspark.functions.text import fixed, grouped, num
 from riskspark.operators.ordering import number_rows
 from riskspark.operators.quantiles import interpolated, order_statistics
 
@@ -58,6 +58,10 @@ def _number(df: DataFrame, name: str, default: float = 0.0) -> Column:
     return F.coalesce(F.col(name), F.lit(default)) if _has(df, name) else F.lit(default)
 
 
+def _value(df: DataFrame, name: str, default: float = 0.0) -> str:
+    return f"coalesce({name}, {num(default)})" if _has(df, name) else num(default)
+
+
 def estimated_delay(lead: Column) -> Column:
     return scaled_round(lead - lead * 0.80, 2)
 
@@ -172,22 +176,20 @@ def derive_fields(
     if s.zero_delay and _has(df, "lead_time_days"):
         df = df.withColumn("delivery_delay_days", estimated_delay(F.col("lead_time_days")))
         derived.append("delivery_delay_days")
-    delay, stock = _number(df, "delivery_delay_days"), _number(df, "inventory_level", 100.0)
-    defect, cost = _number(df, "defect_rate"), _number(df, "transportation_cost")
+    delay, stock = _value(df, "delivery_delay_days"), _value(df, "inventory_level", 100.0)
+    defect, cost = _value(df, "defect_rate"), _value(df, "transportation_cost")
+    added = {"severity": F.lit("low"), "risk_score": F.lit(0.0)}
+    if s.n:
+        added = {
+            "severity": F.expr(rules.percentile_severity(delay, defect, stock, s.thresholds)),
+            "risk_score": F.expr(
+                rules.relative_risk(delay, defect, stock, cost, s.thresholds, s.mean_cost, s.max_inventory)),
+        }
     if s.blank["shipment_status"]:
-        status = rules.shipment_status(delay) if _has(df, "delivery_delay_days") else F.lit("On-Time")
-        df = df.withColumn("shipment_status", status)
+        status = rules.shipment_status(delay) if _has(df, "delivery_delay_days") else "'On-Time'"
+        added["shipment_status"] = F.expr(status)
         derived.append("shipment_status")
-    if s.n:
-        df = df.withColumns(
-            {
-                "severity": rules.percentile_severity(delay, defect, stock, s.thresholds),
-                "risk_score": rules.relative_risk(
-                    delay, defect, stock, cost, s.thresholds, s.mean_cost, s.max_inventory),
-            }
-        )
-    else:
-        df = df.withColumns({"severity": F.lit("low"), "risk_score": F.lit(0.0)})
+    df = df.withColumns(added)
     derived += ["severity", "risk_score"]
     if s.blank["timestamp"]:
         df = df.withColumn("timestamp", spread_timestamp(F.col("row_seq"), s.n, as_of))
@@ -235,90 +237,64 @@ def field_audit(df: DataFrame) -> DataFrame:
 # --- pipeline format -------------------------------------------------------------
 
 
-def _or_zero(c: Column) -> Column:
-    return F.coalesce(c, F.lit(0.0))
+class _Texts:
+    """SQL texts of the values a pipeline row is described with."""
 
+    def __init__(self, df: DataFrame):
+        self.df = df
+        self.defect, self.stock = _value(df, "DefectRate"), _value(df, "InventoryLevel")
+        self.delay, self.lead = _value(df, "DeliveryDelayDays"), _value(df, "LeadTimeDays")
+        self.cost = _value(df, "TransportationCost")
+        # a demand of 0 counts as 1 in the texts and triggers
+        self.demand = f"coalesce(nullif({_value(df, 'DemandForecast')}, 0D), 1D)"
+        self.cover = rules.coverage(self.stock, self.demand)
+        self.bad = f"({self.defect} > 0.05D OR contains(lower({self.text('InspectionStatus')}), 'fail'))"
 
-def _demand(df: DataFrame) -> Column:
-    # a demand of 0 counts as 1 in the texts and triggers below
-    demand = _number(df, "DemandForecast")
-    return F.when(demand == 0, F.lit(1.0)).otherwise(demand)
+    def text(self, name: str) -> str:
+        return f"coalesce(CAST({name} AS STRING), '')" if _has(self.df, name) else "''"
 
 
-def _text(df: DataFrame, name: str) -> Column:
-    return F.coalesce(F.col(name).cast("string"), F.lit("")) if _has(df, name) else F.lit("")
-
-
-def _inspection_failed(df: DataFrame) -> Column:
-    return F.contains(F.lower(_text(df, "InspectionStatus")), F.lit("fail"))
-
-
-def primary_reason(df: DataFrame) -> Column:
-    defect, stock = _or_zero(_number(df, "DefectRate")), _or_zero(_number(df, "InventoryLevel"))
-    delay, lead = _or_zero(_number(df, "DeliveryDelayDays")), _or_zero(_number(df, "LeadTimeDays"))
-    demand = _demand(df)
-    cover = rules.coverage(stock, demand)
-    return (
-        F.when(
-            (defect > 0.05) | _inspection_failed(df),
-            F.concat(F.lit("Defect rate "), fixed(defect * 100, 1), F.lit("% critical")),
-        )
-        .when(cover < 0.3, F.concat(F.lit("Stock level "), fixed(stock, 0), F.lit(" units, stockout imminent")))
-        .when(delay > 7, F.concat(F.lit("Delivery delay "), fixed(delay, 0), F.lit(" days, critical")))
-        .when(lead > 20, F.concat(F.lit("Lead time "), fixed(lead, 0), F.lit(" days, severe delay")))
-        .when(delay > 3, F.concat(F.lit("Delivery delay "), fixed(delay, 0), F.lit(" days")))
-        .when(
-            cover < 0.5,
-            F.concat(F.lit("Low stock "), fixed(stock, 0), F.lit("/"), fixed(demand, 0), F.lit(" units")),
-        )
-        .otherwise("Supply chain risk detected")
-    )
+def primary_reason(t: _Texts) -> str:
+    return f"""CASE
+      WHEN {t.bad} THEN concat('Defect rate ', {fixed(f'{t.defect} * 100', 1)}, '% critical')
+      WHEN {t.cover} < 0.3D THEN concat('Stock level ', {fixed(t.stock, 0)}, ' units, stockout imminent')
+      WHEN {t.delay} > 7 THEN concat('Delivery delay ', {fixed(t.delay, 0)}, ' days, critical')
+      WHEN {t.lead} > 20 THEN concat('Lead time ', {fixed(t.lead, 0)}, ' days, severe delay')
+      WHEN {t.delay} > 3 THEN concat('Delivery delay ', {fixed(t.delay, 0)}, ' days')
+      WHEN {t.cover} < 0.5D THEN concat('Low stock ', {fixed(t.stock, 0)}, '/', {fixed(t.demand, 0)}, ' units')
+      ELSE 'Supply chain risk detected' END"""
 
 
 def title(df: DataFrame) -> Column:
-    place, name = _text(df, "WarehouseLocation"), _text(df, "SupplierName")
-    ident = _text(df, "SupplierID")
-    who = F.when(name != "", name).when(ident != "", ident).otherwise("Unknown")
-    where = F.when((place != "") & (place != "N/A"), F.concat(F.lit(", "), place)).otherwise("")
-    code = F.coalesce(F.col("IncidentCode"), F.lit("SKU?")) if _has(df, "IncidentCode") else F.lit("SKU?")
-    return F.concat(code, F.lit(": "), primary_reason(df), F.lit(" — "), who, where)
+    t = _Texts(df)
+    code = "coalesce(IncidentCode, 'SKU?')" if _has(df, "IncidentCode") else "'SKU?'"
+    who = f"coalesce(nullif({t.text('SupplierName')}, ''), nullif({t.text('SupplierID')}, ''), 'Unknown')"
+    place = t.text("WarehouseLocation")
+    where = f"CASE WHEN {place} IN ('', 'N/A') THEN '' ELSE concat(', ', {place}) END"
+    return F.expr(f"concat({code}, ': ', {primary_reason(t)}, ' — ', {who}, {where})")
 
 
 def description(df: DataFrame) -> Column:
-    defect, stock = _or_zero(_number(df, "DefectRate")), _or_zero(_number(df, "InventoryLevel"))
-    delay, lead = _or_zero(_number(df, "DeliveryDelayDays")), _or_zero(_number(df, "LeadTimeDays"))
-    cost, demand = _or_zero(_number(df, "TransportationCost")), _demand(df)
-    text = F.concat_ws(
-        " ",
-        F.when(defect > 0, F.concat(F.lit("Defect rate: "), fixed(defect * 100, 2), F.lit("%."))),
-        F.when(
-            demand > 0,
-            F.concat(
-                F.lit("Stock: "), fixed(stock, 0), F.lit(" units vs "), fixed(demand, 0),
-                F.lit(" forecast (ratio: "), fixed(stock / demand, 2), F.lit(")."),
-            ),
-        ),
-        F.when(delay < 0, F.concat(F.lit("Early delivery: "), fixed(F.abs(delay), 1), F.lit(" days ahead.")))
-        .when(delay > 0, F.concat(F.lit("Delay: "), fixed(delay, 1), F.lit(" days."))),
-        F.when(lead > 0, F.concat(F.lit("Lead time: "), fixed(lead, 0), F.lit(" days."))),
-        F.when(cost > 0, F.concat(F.lit("Transport cost: $"), grouped(cost, 0), F.lit("."))),
-    )
-    return F.when(text == "", "Automated ETL record.").otherwise(text)
+    t = _Texts(df)
+    ratio = f"{t.stock} / {t.demand}"
+    return F.expr(f"""coalesce(nullif(concat_ws(' ',
+      CASE WHEN {t.defect} > 0 THEN concat('Defect rate: ', {fixed(f'{t.defect} * 100', 2)}, '%.') END,
+      CASE WHEN {t.demand} > 0 THEN concat('Stock: ', {fixed(t.stock, 0)}, ' units vs ', {fixed(t.demand, 0)},
+        ' forecast (ratio: ', {fixed(ratio, 2)}, ').') END,
+      CASE WHEN {t.delay} < 0 THEN concat('Early delivery: ', {fixed(f'abs({t.delay})', 1)}, ' days ahead.')
+        WHEN {t.delay} > 0 THEN concat('Delay: ', {fixed(t.delay, 1)}, ' days.') END,
+      CASE WHEN {t.lead} > 0 THEN concat('Lead time: ', {fixed(t.lead, 0)}, ' days.') END,
+      CASE WHEN {t.cost} > 0 THEN concat('Transport cost: $', {grouped(t.cost, 0)}, '.') END), ''),
+      'Automated ETL record.')""")
 
 
 def incident_category(df: DataFrame) -> Column:
     """The trigger that fired; two or more make it a supplier incident."""
-    stock, demand = _or_zero(_number(df, "InventoryLevel")), _demand(df)
-    quality = (_or_zero(_number(df, "DefectRate")) > 0.05) | _inspection_failed(df)
-    low_stock = rules.coverage(stock, demand) < 0.5
-    late = _or_zero(_number(df, "DeliveryDelayDays")) > 5
-    fired = quality.cast("int") + low_stock.cast("int") + late.cast("int")
-    return (
-        F.when((fired >= 2) | quality, "supplier")
-        .when(low_stock, "inventory")
-        .when(late, "shipment")
-        .otherwise("supplier")
-    )
+    t = _Texts(df)
+    low, late = f"({t.cover} < 0.5D)", f"({t.delay} > 5)"
+    return F.expr(f"""CASE
+      WHEN {t.bad} OR ({low} AND {late}) THEN 'supplier'
+      WHEN {low} THEN 'inventory' WHEN {late} THEN 'shipment' ELSE 'supplier' END""")
 
 
 def to_pipeline(df: DataFrame) -> DataFrame:

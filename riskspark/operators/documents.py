@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskspark.functions import rules
-from riskspark.functions.columns import (
-    exact_round, fixed, float_or, grouped, iso_time, parse_time, text_or)
+from riskspark.functions.columns import iso_time, parse_time
+from riskspark.functions.text import exact_round, fixed, float_or, grouped, join_lines, num, quoted, text_or
 from riskspark.operators.ordering import number_rows, top_per_key
 
 RECENT_INCIDENTS = 5
@@ -21,38 +21,39 @@ RISK_LABELS = {
 }
 
 
-def _num(df: DataFrame, name: str, default: float = 0.0) -> Column:
-    return float_or(F.col(name), default) if name in df.columns else F.lit(default)
+class Record:
+    """SQL texts of the values of a pipeline row, missing ones replaced by their defaults."""
 
+    def __init__(self, df: DataFrame):
+        self.columns = set(df.columns)
+        self.delay = self.number("DeliveryDelayDays")
+        self.stock = self.number("InventoryLevel", 100.0)
+        self.demand = self.number("DemandForecast", 100.0)
+        self.cover = rules.coverage(self.stock, self.demand)
+        self.severity = rules.rule_severity(self.delay, self.stock, self.demand)
+        self.code = self.text("IncidentCode", "")
+        self.supplier = self.text("SupplierID")
 
-def _str(df: DataFrame, name: str, default: str = "N/A") -> Column:
-    return text_or(F.col(name), default) if name in df.columns else F.lit(default)
+    def number(self, name: str, default: float = 0.0) -> str:
+        return float_or(name, default) if name in self.columns else num(default)
 
+    def text(self, name: str, default: str = "N/A") -> str:
+        return text_or(name, default) if name in self.columns else quoted(default)
 
-def delay(df: DataFrame) -> Column:
-    return _num(df, "DeliveryDelayDays")
+    @property
+    def chunk_id(self) -> str:
+        return f"concat('record_', {self.code}, '_', {self.supplier})"
 
-
-def stock(df: DataFrame) -> Column:
-    return _num(df, "InventoryLevel", 100.0)
-
-
-def demand(df: DataFrame) -> Column:
-    return _num(df, "DemandForecast", 100.0)
-
-
-def record_severity(df: DataFrame) -> Column:
-    return rules.rule_severity(delay(df), stock(df), demand(df))
-
-
-def incident_code(df: DataFrame) -> Column:
-    return _str(df, "IncidentCode", "")
+    def occurred(self) -> Column:
+        if "OccurredAt" not in self.columns:
+            return F.lit(None).cast("timestamp_ntz")
+        return parse_time(F.col("OccurredAt").cast("string"))
 
 
 def fill_codes(df: DataFrame, order: list[str]) -> DataFrame:
     """Gives rows without a code INC- and their 0-based row number. Rows are numbered only
     when some code is missing."""
-    code = incident_code(df)
+    code = F.expr(Record(df).code)
     if "IncidentCode" in df.columns and df.filter(code == "").isEmpty():
         return df
     numbered = number_rows(df.drop("row_seq"), order)
@@ -62,94 +63,34 @@ def fill_codes(df: DataFrame, order: list[str]) -> DataFrame:
         "IncidentCode", F.when(code == "", F.concat(F.lit("INC-"), padded)).otherwise(code))
 
 
-def occurred(df: DataFrame) -> Column:
-    return parse_time(F.col("OccurredAt").cast("string")) if "OccurredAt" in df.columns else F.lit(None).cast(
-        "timestamp_ntz")
-
-
-def record_text(df: DataFrame) -> Column:
-    cover = rules.coverage(stock(df), demand(df))
-    status = F.when(cover < 0.5, "STOCKOUT RISK").otherwise("ADEQUATE")
-    lines = [
-        ["SUPPLY CHAIN INCIDENT REPORT"],
-        ["Incident Code: ", incident_code(df)],
-        ["Supplier: ", _str(df, "SupplierName"), " (ID: ", _str(df, "SupplierID"), ")"],
-        ["Region: ", _str(df, "Region"), " | Category: ", _str(df, "SupplierCategory")],
-        ["Reliability Score: ", fixed(_num(df, "ReliabilityScore"), 1), "/100"],
-        [""],
-        ["Logistics:"],
-        ["  Warehouse Location: ", _str(df, "WarehouseLocation")],
-        ["  Shipment Status: ", _str(df, "ShipmentStatus")],
-        ["  Delivery Delay: ", fixed(delay(df), 1), " days"],
-        ["  Transportation Cost: $", grouped(_num(df, "TransportationCost"), 2)],
-        [""],
-        ["Inventory:"],
-        ["  Current Level: ", fixed(stock(df), 0), " units"],
-        ["  Demand Forecast: ", fixed(demand(df), 0), " units"],
-        ["  Coverage Ratio: ", fixed(cover, 2), " (", status, ")"],
-        [""],
-        ["Incident:"],
-        ["  Title: ", _str(df, "Title")],
-        ["  Description: ", _str(df, "Description")],
-        ["  Severity: ", F.upper(record_severity(df))],
-        ["  Category: ", _str(df, "IncidentCategory")],
-        ["  Date: ", _str(df, "OccurredAt")],
-        ["  Resolution: ", _str(df, "ResolutionStatus", "open")],
-    ]
-    return _lines(lines)
-
-
-def _lines(lines: list[list]) -> Column:
-    parts = []
-    for line in lines:
-        parts += [F.lit(p) if isinstance(p, str) else p for p in line] + [F.lit("\n")]
-    return F.concat(*parts)
-
-
-def record_metadata(df: DataFrame) -> dict[str, Column]:
-    when = occurred(df)
-    return {
-        "supplier_id": _str(df, "SupplierID"),
-        "supplier_name": _str(df, "SupplierName"),
-        "region": _str(df, "Region"),
-        "supplier_category": _str(df, "SupplierCategory"),
-        "severity": record_severity(df),
-        "incident_category": _str(df, "IncidentCategory", "supplier"),
-        "warehouse_location": _str(df, "WarehouseLocation"),
-        "shipment_status": _str(df, "ShipmentStatus"),
-        "delivery_delay_days": exact_round(delay(df), 2),
-        "transportation_cost": exact_round(_num(df, "TransportationCost"), 2),
-        "inventory_level": exact_round(stock(df), 2),
-        "demand_forecast": exact_round(demand(df), 2),
-        "coverage_ratio": exact_round(rules.coverage(stock(df), demand(df)), 4),
-        "resolution_status": _str(df, "ResolutionStatus", "open"),
-        "incident_code": incident_code(df),
-        "occurred_at": iso_time(when),
-        "year": F.year(when),
-        "month": F.month(when),
-    }
-
-
-# Summary-only metadata; null on records.
-_SUMMARY_FIELDS = {
-    "avg_delay_days": "double",
-    "avg_reliability_score": "double",
-    "total_incidents": "long",
-    "critical_incidents": "long",
-    "high_incidents": "long",
-}
-
-
-def _chunk(df: DataFrame, chunk_id: Column, text: Column, metadata: dict[str, Column], kind: str) -> DataFrame:
-    full = {**metadata, "chunk_type": F.lit(kind)}
-    return df.select(
-        chunk_id.alias("chunk_id"),
-        text.alias("text"),
-        F.struct(*[full.get(n, F.lit(None).cast(t)).cast(t).alias(n) for n, t in METADATA_TYPES.items()]).alias(
-            "metadata"),
-        metadata["supplier_id"].alias("supplier_ref"),
-        F.lit(kind).alias("chunk_type"),
-    )
+def record_text(r: Record) -> Column:
+    status = f"CASE WHEN {r.cover} < 0.5D THEN 'STOCKOUT RISK' ELSE 'ADEQUATE' END"
+    return F.expr(join_lines(
+        "=SUPPLY CHAIN INCIDENT REPORT",
+        ["=Incident Code: ", r.code],
+        ["=Supplier: ", r.text("SupplierName"), "= (ID: ", r.supplier, "=)"],
+        ["=Region: ", r.text("Region"), "= | Category: ", r.text("SupplierCategory")],
+        ["=Reliability Score: ", fixed(r.number("ReliabilityScore"), 1), "=/100"],
+        "=",
+        "=Logistics:",
+        ["=  Warehouse Location: ", r.text("WarehouseLocation")],
+        ["=  Shipment Status: ", r.text("ShipmentStatus")],
+        ["=  Delivery Delay: ", fixed(r.delay, 1), "= days"],
+        ["=  Transportation Cost: $", grouped(r.number("TransportationCost"), 2)],
+        "=",
+        "=Inventory:",
+        ["=  Current Level: ", fixed(r.stock, 0), "= units"],
+        ["=  Demand Forecast: ", fixed(r.demand, 0), "= units"],
+        ["=  Coverage Ratio: ", fixed(r.cover, 2), "= (", status, "=)"],
+        "=",
+        "=Incident:",
+        ["=  Title: ", r.text("Title")],
+        ["=  Description: ", r.text("Description")],
+        ["=  Severity: ", f"upper({r.severity})"],
+        ["=  Category: ", r.text("IncidentCategory")],
+        ["=  Date: ", r.text("OccurredAt")],
+        ["=  Resolution: ", r.text("ResolutionStatus", "open")],
+    ))
 
 
 METADATA_TYPES = {
@@ -163,15 +104,56 @@ METADATA_TYPES = {
     "occurred_at": "string",
     "year": "int",
     "month": "int",
-    **_SUMMARY_FIELDS,
+    # only on summaries
+    "avg_delay_days": "double",
+    "avg_reliability_score": "double",
+    "total_incidents": "bigint",
+    "critical_incidents": "bigint",
+    "high_incidents": "bigint",
     "chunk_type": "string",
 }
 
 
+def _chunk(df: DataFrame, kind: str, chunk_id: str, text: Column, metadata: dict[str, str | Column]) -> DataFrame:
+    full = {**metadata, "chunk_type": quoted(kind)}
+    fields = []
+    for name, kind_ in METADATA_TYPES.items():
+        value = full.get(name, "NULL")
+        value = F.expr(f"CAST({value} AS {kind_})") if isinstance(value, str) else value.cast(kind_)
+        fields.append(value.alias(name))
+    return df.select(
+        F.expr(chunk_id).alias("chunk_id"),
+        text.alias("text"),
+        F.struct(*fields).alias("metadata"),
+        F.expr(metadata["supplier_id"]).alias("supplier_ref"),
+        F.lit(kind).alias("chunk_type"),
+    )
+
+
 def record_documents(df: DataFrame) -> DataFrame:
-    meta = record_metadata(df)
-    chunk_id = F.concat(F.lit("record_"), meta["incident_code"], F.lit("_"), meta["supplier_id"])
-    return _chunk(df, chunk_id, record_text(df), meta, "record")
+    r = Record(df)
+    when = r.occurred()
+    metadata = {
+        "supplier_id": r.supplier,
+        "supplier_name": r.text("SupplierName"),
+        "region": r.text("Region"),
+        "supplier_category": r.text("SupplierCategory"),
+        "severity": r.severity,
+        "incident_category": r.text("IncidentCategory", "supplier"),
+        "warehouse_location": r.text("WarehouseLocation"),
+        "shipment_status": r.text("ShipmentStatus"),
+        "delivery_delay_days": exact_round(r.delay, 2),
+        "transportation_cost": exact_round(r.number("TransportationCost"), 2),
+        "inventory_level": exact_round(r.stock, 2),
+        "demand_forecast": exact_round(r.demand, 2),
+        "coverage_ratio": exact_round(r.cover, 4),
+        "resolution_status": r.text("ResolutionStatus", "open"),
+        "incident_code": r.code,
+        "occurred_at": iso_time(when),
+        "year": F.year(when),
+        "month": F.month(when),
+    }
+    return _chunk(df, "record", r.chunk_id, record_text(r), metadata)
 
 
 def supplier_stats(df: DataFrame, order: list[str]) -> DataFrame:
@@ -180,86 +162,74 @@ def supplier_stats(df: DataFrame, order: list[str]) -> DataFrame:
     Only map-side combinable aggregates, so a supplier that holds most rows is reduced
     in every task before the shuffle. Rows without a supplier have no summary.
     """
-    sev = record_severity(df)
-    first = F.min_by(
-        F.struct(
-            _str(df, "SupplierName").alias("name"),
-            _str(df, "Region").alias("region"),
-            _str(df, "SupplierCategory").alias("category"),
-        ),
-        F.struct(*order),
+    r = Record(df)
+    first = (
+        f"struct({r.text('SupplierName')} AS name, {r.text('Region')} AS region, "
+        f"{r.text('SupplierCategory')} AS category)"
     )
-    stats = df.filter(F.col("SupplierID").isNotNull()).groupBy("SupplierID").agg(
-        first.alias("first"),
-        F.avg(delay(df)).alias("avg_delay"),
-        F.avg(_num(df, "ReliabilityScore")).alias("avg_reliability"),
-        F.count_if(sev == "critical").alias("critical_count"),
-        F.count_if(sev == "high").alias("high_count"),
+    stats = df.filter("SupplierID IS NOT NULL").groupBy("SupplierID").agg(
+        F.expr(f"min_by({first}, struct({', '.join(order)}))").alias("first"),
+        F.expr(f"avg({r.delay})").alias("avg_delay"),
+        F.expr(f"avg({r.number('ReliabilityScore')})").alias("avg_reliability"),
+        F.expr(f"count_if({r.severity} = 'critical')").alias("critical_count"),
+        F.expr(f"count_if({r.severity} = 'high')").alias("high_count"),
         F.count("*").alias("total"),
     )
-    return stats.select(
-        F.col("SupplierID").alias("supplier_id"),
-        "first.name", "first.region", "first.category",
-        "avg_delay", "avg_reliability", "critical_count", "high_count", "total",
-        rules.supplier_risk(F.col("critical_count"), F.col("high_count"), F.col("avg_delay")).alias("risk_level"),
-    )
+    return stats.selectExpr(
+        "SupplierID AS supplier_id", "first.name", "first.region", "first.category", "avg_delay", "avg_reliability",
+        "critical_count", "high_count", "total",
+        f"{rules.supplier_risk('critical_count', 'high_count', 'avg_delay')} AS risk_level")
 
 
 def recent_incidents(df: DataFrame, order: list[str]) -> DataFrame:
     """The first five incidents of each supplier in row order, as lines of text."""
-    line = F.concat(
-        F.lit("  ["), _str(df, "OccurredAt"), F.lit("] "), _str(df, "Title"), F.lit(" ("),
-        F.upper(record_severity(df)), F.lit(")"))
-    rows = df.filter(F.col("SupplierID").isNotNull()).select(F.col("SupplierID").alias("supplier_id"), *order,
-                                                            line.alias("line"))
+    r = Record(df)
+    line = f"concat('  [', {r.text('OccurredAt')}, '] ', {r.text('Title')}, ' (', upper({r.severity}), ')')"
+    rows = df.filter("SupplierID IS NOT NULL").select(
+        F.col("SupplierID").alias("supplier_id"), *order, F.expr(line).alias("line"))
     top = top_per_key(rows, ["supplier_id"], order, RECENT_INCIDENTS)
     lines = F.array_sort(F.collect_list(F.struct("_rank", "line")))
     return top.groupBy("supplier_id").agg(
         F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("recent"))
 
 
-def risk_label(level: Column) -> Column:
-    out = F.lit(RISK_LABELS["low"])
-    for name in ("medium", "high", "critical"):
-        out = F.when(level == name, RISK_LABELS[name]).otherwise(out)
-    return out
+def risk_label(level: str) -> str:
+    cases = " ".join(f"WHEN '{k}' THEN {quoted(v)}" for k, v in RISK_LABELS.items())
+    return f"CASE {level} {cases} END"
 
 
 def supplier_documents(df: DataFrame, order: list[str]) -> DataFrame:
     s = supplier_stats(df, order).join(recent_incidents(df, order), "supplier_id", "left")
-    text = _lines(
-        [
-            ["SUPPLIER PERFORMANCE SUMMARY"],
-            ["Supplier: ", F.col("name"), " (ID: ", F.col("supplier_id"), ")"],
-            ["Region: ", F.col("region"), " | Category: ", F.col("category")],
-            ["Total Incidents on Record: ", F.col("total").cast("string")],
-            [""],
-            ["Performance Metrics:"],
-            ["  Average Reliability Score: ", fixed(F.col("avg_reliability"), 1), "/100"],
-            ["  Average Delivery Delay: ", fixed(F.col("avg_delay"), 1), " days"],
-            ["  Critical Incidents: ", F.col("critical_count").cast("string")],
-            ["  High-Severity Incidents: ", F.col("high_count").cast("string")],
-            [""],
-            ["Recent Incident History:"],
-            [F.coalesce(F.col("recent"), F.lit(""))],
-            [""],
-            ["Risk Assessment: ", risk_label(F.col("risk_level"))],
-        ]
-    )
-    meta = {
-        "supplier_id": F.col("supplier_id"),
-        "supplier_name": F.col("name"),
-        "region": F.col("region"),
-        "supplier_category": F.col("category"),
-        "avg_delay_days": exact_round(F.col("avg_delay"), 2),
-        "avg_reliability_score": exact_round(F.col("avg_reliability"), 2),
-        "total_incidents": F.col("total"),
-        "critical_incidents": F.col("critical_count"),
-        "high_incidents": F.col("high_count"),
-        "severity": F.col("risk_level"),
+    text = F.expr(join_lines(
+        "=SUPPLIER PERFORMANCE SUMMARY",
+        ["=Supplier: ", "name", "= (ID: ", "supplier_id", "=)"],
+        ["=Region: ", "region", "= | Category: ", "category"],
+        ["=Total Incidents on Record: ", "total"],
+        "=",
+        "=Performance Metrics:",
+        ["=  Average Reliability Score: ", fixed("avg_reliability", 1), "=/100"],
+        ["=  Average Delivery Delay: ", fixed("avg_delay", 1), "= days"],
+        ["=  Critical Incidents: ", "critical_count"],
+        ["=  High-Severity Incidents: ", "high_count"],
+        "=",
+        "=Recent Incident History:",
+        ["coalesce(recent, '')"],
+        "=",
+        ["=Risk Assessment: ", risk_label("risk_level")],
+    ))
+    metadata = {
+        "supplier_id": "supplier_id",
+        "supplier_name": "name",
+        "region": "region",
+        "supplier_category": "category",
+        "avg_delay_days": exact_round("avg_delay", 2),
+        "avg_reliability_score": exact_round("avg_reliability", 2),
+        "total_incidents": "total",
+        "critical_incidents": "critical_count",
+        "high_incidents": "high_count",
+        "severity": "risk_level",
     }
-    chunk_id = F.concat(F.lit("supplier_summary_"), F.col("supplier_id"))
-    return _chunk(s, chunk_id, text, meta, "supplier_summary")
+    return _chunk(s, "supplier_summary", "concat('supplier_summary_', supplier_id)", text, metadata)
 
 
 def documents(df: DataFrame, order: list[str]) -> DataFrame:
@@ -268,8 +238,7 @@ def documents(df: DataFrame, order: list[str]) -> DataFrame:
 
 def link_incidents(incidents: DataFrame, df: DataFrame, order: list[str]) -> DataFrame:
     """Adds the id of the record document; the last row of a code wins."""
-    meta = record_metadata(df)
-    chunk_id = F.concat(F.lit("record_"), meta["incident_code"], F.lit("_"), meta["supplier_id"])
-    links = df.groupBy(meta["incident_code"].alias("incident_code")).agg(
-        F.max_by(chunk_id, F.struct(*order)).alias("document_id"))
+    r = Record(df)
+    links = df.groupBy(F.expr(r.code).alias("incident_code")).agg(
+        F.max_by(F.expr(r.chunk_id), F.struct(*order)).alias("document_id"))
     return incidents.join(links, "incident_code", "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.functions.columns import exact_round, one_of, text_or
+from riskspark.functions.text import exact_round, quoted
 from riskspark.operators import documents as docs
 from riskspark.operators.ordering import first_per_key
 
@@ -16,18 +16,22 @@ RESOLUTIONS = ["open", "in_progress", "resolved", "closed"]
 OPEN = ["open", "in_progress"]
 
 
+def _one_of(e: str, domain: list[str], default: str) -> str:
+    known = ", ".join(quoted(d) for d in domain)
+    return f"CASE WHEN lower({e}) IN ({known}) THEN lower({e}) ELSE {quoted(default)} END"
+
+
 def supplier_rows(df: DataFrame, order: list[str]) -> DataFrame:
-    s = docs.supplier_stats(df, order)
-    return s.select(
-        F.sha2(F.col("supplier_id"), 256).alias("id"),
+    return docs.supplier_stats(df, order).selectExpr(
+        "sha2(supplier_id, 256) AS id",
         "supplier_id",
         "name",
         "region",
         "category",
-        exact_round(F.col("avg_reliability"), 2).alias("reliability_score"),
-        exact_round(F.col("avg_delay"), 2).alias("avg_delay_days"),
-        F.col("total").alias("active_orders"),
-        one_of(F.col("risk_level"), SEVERITIES, "low").alias("risk_level"),
+        f"{exact_round('avg_reliability', 2)} AS reliability_score",
+        f"{exact_round('avg_delay', 2)} AS avg_delay_days",
+        "total AS active_orders",
+        f"{_one_of('risk_level', SEVERITIES, 'low')} AS risk_level",
     )
 
 
@@ -48,36 +52,35 @@ def upsert_suppliers(existing: DataFrame, batch: DataFrame) -> DataFrame:
 
 def incident_rows(df: DataFrame, order: list[str]) -> DataFrame:
     """Incidents of one batch: the first row of each code, severity by the fixed rules."""
-    coded = df.withColumn("_code", docs.incident_code(df))
-    first = first_per_key(coded, ["_code"], order)
-    sev = docs.record_severity(first)
-    num = docs._num
-    col = docs._str
-    impact_default = F.when(sev == "critical", 9.0).otherwise(5.0)
-    impact = (
-        F.coalesce(F.col("ImpactScore").try_cast("double"), impact_default)
-        if "ImpactScore" in first.columns else impact_default
-    )
-    ref = col(first, "SupplierID")
+    r = docs.Record(df)
+    first = first_per_key(df.withColumn("_code", F.expr(r.code)), ["_code"], order)
+    impact = f"CASE WHEN {r.severity} = 'critical' THEN 9D ELSE 5D END"
+    if "ImpactScore" in r.columns:
+        impact = f"coalesce(try_cast(ImpactScore AS DOUBLE), {impact})"
     return first.select(
-        F.sha2(F.col("_code"), 256).alias("id"),
-        F.col("_code").alias("incident_code"),
-        (text_or(F.col("Title"), "") if "Title" in first.columns else F.lit("")).alias("title"),
-        col(first, "Description").alias("description"),
-        sev.alias("severity"),
-        one_of(col(first, "IncidentCategory", "supplier"), CATEGORIES, "supplier").alias("category"),
-        F.sha2(ref, 256).alias("supplier_id"),
-        ref.alias("supplier_ref"),
-        col(first, "WarehouseLocation").alias("warehouse_location"),
-        col(first, "ShipmentStatus").alias("shipment_status"),
-        exact_round(docs.delay(first), 2).alias("delivery_delay_days"),
-        exact_round(num(first, "TransportationCost"), 2).alias("transportation_cost"),
-        exact_round(docs.stock(first), 2).alias("inventory_level"),
-        exact_round(docs.demand(first), 2).alias("demand_forecast"),
-        exact_round(impact, 2).alias("impact_score"),
-        one_of(col(first, "ResolutionStatus", "open"), RESOLUTIONS, "open").alias("resolution_status"),
-        docs.occurred(first).alias("occurred_at"),
-    ).withColumn("title", F.when(F.col("title") == "", F.col("incident_code")).otherwise(F.col("title")))
+        *[
+            F.expr(e).alias(name)
+            for name, e in {
+                "id": "sha2(_code, 256)",
+                "incident_code": "_code",
+                "title": f"coalesce(nullif({r.text('Title', '')}, ''), _code)",
+                "description": r.text("Description"),
+                "severity": r.severity,
+                "category": _one_of(r.text("IncidentCategory", "supplier"), CATEGORIES, "supplier"),
+                "supplier_id": f"sha2({r.supplier}, 256)",
+                "supplier_ref": r.supplier,
+                "warehouse_location": r.text("WarehouseLocation"),
+                "shipment_status": r.text("ShipmentStatus"),
+                "delivery_delay_days": exact_round(r.delay, 2),
+                "transportation_cost": exact_round(r.number("TransportationCost"), 2),
+                "inventory_level": exact_round(r.stock, 2),
+                "demand_forecast": exact_round(r.demand, 2),
+                "impact_score": exact_round(impact, 2),
+                "resolution_status": _one_of(r.text("ResolutionStatus", "open"), RESOLUTIONS, "open"),
+            }.items()
+        ],
+        r.occurred().alias("occurred_at"),
+    )
 
 
 def insert_new(existing: DataFrame, batch: DataFrame, key: str = "incident_code") -> DataFrame:

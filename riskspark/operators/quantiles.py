@@ -4,7 +4,7 @@
 only counts values per range, and the next pass looks inside the ranges that hold
 the wanted ranks. A range with a single distinct value ends the search, so columns
 with few values need one pass. Like ``approxQuantile`` this runs jobs and returns
-plain numbers; what reaches the driver is one row per wanted rank.
+plain numbers; at most one row per wanted rank reaches the driver.
 """
 
 from __future__ import annotations
@@ -23,79 +23,71 @@ def _log_range(v: Column) -> Column:
     return F.floor(F.signum(v) * F.log1p(F.abs(v) * 1e6) * _LOG_STEPS)
 
 
-def _spread(v: Column, low: Column, high: Column) -> Column:
-    return F.when(high > low, F.floor((v - low) / (high - low) * (_SPLIT - 1))).otherwise(F.lit(0))
-
-
-def _ranked(hist: DataFrame, keys: list[str], by: str) -> DataFrame:
-    """Adds ``before``: rows of the same keys in earlier ranges."""
+def _holding(hist: DataFrame, keys: list[str], by: str, wanted: list[tuple]) -> list:
+    """The ranges that hold a wanted rank: hist has ``n`` rows per range of the same keys in
+    the order of ``by``. ``wanted`` are (key values..., rank within these keys)."""
     w = Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
-    return hist.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    placed = hist.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    tests = []
+    for *values, rank in sorted(set(wanted)):
+        same = " AND ".join(f"{k} = {v!r}" for k, v in zip(keys, values))
+        tests.append(f"({same} AND {rank} >= before AND {rank} < before + n)")
+    return placed.filter(" OR ".join(tests)).collect()
 
 
 def order_statistics(df: DataFrame, columns: dict[str, Column], ranks: dict[str, list[int]]) -> dict:
     """{(name, rank): value} for 0-based ranks among the non-null values of each column."""
-    spark = df.sparkSession
+    wanted = [(m, int(r)) for m, rs in ranks.items() for r in rs]
+    if not wanted:
+        return {}
     long = df.select(
         F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), c.alias("v")) for n, c in columns.items()]))
     ).filter(F.col("v").isNotNull())
-    wanted = [(m, r) for m, rs in ranks.items() for r in sorted(set(rs))]
-    if not wanted:
-        return {}
-    targets = F.broadcast(spark.createDataFrame(wanted, "metric string, rank long"))
-
-    hist = (
-        long.groupBy("metric", _log_range(F.col("v")).alias("k"))
-        .agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
-    )
-    hit = _inside(_ranked(hist, ["metric"], "k").join(targets, "metric")).select(
-        "metric", "rank", "k", "before", "low", "high").collect()
-    found = {(h.metric, h.rank): h.low for h in hit if h.low == h.high}
-    open_ = [tuple(h) for h in hit if h.low != h.high]
+    bounds = [F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")]
+
+    long = long.withColumn("k", _log_range(F.col("v")))
+    found, open_ = {}, {}
+    for h in _holding(long.groupBy("metric", "k").agg(*bounds), ["metric"], "k", wanted):
+        for m, rank in wanted:
+            if m == h.metric and h.before <= rank < h.before + h.n:
+                if h.low == h.high:
+                    found[m, rank] = h.low
+                else:
+                    open_[m, rank] = (h.k, h.low, h.high, rank - h.before)
     if not open_:
         return found
 
-    targets = F.broadcast(
-        spark.createDataFrame(
-            open_, "metric string, rank long, k long, offset long, low double, high double")
-    )
-    ranges = F.broadcast(targets.select("metric", "k", "low", "high").distinct())
-    inside = long.withColumn("k", _log_range(F.col("v"))).join(ranges, ["metric", "k"])
-    part = _spread(F.col("v"), F.col("low"), F.col("high")).alias("part")
-    hist = inside.select("metric", "k", part, "v").groupBy("metric", "k", "part").agg(
-        F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
-    hit = _inside(
-        _ranked(hist, ["metric", "k"], "part")
-        .join(targets.select("metric", "k", "rank", "offset"), ["metric", "k"])
-        .withColumn("before", F.col("before") + F.col("offset"))
-    ).select("metric", "rank", "k", "part", "before", "low", "high").collect()
-    found.update({(h.metric, h.rank): h.low for h in hit if h.low == h.high})
-    open_ = [tuple(h)[:5] for h in hit if h.low != h.high]
-    if not open_:
+    # look inside the ranges that hold a rank, split into equal parts
+    part = F.lit(None).cast("bigint")
+    for (m, _), (k, low, high, _) in open_.items():
+        inside = (F.col("metric") == m) & (F.col("k") == k)
+        part = F.when(inside, F.floor((F.col("v") - low) / (high - low) * (_SPLIT - 1))).otherwise(part)
+    parts = long.withColumn("part", part).filter(F.col("part").isNotNull())
+    wanted = [(m, k, r) for (m, _), (k, _, _, r) in open_.items()]
+    narrow = {}
+    for h in _holding(parts.groupBy("metric", "k", "part").agg(*bounds), ["metric", "k"], "part", wanted):
+        for (m, rank), (k, _, _, r) in open_.items():
+            if (m, k) == (h.metric, h.k) and h.before <= r < h.before + h.n:
+                if h.low == h.high:
+                    found[m, rank] = h.low
+                else:
+                    narrow[m, rank] = (k, h.part, r - h.before)
+    if not narrow:
         return found
 
-    targets = F.broadcast(
-        spark.createDataFrame(open_, "metric string, rank long, k long, part long, offset long"))
-    parts = F.broadcast(targets.select("metric", "k", "part").distinct())
-    values = (
-        inside.withColumn("part", part)
-        .join(parts, ["metric", "k", "part"])
-        .groupBy("metric", "k", "part", "v")
-        .agg(F.count("*").alias("n"))
-    )
-    hit = _inside(
-        _ranked(values, ["metric", "k", "part"], "v")
-        .join(targets, ["metric", "k", "part"])
-        .withColumn("before", F.col("before") + F.col("offset"))
-    ).select("metric", "rank", "v").collect()
-    found.update({(h.metric, h.rank): h.v for h in hit})
+    # what is left is one part in 65,536 of a range, with equal values counted once
+    keep = F.lit(False)
+    for (m, _), (k, p, _) in narrow.items():
+        keep = keep | ((F.col("metric") == m) & (F.col("k") == k) & (F.col("part") == p))
+    values = parts.filter(keep).groupBy("metric", "k", "part", "v").agg(F.count("*").alias("n"))
+    wanted = [(m, k, p, r) for (m, _), (k, p, r) in narrow.items()]
+    for h in _holding(values, ["metric", "k", "part"], "v", wanted):
+        for (m, rank), (k, p, r) in narrow.items():
+            if (m, k, p) == (h.metric, h.k, h.part) and h.before <= r < h.before + h.n:
+                found[m, rank] = h.v
     return found
 
 
-def _inside(df: DataFrame) -> DataFrame:
-    return df.filter((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n")))
-
-
 def interpolated(n: int, p: float) -> tuple[int, int, float]:
     """Lower rank, upper rank and weight of the upper one for linear interpolation."""
     position = p * (n - 1)

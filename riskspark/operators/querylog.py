@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskspark import schema
-from riskspark.functions import rules
 from riskspark.functions.columns import exact_round, strip
 from riskspark.operators.analytics import at, day_start, newest_sessions, snippet
 from riskspark.operators.incidents import patch
@@ -332,11 +331,15 @@ def latency_ms(start: Column, end: Column) -> Column:
 JUDGE_SCORES = ["feasibility", "specificity", "impact", "timeline_realism"]
 
 
+def _verdict(overall: Column) -> Column:
+    return F.when(overall >= 7.5, "APPROVED").when(overall >= 5.0, "NEEDS_REVISION").otherwise("REJECTED")
+
+
 def judge(df: DataFrame) -> DataFrame:
     """Adds ``overall`` and ``verdict``; a missing score counts 5, a missing overall is the mean."""
     scores = [F.coalesce(F.col(c), F.lit(5.0)) for c in JUDGE_SCORES]
     overall = F.coalesce(F.col("overall_score"), (scores[0] + scores[1] + scores[2] + scores[3]) / 4)
-    return df.withColumns({"overall": exact_round(overall, 2), "verdict": rules.verdict(overall)})
+    return df.withColumns({"overall": exact_round(overall, 2), "verdict": _verdict(overall)})
 
 
 def mean_of_decimals(c: Column, digits: int) -> Column:

@@ -30,7 +30,7 @@ def supplier_scores(df: DataFrame, split: Column) -> DataFrame:
     """One row per supplier: mean score, main issue and delay trend before and after ``split``."""
     recent = F.avg(F.when(F.col("occurred_at") >= split, F.col("delivery_delay_days")))
     prior = F.avg(F.when(F.col("occurred_at") < split, F.col("delivery_delay_days")))
-    cover = rules.coverage(F.col("inventory_level"), F.col("demand_forecast"))
+    cover = F.expr(rules.coverage("inventory_level", "demand_forecast"))
     means = df.groupBy("supplier_id").agg(
         F.min("supplier_name").alias("name"),
         F.min("region").alias("region"),
@@ -110,9 +110,9 @@ def congested(df: DataFrame, by: str, limit: int = REPORT_ROWS) -> DataFrame:
 
 def inventory_items(df: DataFrame) -> DataFrame:
     """Items whose stock covers less than half the demand, with urgency."""
-    cover = rules.coverage(F.col("inventory_level"), F.col("demand_forecast"))
+    cover = F.expr(rules.coverage("inventory_level", "demand_forecast"))
     items = df.withColumn("coverage_ratio", cover).filter(F.col("coverage_ratio") < 0.5)
-    level = rules.rule_severity(F.lit(0.0), F.col("inventory_level"), F.col("demand_forecast"))
+    level = F.expr(rules.rule_severity("0D", "inventory_level", "demand_forecast"))
     return items.select(
         F.col("sku").alias("item"),
         "supplier_id",
@@ -128,7 +128,7 @@ def inventory_items(df: DataFrame) -> DataFrame:
 
 def inventory_report(df: DataFrame) -> DataFrame:
     """One row: share of items at risk, health and whether demand outgrew stock."""
-    cover = rules.coverage(F.col("inventory_level"), F.col("demand_forecast"))
+    cover = F.expr(rules.coverage("inventory_level", "demand_forecast"))
     share = F.avg((cover < 0.5).cast("double"))
     return df.agg(
         F.count_if(cover < 0.5).alias("stockout_items"),
@@ -152,7 +152,7 @@ def mitigation_queue(df: DataFrame, split: Column) -> DataFrame:
     route = congested(df, "route", 1).select(
         F.lit("shipment"), "route", F.round(F.least(F.col("avg_delay_days") / 20.0, F.lit(1.0)) * 100, 6),
         F.lit("Logistics"))
-    cover = rules.coverage(F.col("inventory_level"), F.col("demand_forecast"))
+    cover = F.expr(rules.coverage("inventory_level", "demand_forecast"))
     place = (
         df.groupBy("warehouse_location")
         .agg(F.round(F.avg((cover < 0.5).cast("double")) * 100, 6).alias("s"))

@@ -66,10 +66,7 @@ def _halves(df):
 
 
 def _formatted_with_status(spark, sf):
-    df = frames.formatted(spark, sf)
-    lines = fx.table(spark, sf, "lineitem").select(
-        F.struct(*fx.KEY_COLUMNS).alias("row_key"), F.col("l_linestatus").alias("line_status"))
-    return df.join(lines, "row_key")
+    return frames.formatted(spark, sf, ["line_status"])
 
 
 _HALF_SUPPLIERS = f"""
@@ -103,9 +100,7 @@ def upsert_incidents(spark, sf):
 SELECT 'record_' || sku || '_' || supplier_id AS chunk_id, max(l_linestatus) AS status, 'record' AS chunk_type
 FROM canonical GROUP BY 1"""))
 def upsert_documents(spark, sf):
-    df = fx.canonical(spark, sf, ["sku", "supplier_id"]).join(
-        fx.table(spark, sf, "lineitem").select(
-            F.struct(*fx.KEY_COLUMNS).alias("row_key"), F.col("l_linestatus").alias("line_status")), "row_key")
+    df = fx.canonical(spark, sf, ["sku", "supplier_id", "line_status"])
     chunks = df.select(
         F.concat(F.lit("record_"), "sku", F.lit("_"), "supplier_id").alias("chunk_id"),
         F.col("line_status").alias("status"), "line_status", F.lit("record").alias("chunk_type"))
@@ -569,8 +564,8 @@ def derive_category(spark, sf):
 SELECT sku, {sql.rule_severity('delivery_delay_days', 'inventory_level', 'demand_forecast')} AS severity FROM canonical"""))
 def derive_rule_severity(spark, sf):
     df = fx.canonical(spark, sf, ["sku", "delivery_delay_days", "inventory_level", "demand_forecast"])
-    return df.select("sku", rules.rule_severity(
-        F.col("delivery_delay_days"), F.col("inventory_level"), F.col("demand_forecast")).alias("severity"))
+    return df.select("sku", F.expr(
+        rules.rule_severity("delivery_delay_days", "inventory_level", "demand_forecast")).alias("severity"))
 
 
 _COVER = sql.coverage("inventory_level", "demand_forecast")
@@ -591,12 +586,12 @@ def derive_static_rules(spark, sf):
         "sku", "delivery_delay_days", "inventory_level", "demand_forecast", "defect_rate", "transportation_cost"])
     lines = fx.canonical(spark, sf, ["transportation_cost"])
     mean = lines.agg(F.avg("transportation_cost")).first()[0]
-    d, i, m, x, t = (F.col(c) for c in (
-        "delivery_delay_days", "inventory_level", "demand_forecast", "defect_rate", "transportation_cost"))
+    d, i, m, x, t = (
+        "delivery_delay_days", "inventory_level", "demand_forecast", "defect_rate", "transportation_cost")
     return df.select(
-        "sku", rules.static_status(d).alias("shipment_status"),
-        rules.static_severity(d, i, m, x).alias("severity"),
-        rules.static_risk(d, i, m, x, t, mean).alias("risk_score"))
+        "sku", F.expr(rules.static_status(d)).alias("shipment_status"),
+        F.expr(rules.static_severity(d, i, m, x)).alias("severity"),
+        F.expr(rules.static_risk(d, i, m, x, t, mean)).alias("risk_score"))
 
 
 @query("derive_safe_values", oracle("""

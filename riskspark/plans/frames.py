@@ -38,7 +38,3 @@ def incident_table(spark: SparkSession, sf: str) -> DataFrame:
 def supplier_table(spark: SparkSession, sf: str) -> DataFrame:
     return incidents.supplier_rows(formatted(spark, sf), fx.ORDER)
 
-
-def status_half(df: DataFrame, status: str) -> DataFrame:
-    """Lines of one status: closed lines are loaded first, open lines after them."""
-    return df.filter(F.col("row_key.l_linenumber").isNotNull() & (F.col("line_status") == status))

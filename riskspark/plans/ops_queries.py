@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskspark import schema
-from riskspark.functions import rules  # noqa: F401
+from riskspark.functions import rules
 from riskspark.operators import analytics as a
 from riskspark.operators import incidents as inc
 from riskspark.operators import querylog as q
@@ -649,8 +649,8 @@ def stream_alerts(spark, sf):
         "sku", "delivery_delay_days", "inventory_level", "demand_forecast", "resolution_status"])
     rows = df.select(
         F.col("sku").alias("incident_code"),
-        rules.rule_severity(F.col("delivery_delay_days"), F.col("inventory_level"), F.col("demand_forecast"))
-        .alias("severity"), "resolution_status")
+        F.expr(rules.rule_severity("delivery_delay_days", "inventory_level", "demand_forecast")).alias("severity"),
+        "resolution_status")
     rows.write.parquet(path)
     return streams.drain(streams.alert_feed(streams.read_files(spark, path, rows.schema)))
 

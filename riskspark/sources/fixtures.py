@@ -20,71 +20,85 @@ KEY_COLUMNS = [
     "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity"]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+# The layout of the tables, so that no job is needed to look it up.
+LAYOUTS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+                "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
 
 
-def _columns() -> dict[str, tuple[str, Column]]:
-    """Canonical column: (table it needs besides lineitem, expression)."""
-    c = F.col
-    return {
-        "supplier_id": ("", F.format_string("SUP-%04d", "l_suppkey")),
-        "supplier_name": ("supplier", c("s_name")),
-        "region": ("region", c("r_name")),
-        "product_type": ("part", c("p_type")),
-        "sku": ("", F.concat_ws("-", F.lit("INC"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")),
-        "inventory_level": ("", c("l_quantity") * 10.0),
-        "order_quantity": ("", c("l_quantity")),
-        "demand_forecast": ("part", (c("p_size") * 10).cast("double")),
-        "lead_time_days": ("", (c("l_partkey") % 30 + 1).cast("double")),
-        "delivery_delay_days": ("", ((c("l_orderkey") * 7 + c("l_partkey")) % 25 - 3).cast("double")),
-        "shipment_status": ("", F.lit("")),
-        "shipping_carrier": ("", F.lit("")),
-        "transportation_mode": ("", F.lit("")),
-        "route": ("nation", F.concat(F.lit("R-"), "n_name")),
-        "warehouse_location": ("nation", c("n_name")),
-        "transportation_cost": ("", c("l_extendedprice") * c("l_tax")),
-        "manufacturing_cost": ("part", c("p_retailprice")),
-        "revenue": ("", c("l_extendedprice")),
-        "defect_rate": ("", c("l_discount")),
-        "inspection_status": (
-            "", F.when(c("l_returnflag") == "R", "Fail").when(c("l_returnflag") == "A", "Pass").otherwise("Pending")),
-        "production_volume": ("", F.lit(0.0)),
-        "severity": ("", F.lit("")),
-        "risk_score": ("", F.lit(0.0)),
-        "timestamp": ("", F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss")),
-        "reliability_score": ("", (c("l_suppkey") * 37 % 101).cast("double")),
-        "resolution_status": (
-            "orders",
-            F.when(c("o_orderstatus") == "O", "open").when(c("o_orderstatus") == "P", "in_progress")
-            .when(c("l_linestatus") == "F", "closed").otherwise("resolved")),
-        "occurred_at": ("", c("l_shipdate")),
-    }
-
-
-# What an upload in this layout contains, in canonical order, and what only this source has.
-EXTRA = ["region", "reliability_score", "resolution_status", "occurred_at"]
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(LAYOUTS[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Canonical column: (table it needs besides lineitem, expression).
+COLUMNS = {
+    "supplier_id": ("", "format_string('SUP-%04d', l_suppkey)"),
+    "supplier_name": ("supplier", "s_name"),
+    "region": ("region", "r_name"),
+    "product_type": ("part", "p_type"),
+    "sku": ("", "concat_ws('-', 'INC', l_orderkey, l_linenumber, l_partkey, l_suppkey)"),
+    "inventory_level": ("", "l_quantity * 10D"),
+    "order_quantity": ("", "l_quantity"),
+    "demand_forecast": ("part", "CAST(p_size * 10 AS DOUBLE)"),
+    "lead_time_days": ("", "CAST(l_partkey % 30 + 1 AS DOUBLE)"),
+    "delivery_delay_days": ("", "CAST((l_orderkey * 7 + l_partkey) % 25 - 3 AS DOUBLE)"),
+    "shipment_status": ("", "''"),
+    "shipping_carrier": ("", "''"),
+    "transportation_mode": ("", "''"),
+    "route": ("nation", "concat('R-', n_name)"),
+    "warehouse_location": ("nation", "n_name"),
+    "transportation_cost": ("", "l_extendedprice * l_tax"),
+    "manufacturing_cost": ("part", "p_retailprice"),
+    "revenue": ("", "l_extendedprice"),
+    "defect_rate": ("", "l_discount"),
+    "inspection_status": ("", "CASE l_returnflag WHEN 'R' THEN 'Fail' WHEN 'A' THEN 'Pass' ELSE 'Pending' END"),
+    "production_volume": ("", "0D"),
+    "severity": ("", "''"),
+    "risk_score": ("", "0D"),
+    "timestamp": ("", "date_format(l_shipdate, \"yyyy-MM-dd'T'HH:mm:ss\")"),
+    "reliability_score": ("", "CAST(l_suppkey * 37 % 101 AS DOUBLE)"),
+    "resolution_status": (
+        "orders",
+        "CASE WHEN o_orderstatus = 'O' THEN 'open' WHEN o_orderstatus = 'P' THEN 'in_progress' "
+        "WHEN l_linestatus = 'F' THEN 'closed' ELSE 'resolved' END"),
+    "occurred_at": ("", "l_shipdate"),
+    "line_status": ("", "l_linestatus"),
+}
 
 
 def canonical(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
     """Canonical frame with ``row_key``. Every line has its order, part and supplier, so a
     table is joined only when one of the wanted columns comes from it."""
-    known = _columns()
-    wanted = columns or list(known)
-    needs = {known[c][0] for c in wanted}
+    wanted = columns or list(COLUMNS)
+    needs = {COLUMNS[c][0] for c in wanted}
     df = table(spark, sf_dir, "lineitem")
     if "orders" in needs:
-        df = df.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        df = df.join(table(spark, sf_dir, "orders"), F.expr("l_orderkey = o_orderkey"))
     if "part" in needs:
-        df = df.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+        df = df.join(table(spark, sf_dir, "part"), F.expr("l_partkey = p_partkey"))
     if needs & {"supplier", "nation", "region"}:
         home = table(spark, sf_dir, "supplier")
         if needs & {"nation", "region"}:
-            home = home.join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+            home = home.join(table(spark, sf_dir, "nation"), F.expr("s_nationkey = n_nationkey"))
         if "region" in needs:
-            home = home.join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        df = df.join(home, F.col("l_suppkey") == F.col("s_suppkey"))
-    return df.select(F.struct(*KEY_COLUMNS).alias("row_key"), *[known[c][1].alias(c) for c in wanted])
+            home = home.join(table(spark, sf_dir, "region"), F.expr("n_regionkey = r_regionkey"))
+        df = df.join(home, F.expr("l_suppkey = s_suppkey"))
+    return df.selectExpr(
+        f"struct({', '.join(KEY_COLUMNS)}) AS row_key", *[f"{COLUMNS[c][1]} AS {c}" for c in wanted])
 
 
 def key(name: str) -> Column:
