@@ -69,24 +69,30 @@ def _last_in_chunk(ts: np.ndarray, ttl: int) -> np.ndarray:
         last = moved
 
 
-def _runs(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by ``keys`` as one frame per key, whatever the batches were."""
+def _whole_groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Batches of rows sorted by ``keys``, cut so that no group spans two batches, each with
+    the positions where its groups begin and end."""
     rest: pd.DataFrame | None = None
+
+    def borders(pdf: pd.DataFrame) -> np.ndarray:
+        changed = np.ones(len(pdf), dtype=bool)
+        changed[1:] = False
+        for k in keys:
+            values = pdf[k].to_numpy()
+            changed[1:] |= values[1:] != values[:-1]
+        return np.append(np.flatnonzero(changed), len(pdf))
+
     for pdf in frames:
         if rest is not None:
             pdf = pd.concat([rest, pdf], ignore_index=True)
         if pdf.empty:
             continue
-        changed = np.zeros(len(pdf), dtype=bool)
-        for k in keys:
-            values = pdf[k].to_numpy()
-            changed[1:] |= values[1:] != values[:-1]
-        starts = np.flatnonzero(changed)
-        for begin, end in zip(np.append(0, starts[:-1]), starts):
-            yield pdf.iloc[begin:end]
-        rest = pdf.iloc[starts[-1]:] if len(starts) else pdf
+        cuts = borders(pdf)
+        if len(cuts) > 2:
+            yield pdf.iloc[: cuts[-2]], cuts[:-1]
+        rest = pdf.iloc[cuts[-2]:]
     if rest is not None and len(rest):
-        yield rest
+        yield rest, np.array([0, len(rest)])
 
 
 def mark_repeats(
@@ -107,14 +113,20 @@ def mark_repeats(
     group = ["_key", "_chunk"]
 
     def reduce(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in _runs(frames, group):
-            name, chunk = pdf["_key"].iloc[0], int(pdf["_chunk"].iloc[0])
-            t = np.unique(pdf["_us"].to_numpy())
-            n = min(len(t), int(np.searchsorted(t, chunk * size + ttl)) + 1)
-            leave = t[_last_in_chunk(t, ttl)[:n]]
-            # neighbouring entries with the same exit share one row, named by the later entry
-            keep = np.append(leave[1:] != leave[:-1], True)
-            yield pd.DataFrame({"_key": name, "_chunk": chunk, "enter": t[:n][keep], "leave": leave[keep]})
+        for pdf, cuts in _whole_groups(frames, group):
+            us, chunks, names = pdf["_us"].to_numpy(), pdf["_chunk"].to_numpy(), pdf["_key"].to_numpy()
+            out: dict[str, list] = {"_key": [], "_chunk": [], "enter": [], "leave": []}
+            for begin, end in zip(cuts[:-1], cuts[1:]):
+                t = np.unique(us[begin:end])
+                n = min(len(t), int(np.searchsorted(t, chunks[begin] * size + ttl)) + 1)
+                leave = t[_last_in_chunk(t, ttl)[:n]]
+                # neighbouring entries with the same exit share one row, named by the later entry
+                keep = np.append(leave[1:] != leave[:-1], True)
+                out["enter"].append(t[:n][keep])
+                out["leave"].append(leave[keep])
+                out["_key"].append(np.repeat(names[begin], keep.sum()))
+                out["_chunk"].append(np.repeat(chunks[begin], keep.sum()))
+            yield pd.DataFrame({c: np.concatenate(parts) for c, parts in out.items()})
 
     def follow(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # rows arrive sorted by key, chunk, entry; the state is one time per key
@@ -135,13 +147,14 @@ def mark_repeats(
     columns = df.columns
 
     def mark(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in _runs(frames, group):
-            t, hit = pdf["_us"].to_numpy(), np.ones(len(pdf), dtype=bool)
-            last = pdf["_last"].iloc[0]
-            i = 0 if pd.isna(last) else int(np.searchsorted(t, int(last) + ttl))
-            while i < len(t):
-                hit[i] = False
-                i = int(np.searchsorted(t, t[i] + ttl))
+        for pdf, cuts in _whole_groups(frames, group):
+            us, lasts, hit = pdf["_us"].to_numpy(), pdf["_last"].to_numpy(), np.ones(len(pdf), dtype=bool)
+            for begin, end in zip(cuts[:-1], cuts[1:]):
+                t, last = us[begin:end], lasts[begin]
+                i = 0 if pd.isna(last) else int(np.searchsorted(t, int(last) + ttl))
+                while i < len(t):
+                    hit[begin + i] = False
+                    i = int(np.searchsorted(t, t[i] + ttl))
             yield pdf[columns].assign(hit=hit)
 
     exits = (

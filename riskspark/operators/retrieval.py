@@ -37,37 +37,57 @@ class KeywordIndex:
     doc_stats: DataFrame  # doc_id, dl
     term_stats: DataFrame  # term, df, idf
 
-    def save(self, path: str) -> None:
-        """Postings are laid out by term, so a search reads the row groups of its terms."""
-        self.postings.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(
-            f"{path}/postings")
-        self.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
-        self.term_stats.write.mode("overwrite").parquet(f"{path}/term_stats")
-
     @staticmethod
     def load(spark, path: str) -> "KeywordIndex":
         read = spark.read.parquet
-        return KeywordIndex(
-            read(f"{path}/postings"), read(f"{path}/doc_stats"), read(f"{path}/term_stats"))
+        return KeywordIndex(read(f"{path}/postings"), read(f"{path}/doc_stats"), read(f"{path}/term_stats"))
 
 
-def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> KeywordIndex:
-    tokenised = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("terms")).withColumn(
+def _tokenised(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("terms")).withColumn(
         "dl", F.size("terms"))
-    postings = (
+
+
+def _postings(tokenised: DataFrame) -> DataFrame:
+    return (
         tokenised.select("doc_id", "dl", F.explode("terms").alias("term"))
         .groupBy("doc_id", "dl", "term")
         .agg(F.count("*").alias("tf"))
         .select("term", "doc_id", "tf", "dl")
     )
-    doc_stats = docs.select(F.col(doc_id).alias("doc_id"), F.size(tokens(F.col(text))).alias("dl"))
+
+
+def _term_stats(postings: DataFrame, doc_stats: DataFrame) -> DataFrame:
     n_docs = doc_stats.agg(F.count("*").alias("n")).scalar()
     counts = postings.groupBy("term").agg(F.count("*").alias("df")).withColumn(
         "raw", F.ln(n_docs - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
     mean_idf = counts.agg(F.avg("raw")).scalar()
-    term_stats = counts.select(
+    return counts.select(
         "term", "df", F.when(F.col("raw") < 0, mean_idf * BM25_EPSILON).otherwise(F.col("raw")).alias("idf"))
-    return KeywordIndex(postings, doc_stats, term_stats)
+
+
+def index_frames(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> KeywordIndex:
+    """The index as lazy frames, for a single use."""
+    tokenised = _tokenised(docs, doc_id, text)
+    postings, doc_stats = _postings(tokenised), tokenised.select("doc_id", "dl")
+    return KeywordIndex(postings, doc_stats, _term_stats(postings, doc_stats))
+
+
+def build_index(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> KeywordIndex:
+    """Writes the index tables and returns them. Each table is made from the one before, so
+    texts are split once for postings and once for lengths.
+
+    Postings are laid out by term and document: a search reads the row groups of its
+    terms, and the postings of a frequent term spread over many files.
+    """
+    spark = docs.sparkSession
+    tokenised = _tokenised(docs, doc_id, text)
+    tokenised.select("doc_id", "dl").write.mode("overwrite").parquet(f"{path}/doc_stats")
+    _postings(tokenised).repartitionByRange("term", "doc_id").sortWithinPartitions("term").write.mode(
+        "overwrite").parquet(f"{path}/postings")
+    postings, doc_stats = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/doc_stats")
+    _term_stats(postings, doc_stats).write.mode("overwrite").parquet(f"{path}/term_stats")
+    return KeywordIndex.load(spark, path)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:

@@ -130,7 +130,7 @@ def io_document_store(spark, sf):
 SELECT term, df, round(idf, 6) AS idf FROM terms"""))
 def index_bm25_tables(spark, sf):
     path = scratch_path(spark, "index")
-    retrieval.build_index(fx.documents(spark, sf)).save(path)
+    retrieval.build_index(fx.documents(spark, sf), path)
     loaded = retrieval.KeywordIndex.load(spark, path)
     return loaded.term_stats.select("term", "df", R6("idf"))
 

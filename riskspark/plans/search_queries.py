@@ -9,14 +9,18 @@ from riskspark.operators import retrieval as r
 from riskspark.plans import sql
 from riskspark.plans.registry import query
 from riskspark.plans.sql import oracle
+from riskspark.session import scratch_path
 from riskspark.sources import fixtures as fx
 
 R6 = lambda c: F.round(c, 6).alias(c)
 
 
+def _index(spark, sf):
+    return r.build_index(fx.documents(spark, sf), scratch_path(spark, "index"))
+
+
 def _keyword(spark, sf, k=r.KEYWORD_K):
-    index = r.build_index(fx.documents(spark, sf))
-    return r.bm25_search(fx.search_queries(spark, sf), index, k)
+    return r.bm25_search(fx.search_queries(spark, sf), _index(spark, sf), k)
 
 
 @query("bm25_tokens", oracle("""
@@ -31,12 +35,12 @@ def bm25_tokens(spark, sf):
 
 @query("bm25_statistics", oracle("SELECT term, df, round(idf, 6) AS idf FROM terms"))
 def bm25_statistics(spark, sf):
-    return r.build_index(fx.documents(spark, sf)).term_stats.select("term", "df", R6("idf"))
+    return r.index_frames(fx.documents(spark, sf)).term_stats.select("term", "df", R6("idf"))
 
 
 @query("bm25_postings", oracle("SELECT term, doc_id, tf, dl FROM postings"))
 def bm25_postings(spark, sf):
-    return r.build_index(fx.documents(spark, sf)).postings
+    return r.index_frames(fx.documents(spark, sf)).postings
 
 
 @query("bm25_search", oracle("SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM keyword"))
@@ -79,14 +83,6 @@ def retrieve_filtered(spark, sf):
     return found.select(F.col("query_id").cast("int").alias("query_id"), "doc_id", R6("score"), "rank")
 
 
-def _vectorised(spark, sf):
-    """Queries and documents with vectors of the default encoder."""
-    queries, docs = fx.search_queries(spark, sf), fx.documents(spark, sf)
-    q = queries.join(r.embed(queries, key="query_id"), "query_id")
-    d = docs.join(r.embed(docs), "doc_id")
-    return q, d
-
-
 def _semantic(spark, sf):
     return r.cosine_search(
         r.embed(fx.search_queries(spark, sf), key="query_id"), r.embed(fx.documents(spark, sf)))
@@ -112,14 +108,15 @@ SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FRO
     JOIN (SELECT query_id, doc_id, idf FROM query_terms JOIN postings USING (term) JOIN terms USING (term)) t
       ON p.query_id = t.query_id AND p.doc_id = t.doc_id GROUP BY p.query_id, p.doc_id, p.rank)) WHERE rank < 10"""))
 def rerank_overlap(spark, sf):
-    index = r.build_index(fx.documents(spark, sf))
+    index = _index(spark, sf)
     queries = fx.search_queries(spark, sf)
     return r.rerank(queries, r.bm25_search(queries, index), index).withColumn("score", F.round("score", 6))
 
 
 def _hybrid(spark, sf):
-    queries, docs = _vectorised(spark, sf)
-    return r.hybrid_search(queries, docs, r.build_index(fx.documents(spark, sf)))
+    queries = fx.search_queries(spark, sf)
+    vectors = r.embed(queries, key="query_id")
+    return r.hybrid_search(queries.join(vectors, "query_id"), r.embed(fx.documents(spark, sf)), _index(spark, sf))
 
 
 @query("retrieve_hybrid", oracle(

@@ -48,6 +48,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def landed(df: DataFrame, name: str = "landed") -> DataFrame:
+    """Writes a frame once to the shared folder and reads it back, for frames with several
+    readers: each then scans only the columns it needs."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of executors."""
     sc = df.sparkSession.sparkContext
