@@ -259,14 +259,14 @@ def apply_filter(docs: DataFrame, filters: dict | None, metadata: str = "metadat
 def fuse(ranked_lists: list[DataFrame], k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion of (query_id, doc_id, rank from 0) lists. Equal scores keep
     first-seen order: earlier list first, then the rank in it."""
-    rows = None
+    fused, score, seen = None, F.lit(0.0), []
     for i, ranked in enumerate(ranked_lists):
-        part = ranked.select("query_id", "doc_id", F.lit(i).alias("list_no"), "rank")
-        rows = part if rows is None else rows.unionByName(part)
-    fused = rows.groupBy("query_id", "doc_id").agg(
-        F.sum(1.0 / (k + F.col("rank") + 1)).alias("score"),
-        F.min(F.struct("list_no", "rank")).alias("seen"),
-    )
+        rank = f"rank_{i}"
+        part = ranked.select("query_id", "doc_id", F.col("rank").alias(rank))
+        fused = part if fused is None else fused.join(part, ["query_id", "doc_id"], "full_outer")
+        score = score + F.coalesce(1.0 / (k + F.col(rank) + 1), F.lit(0.0))
+        seen.append(F.when(F.col(rank).isNotNull(), F.struct(F.lit(i).alias("list_no"), F.col(rank).alias("rank"))))
+    fused = fused.withColumns({"score": score, "seen": F.coalesce(*seen)})
     # a query has no more rows here than its lists are long
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("seen"))
     return fused.select("query_id", "doc_id", "score", (F.row_number().over(w) - 1).alias("rank"))

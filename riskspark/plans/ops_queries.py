@@ -39,12 +39,9 @@ def ops_incident_list(spark, sf):
 
 @query("ops_incident_search", oracle("""
 SELECT incident_code FROM incidents
-WHERE contains(lower(title), 'stockout') OR contains(lower(description), 'early delivery')"""))
+WHERE contains(lower(title), 'early delivery') OR contains(lower(description), 'early delivery')"""))
 def ops_incident_search(spark, sf):
-    table = frames.incident_table(spark, sf)
-    by_title = a.filter_incidents(table, search="stockout").select("incident_code")
-    by_text = a.filter_incidents(table, search="Early Delivery").select("incident_code")
-    return by_title.union(by_text).distinct()
+    return a.filter_incidents(frames.incident_table(spark, sf), search="Early Delivery").select("incident_code")
 
 
 @query("ops_incident_page", oracle("""

@@ -15,6 +15,9 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # a union that reports the partitioning of its inputs can lose it again when AQE
+    # merges partitions of only one input, and the join above it then fails
+    "spark.sql.unionOutputPartitioning": "false",
 }
 
 
