@@ -238,17 +238,29 @@ def field_audit(df: DataFrame) -> DataFrame:
 
 
 class _Texts:
-    """SQL texts of the values a pipeline row is described with."""
+    """The values a pipeline row is described with, computed once per row in ``frame``.
+
+    The attributes are SQL texts: names of helper columns of ``frame``.
+    """
+
+    HELPERS = ["_defect", "_stock", "_delay", "_lead", "_cost", "_demand", "_bad", "_cover"]
 
     def __init__(self, df: DataFrame):
         self.df = df
-        self.defect, self.stock = _value(df, "DefectRate"), _value(df, "InventoryLevel")
-        self.delay, self.lead = _value(df, "DeliveryDelayDays"), _value(df, "LeadTimeDays")
-        self.cost = _value(df, "TransportationCost")
-        # a demand of 0 counts as 1 in the texts and triggers
-        self.demand = f"coalesce(nullif({_value(df, 'DemandForecast')}, 0D), 1D)"
-        self.cover = rules.coverage(self.stock, self.demand)
-        self.bad = f"({self.defect} > 0.05D OR contains(lower({self.text('InspectionStatus')}), 'fail'))"
+        self.defect, self.stock, self.delay, self.lead, self.cost, self.demand, self.bad, self.cover = self.HELPERS
+        failed = f"contains(lower({self.text('InspectionStatus')}), 'fail')"
+        values = {
+            "_defect": _value(df, "DefectRate"),
+            "_stock": _value(df, "InventoryLevel"),
+            "_delay": _value(df, "DeliveryDelayDays"),
+            "_lead": _value(df, "LeadTimeDays"),
+            "_cost": _value(df, "TransportationCost"),
+            # a demand of 0 counts as 1 in the texts and triggers
+            "_demand": f"coalesce(nullif({_value(df, 'DemandForecast')}, 0D), 1D)",
+            "_bad": f"({_value(df, 'DefectRate')} > 0.05D OR {failed})",
+        }
+        staged = df.selectExpr("*", *[f"{e} AS {n}" for n, e in values.items()])
+        self.frame = staged.selectExpr("*", f"{rules.coverage('_stock', '_demand')} AS _cover")
 
     def text(self, name: str) -> str:
         return f"coalesce(CAST({name} AS STRING), '')" if _has(self.df, name) else "''"
@@ -265,17 +277,15 @@ def primary_reason(t: _Texts) -> str:
       ELSE 'Supply chain risk detected' END"""
 
 
-def title(df: DataFrame) -> Column:
-    t = _Texts(df)
-    code = "coalesce(IncidentCode, 'SKU?')" if _has(df, "IncidentCode") else "'SKU?'"
+def title(t: _Texts) -> Column:
+    code = "coalesce(IncidentCode, 'SKU?')" if _has(t.df, "IncidentCode") else "'SKU?'"
     who = f"coalesce(nullif({t.text('SupplierName')}, ''), nullif({t.text('SupplierID')}, ''), 'Unknown')"
     place = t.text("WarehouseLocation")
     where = f"CASE WHEN {place} IN ('', 'N/A') THEN '' ELSE concat(', ', {place}) END"
     return F.expr(f"concat({code}, ': ', {primary_reason(t)}, ' — ', {who}, {where})")
 
 
-def description(df: DataFrame) -> Column:
-    t = _Texts(df)
+def description(t: _Texts) -> Column:
     ratio = f"{t.stock} / {t.demand}"
     return F.expr(f"""coalesce(nullif(concat_ws(' ',
       CASE WHEN {t.defect} > 0 THEN concat('Defect rate: ', {fixed(f'{t.defect} * 100', 2)}, '%.') END,
@@ -288,9 +298,8 @@ def description(df: DataFrame) -> Column:
       'Automated ETL record.')""")
 
 
-def incident_category(df: DataFrame) -> Column:
+def incident_category(t: _Texts) -> Column:
     """The trigger that fired; two or more make it a supplier incident."""
-    t = _Texts(df)
     low, late = f"({t.cover} < 0.5D)", f"({t.delay} > 5)"
     return F.expr(f"""CASE
       WHEN {t.bad} OR ({low} AND {late}) THEN 'supplier'
@@ -300,13 +309,14 @@ def incident_category(df: DataFrame) -> Column:
 def to_pipeline(df: DataFrame) -> DataFrame:
     """Pipeline column names, texts, category and defaults."""
     out = df.withColumnsRenamed({c: p for c, p in schema.PIPELINE_NAMES.items() if _has(df, c)})
-    added = {"IncidentCategory": incident_category(out)}
+    t = _Texts(out)
+    added = {"IncidentCategory": incident_category(t)}
     if not _has(out, "Title"):
-        added["Title"] = title(out)
+        added["Title"] = title(t)
     if not _has(out, "Description"):
-        added["Description"] = description(out)
+        added["Description"] = description(t)
     if not _has(out, "ResolutionStatus"):
         added["ResolutionStatus"] = F.lit("open")
     if not _has(out, "Region"):
         added["Region"] = F.lit("")
-    return out.withColumns(added)
+    return t.frame.withColumns(added).drop(*t.HELPERS)

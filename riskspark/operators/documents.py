@@ -22,17 +22,31 @@ RISK_LABELS = {
 
 
 class Record:
-    """SQL texts of the values of a pipeline row, missing ones replaced by their defaults."""
+    """The values of a pipeline row, missing ones replaced by their defaults.
+
+    The attributes are SQL texts; numbers and severity are helper columns of ``frame``,
+    so that they are computed once per row.
+    """
 
     def __init__(self, df: DataFrame):
         self.columns = set(df.columns)
-        self.delay = self.number("DeliveryDelayDays")
-        self.stock = self.number("InventoryLevel", 100.0)
-        self.demand = self.number("DemandForecast", 100.0)
-        self.cover = rules.coverage(self.stock, self.demand)
-        self.severity = rules.rule_severity(self.delay, self.stock, self.demand)
+        self.delay, self.stock, self.demand = "_delay", "_stock", "_demand"
+        self.cover, self.severity = "_cover", "_severity"
         self.code = self.text("IncidentCode", "")
         self.supplier = self.text("SupplierID")
+        self.frame = (
+            df.selectExpr(
+                "*",
+                f"{self.number('DeliveryDelayDays')} AS _delay",
+                f"{self.number('InventoryLevel', 100.0)} AS _stock",
+                f"{self.number('DemandForecast', 100.0)} AS _demand",
+            )
+            .selectExpr(
+                "*",
+                f"{rules.coverage('_stock', '_demand')} AS _cover",
+                f"{rules.rule_severity('_delay', '_stock', '_demand')} AS _severity",
+            )
+        )
 
     def number(self, name: str, default: float = 0.0) -> str:
         return float_or(name, default) if name in self.columns else num(default)
@@ -153,7 +167,7 @@ def record_documents(df: DataFrame) -> DataFrame:
         "year": F.year(when),
         "month": F.month(when),
     }
-    return _chunk(df, "record", r.chunk_id, record_text(r), metadata)
+    return _chunk(r.frame, "record", r.chunk_id, record_text(r), metadata)
 
 
 def supplier_stats(df: DataFrame, order: list[str]) -> DataFrame:
@@ -167,7 +181,7 @@ def supplier_stats(df: DataFrame, order: list[str]) -> DataFrame:
         f"struct({r.text('SupplierName')} AS name, {r.text('Region')} AS region, "
         f"{r.text('SupplierCategory')} AS category)"
     )
-    stats = df.filter("SupplierID IS NOT NULL").groupBy("SupplierID").agg(
+    stats = r.frame.filter("SupplierID IS NOT NULL").groupBy("SupplierID").agg(
         F.expr(f"min_by({first}, struct({', '.join(order)}))").alias("first"),
         F.expr(f"avg({r.delay})").alias("avg_delay"),
         F.expr(f"avg({r.number('ReliabilityScore')})").alias("avg_reliability"),
@@ -185,7 +199,7 @@ def recent_incidents(df: DataFrame, order: list[str]) -> DataFrame:
     """The first five incidents of each supplier in row order, as lines of text."""
     r = Record(df)
     line = f"concat('  [', {r.text('OccurredAt')}, '] ', {r.text('Title')}, ' (', upper({r.severity}), ')')"
-    rows = df.filter("SupplierID IS NOT NULL").select(
+    rows = r.frame.filter("SupplierID IS NOT NULL").select(
         F.col("SupplierID").alias("supplier_id"), *order, F.expr(line).alias("line"))
     top = top_per_key(rows, ["supplier_id"], order, RECENT_INCIDENTS)
     lines = F.array_sort(F.collect_list(F.struct("_rank", "line")))

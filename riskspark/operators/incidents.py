@@ -53,7 +53,7 @@ def upsert_suppliers(existing: DataFrame, batch: DataFrame) -> DataFrame:
 def incident_rows(df: DataFrame, order: list[str]) -> DataFrame:
     """Incidents of one batch: the first row of each code, severity by the fixed rules."""
     r = docs.Record(df)
-    first = first_per_key(df.withColumn("_code", F.expr(r.code)), ["_code"], order)
+    first = first_per_key(r.frame.withColumn("_code", F.expr(r.code)), ["_code"], order)
     impact = f"CASE WHEN {r.severity} = 'critical' THEN 9D ELSE 5D END"
     if "ImpactScore" in r.columns:
         impact = f"coalesce(try_cast(ImpactScore AS DOUBLE), {impact})"

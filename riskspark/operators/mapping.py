@@ -53,36 +53,47 @@ _DOMAINS = {
 }
 
 
-def profile(values: DataFrame, order: list[str]) -> DataFrame:
+def profile(values: DataFrame) -> DataFrame:
     """Facts about each column (upload_id, position) that inference needs.
 
-    values: upload_id, position, the ``order`` columns and ``value``. Distinct values are
-    not collected: a column fits a domain when no value lies outside and the values seen,
-    kept as one bit each, are at least two.
+    values: upload_id, position, value. Distinct values are not collected: a column fits a
+    domain when no value lies outside and the values seen, kept as one bit each, are at
+    least two. A number is in no domain, so only other values are compared.
     """
-    keys = ["upload_id", "position"]
     v = F.col("value")
-    low = strip(F.lower(v))
-    number = to_double(v)
+    word = F.when(F.col("number").isNull(), strip(F.lower(v)))
     aggs = [
         F.count(v).alias("filled"),
-        F.count(number).alias("numbers"),
-        F.min(number).alias("low"),
-        F.max(number).alias("high"),
-        F.stddev_samp(number).alias("std"),
+        F.count("number").alias("numbers"),
+        F.min("number").alias("low"),
+        F.max("number").alias("high"),
+        F.stddev_samp("number").alias("std"),
     ]
     for name, domain in _DOMAINS.items():
         bit = F.lit(0)
-        for i, word in enumerate(domain):
-            bit = F.when(low == word, 1 << i).otherwise(bit)
+        for i, known in enumerate(domain):
+            bit = F.when(F.col("word") == known, 1 << i).otherwise(bit)
+        bit = F.when(F.col("word").isNotNull(), bit).otherwise(0)
+        inside = F.when(v.isNotNull(), bit > 0)
         aggs += [
-            F.coalesce(F.bool_and(low.isin(*domain)), F.lit(False)).alias(f"{name}_only"),
+            F.coalesce(F.bool_and(inside), F.lit(False)).alias(f"{name}_only"),
             F.bit_count(F.coalesce(F.bit_or(bit), F.lit(0))).alias(f"{name}_seen"),
         ]
-    facts = values.groupBy(*keys).agg(*aggs)
-    first = top_per_key(values.filter(v.isNotNull()), keys, order, DATE_SAMPLE)
-    dates = first.groupBy(*keys).agg(F.avg(parse_time(v).isNotNull().cast("double")).alias("date_share"))
-    return facts.join(dates, keys, "left")
+    read = values.select("upload_id", "position", "value", to_double(v).alias("number"))
+    return read.withColumn("word", word).groupBy("upload_id", "position").agg(*aggs)
+
+
+def date_shares(values: DataFrame, facts: DataFrame, order: list[str]) -> DataFrame:
+    """Adds to the facts of text columns the share of dates among their first ten values.
+
+    Only columns with some value that is no number are looked at."""
+    keys = ["upload_id", "position"]
+    text = facts.filter(F.col("filled") > F.col("numbers")).select(*keys)
+    rows = values.filter(F.col("value").isNotNull()).join(text, keys, "left_semi")
+    first = top_per_key(rows, keys, order, DATE_SAMPLE)
+    shares = first.groupBy(*keys).agg(
+        F.avg(parse_time(F.col("value")).isNotNull().cast("double")).alias("date_share"))
+    return facts.join(shares, keys, "left")
 
 
 def _hint(norm: Column, words: list[str]) -> Column:
@@ -204,7 +215,7 @@ def detect(headers: DataFrame, values: DataFrame, order: list[str]) -> DataFrame
     """Votes for every source column: exact, else fuzzy combined with inference."""
     named = exact_matches(headers)
     votes = fuzzy_matches(named)
-    facts = profile(values, order)
+    facts = date_shares(values, profile(values), order)
     return combine(inferred(votes.join(facts, ["upload_id", "position"], "left")))
 
 

@@ -204,8 +204,13 @@ def map_fuzzy(spark, sf):
     return found.select("upload_id", "position", "header", "fuzzy", F.round("fuzzy_score", 6).alias("fuzzy_score"))
 
 
+def _facts(spark, sf):
+    values = fx.upload_values(spark, sf)
+    return mapping.date_shares(values, mapping.profile(values), fx.ORDER)
+
+
 def _profiled(spark, sf):
-    facts = mapping.profile(fx.upload_values(spark, sf), fx.ORDER)
+    facts = _facts(spark, sf)
     named = mapping.normalised(fx.value_headers(spark, sf))
     return facts.join(named, ["upload_id", "position"])
 
@@ -214,8 +219,8 @@ def _profiled(spark, sf):
 SELECT upload_id, position, filled, numbers, low, high, round(std, 6) AS std, transport_only, transport_seen,
   inspection_only, inspection_seen, shipment_only, shipment_seen FROM profiles"""))
 def map_profile(spark, sf):
-    facts = mapping.profile(fx.upload_values(spark, sf), fx.ORDER)
-    return facts.drop("date_share").withColumn("std", F.round("std", 6)).withColumns(
+    facts = mapping.profile(fx.upload_values(spark, sf))
+    return facts.withColumn("std", F.round("std", 6)).withColumns(
         {f"{n}_seen": F.col(f"{n}_seen").cast("bigint") for n in ("transport", "inspection", "shipment")})
 
 
@@ -257,8 +262,7 @@ def map_infer(spark, sf):
 def _votes(spark, sf):
     """Exact matches win; the other headers are judged by content, without fuzzy votes."""
     exact = mapping.exact_matches(fx.value_headers(spark, sf))
-    inferred = mapping.inferred(mapping.profile(fx.upload_values(spark, sf), fx.ORDER).join(
-        exact, ["upload_id", "position"]))
+    inferred = mapping.inferred(_facts(spark, sf).join(exact, ["upload_id", "position"]))
     none = inferred.withColumns({"fuzzy": F.lit(None).cast("string"), "fuzzy_score": F.lit(None).cast("double")})
     return mapping.combine(none)
 
