@@ -53,6 +53,9 @@ _DOMAINS = {
 }
 
 
+_FLAG = 32
+
+
 def profile(values: DataFrame) -> DataFrame:
     """Facts about each column (upload_id, position) that inference needs.
 
@@ -61,26 +64,33 @@ def profile(values: DataFrame) -> DataFrame:
     least two. A number is in no domain, so only other values are compared.
     """
     v = F.col("value")
+    # per known word: one bit for the word and, from _FLAG on, one bit per domain it is in
+    codes: dict[str, int] = {}
+    masks = {}
+    start = 0
+    for i, (name, domain) in enumerate(_DOMAINS.items()):
+        for j, known in enumerate(domain):
+            codes[known] = codes.get(known, 0) | 1 << (start + j) | 1 << (_FLAG + i)
+        masks[name] = ((1 << len(domain)) - 1) << start
+        start += len(domain)
+    table = F.create_map(*[F.lit(x) for known, code in codes.items() for x in (known, F.lit(code).cast("bigint"))])
     word = F.when(F.col("number").isNull(), strip(F.lower(v)))
-    aggs = [
+    code = F.when(v.isNotNull(), F.coalesce(F.element_at(table, word), F.lit(0).cast("bigint")))
+    read = values.select("upload_id", "position", "value", to_double(v).alias("number")).withColumn("code", code)
+    facts = read.groupBy("upload_id", "position").agg(
         F.count(v).alias("filled"),
         F.count("number").alias("numbers"),
         F.min("number").alias("low"),
         F.max("number").alias("high"),
         F.stddev_samp("number").alias("std"),
-    ]
-    for name, domain in _DOMAINS.items():
-        bit = F.lit(0)
-        for i, known in enumerate(domain):
-            bit = F.when(F.col("word") == known, 1 << i).otherwise(bit)
-        bit = F.when(F.col("word").isNotNull(), bit).otherwise(0)
-        inside = F.when(v.isNotNull(), bit > 0)
-        aggs += [
-            F.coalesce(F.bool_and(inside), F.lit(False)).alias(f"{name}_only"),
-            F.bit_count(F.coalesce(F.bit_or(bit), F.lit(0))).alias(f"{name}_seen"),
-        ]
-    read = values.select("upload_id", "position", "value", to_double(v).alias("number"))
-    return read.withColumn("word", word).groupBy("upload_id", "position").agg(*aggs)
+        F.coalesce(F.bit_and("code"), F.lit(0)).alias("common"),
+        F.coalesce(F.bit_or("code"), F.lit(0)).alias("seen"),
+    )
+    per_domain = {}
+    for i, name in enumerate(_DOMAINS):
+        per_domain[f"{name}_only"] = F.col("common").bitwiseAND(F.lit(1 << (_FLAG + i))) != 0
+        per_domain[f"{name}_seen"] = F.bit_count(F.col("seen").bitwiseAND(F.lit(masks[name])))
+    return facts.withColumns(per_domain).drop("common", "seen")
 
 
 def date_shares(values: DataFrame, facts: DataFrame, order: list[str]) -> DataFrame:
