@@ -30,7 +30,7 @@ from riskspark.llm.trees import BoostedTrees, Isotonic
 SAMPLE = 20_000
 TERMS = 400
 LEAST_TOXIC = 3
-LEAST_Z = 4.0
+LEAST_Z = 3.0
 CALIBRATION_FOLDS = 5
 BEGINNINGS = (4, 5, 6, 7, 8)
 KNOWN_WORDS = 200_000
