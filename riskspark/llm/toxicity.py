@@ -33,7 +33,7 @@ LEAST_TOXIC = 3
 LEAST_Z = 3.0
 CALIBRATION_FOLDS = 5
 BEGINNINGS = (4, 5, 6, 7, 8)
-KNOWN_WORDS = 200_000
+KNOWN_WORDS = 300_000
 LONGEST_WORD = 40
 #: words of the second person in the languages of the corpus
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre "
@@ -41,7 +41,7 @@ SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine i
 #: characters that stand for letters in obfuscated words
 STAND_INS = str.maketrans("013457@$!", "oieastasi")
 _LETTERS = re.compile(r"[^\W\d_]+")
-_ODD = re.compile(r"[0-9@$!*]")
+_INSIDE = re.compile(r"[^\W\d_][0-9@$!*]+[^\W\d_]")
 _MARKS = re.compile(r"[^\w\s]")
 FAR = 50
 
@@ -60,46 +60,60 @@ def terms_of(word: str) -> list[str]:
     return [word + " ", *(word[:n] for n in BEGINNINGS if len(word) >= n)]
 
 
+def log_odds(toxic, clean, all_toxic, all_clean):
+    return np.log((toxic + 0.5) / (all_toxic + 1.0)) - np.log((clean + 0.5) / (all_clean + 1.0))
+
+
 class Lexicon:
     """Terms with their document counts among toxic and clean texts."""
 
     def __init__(self, counts: dict[str, tuple[int, int]], toxic: int, clean: int):
-        self.counts, self.toxic, self.clean = counts, toxic, clean
-        self.known: dict[int, dict[str, float]] = {-1: {}, 0: {}, 1: {}}
-
-    def weight(self, word: str, own: int) -> float:
-        """The largest log-odds of the word's terms, 0 if none is known; ``own`` is the label of
+        # weights as they are, and without one clean (0) or one toxic (1) text
+        self.of_terms = {own: {term: float(w) for term, (t, c) in counts.items()
+                               if (w := log_odds(max(0, t - (own == 1)), max(0, c - (own == 0)), toxic, clean)) > 0}
+                         for own in (-1, 0, 1)}
+        self.of_words: dict[int, dict[str, float]] = {own: {} for own in self.of_terms}
+
+    def weights(self, words: list[str], own: int) -> list[float]:
+        """The largest log-odds of each word's terms, 0 if none is known; ``own`` is the label of
         the text at hand if it was counted, else -1."""
-        known = self.known[own]
-        found = known.get(word)
-        if found is None:
+        known, terms = self.of_words[own], self.of_terms[own]
+        if len(known) > KNOWN_WORDS:
+            known.clear()
+        for word in [w for w in set(words) if w not in known]:
             term = plain(word)
-            found = 0.0
-            if term:
-                for t in terms_of(term):
-                    if t in self.counts:
-                        toxic, clean = self.counts[t]
-                        odds = log_odds(toxic - (own == 1), clean - (own == 0), self.toxic, self.clean)
-                        found = max(found, float(odds))
-            if len(known) > KNOWN_WORDS:
-                known.clear()
-            known[word] = found
-        return found
-
+            best = terms.get(term + " ", 0.0)
+            for n in BEGINNINGS:
+                if len(term) >= n and (found := terms.get(term[:n])) and found > best:
+                    best = found
+            known[word] = best
+        return list(map(known.__getitem__, words))
 
-def log_odds(toxic, clean, all_toxic, all_clean):
-    return np.log((toxic + 0.5) / (all_toxic + 1.0)) - np.log((clean + 0.5) / (all_clean + 1.0))
+    def __getstate__(self):
+        return {"of_terms": self.of_terms, "of_words": {own: {} for own in self.of_terms}}
 
 
 FEATURES = ("length", "hit_rate", "hits", "weight_rate", "largest", "second", "kinds", "you_rate", "you_distance",
             "capitals", "shouted", "marks", "loud_marks", "obfuscated", "obfuscated_hits")
+_NONE, _CAPITAL, _MARK, _LOUD = range(4)
+
+
+def _classes() -> np.ndarray:
+    table = np.zeros(1 << 16, np.uint8)
+    for code in range(1 << 16):
+        c = chr(code)
+        table[code] = _CAPITAL if c.isupper() else _LOUD if c in "!?" else _MARK if _MARKS.match(c) else _NONE
+    return table
+
+
+_CLASSES = _classes()
 
 
 def features(text: str, lexicon: Lexicon, own: int = -1) -> list[float]:
     words = text.split()
-    n = len(words) or 1
-    weights = [lexicon.weight(w, own) for w in words]
-    hits = [i for i, w in enumerate(weights) if w > 0]
+    n, size = len(words) or 1, len(text) or 1
+    weights = lexicon.weights(words, own)
+    hits = [i for i, w in enumerate(weights) if w]
     found = {words[i]: weights[i] for i in hits}
     strongest = sorted(found.values(), reverse=True)[:2] + [0.0, 0.0]
     second = [i for i, w in enumerate(words) if w.lower().strip(".,!?") in SECOND_PERSON] if hits else []
@@ -110,23 +124,12 @@ def features(text: str, lexicon: Lexicon, own: int = -1) -> list[float]:
         both = np.minimum(np.abs(places[np.minimum(after, len(places) - 1)] - hits),
                           np.abs(places[np.maximum(after - 1, 0)] - hits))
         distance = min(FAR, int(both.min()))
-    size = len(text) or 1
-    capitals = sum(map(str.isupper, text)) if size < 1000 else len(text) - _lower_equal(text)
-    odd = [w for w in found if _ODD.search(w.strip("!*$@.,"))]
-    marks = len(_MARKS.findall(text))
-    loud = text.count("!") + text.count("?")
+    units = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), "<u2")
+    _, capitals, marks, loud = np.bincount(_CLASSES[units], minlength=4).tolist()
     return [np.log1p(len(words)), 100 * len(hits) / n, np.log1p(len(hits)), 100 * sum(weights) / n, strongest[0],
             strongest[1], np.log1p(len(found)), 100 * len(second) / n, 1 / (1 + distance), capitals / size,
-            sum(1 for w in words if w.isupper()) / n, marks / size, loud / size,
-            sum(1 for w in words if not w.isalpha() and _ODD.search(w[1:-1])) / n, float(len(odd))]
-
-
-def _lower_equal(text: str) -> int:
-    low = text.lower()
-    if len(low) != len(text):  # a few capitals lower-case to two characters
-        return sum(1 for c in text if not c.isupper())
-    a, b = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (text, low))
-    return int((a == b).sum())
+            sum(map(str.isupper, words)) / n, (marks + loud) / size, loud / size, len(_INSIDE.findall(text)) / n,
+            float(sum(1 for w in found if _INSIDE.search(w)))]
 
 
 class Model:
