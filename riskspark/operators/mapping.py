@@ -14,12 +14,11 @@ from pyspark.sql import functions as F
 from riskspark import schema
 from riskspark.functions.columns import normalise_header, parse_time, slug, strip, to_double
 from riskspark.functions.similarity import best_alias
-from riskspark.operators.ordering import first_per_key, top_per_key
+from riskspark.operators.ordering import first_per_key
 
 # Confidences and acceptance limits.
 EXACT, HIGH, MEDIUM = 0.95, 0.85, 0.60
 SAVED_MATCH = 0.7
-DATE_SAMPLE = 10
 
 
 def normalised(headers: DataFrame) -> DataFrame:
@@ -57,11 +56,12 @@ _FLAG = 32
 
 
 def profile(values: DataFrame) -> DataFrame:
-    """Facts about each column (upload_id, position) that inference needs.
+    """Facts about each column (upload_id, position) that inference needs, over all its values.
 
-    values: upload_id, position, value. Distinct values are not collected: a column fits a
-    domain when no value lies outside and the values seen, kept as one bit each, are at
-    least two. A number is in no domain, so only other values are compared.
+    values: upload_id, position, value. One combinable aggregate; distinct values are not
+    collected: a column fits a domain when no value lies outside and the values seen, kept as one
+    bit each, are at least two. A number is in no domain and is no date, so only other values
+    are compared and parsed.
     """
     v = F.col("value")
     # per known word: one bit for the word and, from _FLAG on, one bit per domain it is in
@@ -74,15 +74,19 @@ def profile(values: DataFrame) -> DataFrame:
         masks[name] = ((1 << len(domain)) - 1) << start
         start += len(domain)
     table = F.create_map(*[F.lit(x) for known, code in codes.items() for x in (known, F.lit(code).cast("bigint"))])
-    word = F.when(F.col("number").isNull(), strip(F.lower(v)))
-    code = F.when(v.isNotNull(), F.coalesce(F.element_at(table, word), F.lit(0).cast("bigint")))
-    read = values.select("upload_id", "position", "value", to_double(v).alias("number")).withColumn("code", code)
-    facts = read.groupBy("upload_id", "position").agg(
+    read = values.select("upload_id", "position", "value", to_double(v).alias("number"))
+    read = read.withColumn("word", F.when(F.col("number").isNull(), strip(F.lower(v))))
+    # one hashed test turns away values of no domain
+    code = F.when(v.isNotNull(), F.when(F.col("word").isin(list(codes)), F.element_at(table, F.col("word")))
+                  .otherwise(F.lit(0).cast("bigint")))
+    time = F.when(F.col("word").isNotNull() & F.rlike("word", F.lit("[0-9]")), parse_time(v))
+    facts = read.withColumns({"code": code, "time": time}).groupBy("upload_id", "position").agg(
         F.count(v).alias("filled"),
         F.count("number").alias("numbers"),
         F.min("number").alias("low"),
         F.max("number").alias("high"),
         F.stddev_samp("number").alias("std"),
+        (F.count("time") / F.count(v)).alias("date_share"),
         F.coalesce(F.bit_and("code"), F.lit(0)).alias("common"),
         F.coalesce(F.bit_or("code"), F.lit(0)).alias("seen"),
     )
@@ -93,19 +97,6 @@ def profile(values: DataFrame) -> DataFrame:
     return facts.withColumns(per_domain).drop("common", "seen")
 
 
-def date_shares(values: DataFrame, facts: DataFrame, order: list[str]) -> DataFrame:
-    """Adds to the facts of text columns the share of dates among their first ten values.
-
-    Only columns with some value that is no number are looked at."""
-    keys = ["upload_id", "position"]
-    text = facts.filter(F.col("filled") > F.col("numbers")).select(*keys)
-    rows = values.filter(F.col("value").isNotNull()).join(text, keys, "left_semi")
-    first = top_per_key(rows, keys, order, DATE_SAMPLE)
-    shares = first.groupBy(*keys).agg(
-        F.avg(parse_time(F.col("value")).isNotNull().cast("double")).alias("date_share"))
-    return facts.join(shares, keys, "left")
-
-
 def _hint(norm: Column, words: list[str]) -> Column:
     return norm.rlike("|".join(words))
 
@@ -221,16 +212,15 @@ def mapping_notes(report: DataFrame) -> DataFrame:
     )
 
 
-def detect(headers: DataFrame, values: DataFrame, order: list[str]) -> DataFrame:
+def detect(headers: DataFrame, values: DataFrame) -> DataFrame:
     """Votes for every source column: exact, else fuzzy combined with inference."""
     named = exact_matches(headers)
     votes = fuzzy_matches(named)
-    facts = date_shares(values, profile(values), order)
-    return combine(inferred(votes.join(facts, ["upload_id", "position"], "left")))
+    return combine(inferred(votes.join(profile(values), ["upload_id", "position"], "left")))
 
 
-def detect_frame(raw: DataFrame, order: list[str], sample_rows: int | None = 200) -> DataFrame:
-    """Mapping report of one frame. ``sample_rows`` limits what inference looks at."""
+def detect_frame(raw: DataFrame, order: list[str], sample_rows: int | None = None) -> DataFrame:
+    """Mapping report of one frame from all its rows, or from the first ``sample_rows`` if asked."""
     spark = raw.sparkSession
     columns = [c for c in raw.columns if c not in order]
     headers = spark.createDataFrame(
@@ -238,8 +228,8 @@ def detect_frame(raw: DataFrame, order: list[str], sample_rows: int | None = 200
     sample = raw.orderBy(*order).limit(sample_rows) if sample_rows else raw
     cells = F.array(*[F.struct(F.lit(i).alias("position"), F.col(f"`{c}`").cast("string").alias("value"))
                       for i, c in enumerate(columns)])
-    values = sample.select(F.lit("frame").alias("upload_id"), *order, F.inline(cells))
-    return mapping_report(headers, assign(detect(headers, values, order)))
+    values = sample.select(F.lit("frame").alias("upload_id"), F.inline(cells))
+    return mapping_report(headers, assign(detect(headers, values)))
 
 
 # --- applying a mapping ----------------------------------------------------------

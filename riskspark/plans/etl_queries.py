@@ -198,29 +198,26 @@ def map_exact(spark, sf):
     return found.select("upload_id", "position", "header", "exact", F.lit(mapping.EXACT).alias("confidence"))
 
 
-@query("map_fuzzy")
+@query("map_fuzzy", oracle("""
+SELECT upload_id, position, header, fuzzy, round(fuzzy_score, 6) AS fuzzy_score
+FROM norm_headers LEFT JOIN fuzzy_headers USING (norm)"""))
 def map_fuzzy(spark, sf):
     found = mapping.fuzzy_matches(mapping.exact_matches(fx.upload_headers(spark, sf)))
     return found.select("upload_id", "position", "header", "fuzzy", F.round("fuzzy_score", 6).alias("fuzzy_score"))
 
 
-def _facts(spark, sf):
-    values = fx.upload_values(spark, sf)
-    return mapping.date_shares(values, mapping.profile(values), fx.ORDER)
-
-
 def _profiled(spark, sf):
-    facts = _facts(spark, sf)
+    facts = mapping.profile(fx.upload_values(spark, sf))
     named = mapping.normalised(fx.value_headers(spark, sf))
     return facts.join(named, ["upload_id", "position"])
 
 
 @query("map_profile", oracle("""
 SELECT upload_id, position, filled, numbers, low, high, round(std, 6) AS std, transport_only, transport_seen,
-  inspection_only, inspection_seen, shipment_only, shipment_seen FROM profiles"""))
+  inspection_only, inspection_seen, shipment_only, shipment_seen, round(date_share, 6) AS date_share FROM profiles"""))
 def map_profile(spark, sf):
     facts = mapping.profile(fx.upload_values(spark, sf))
-    return facts.withColumn("std", F.round("std", 6)).withColumns(
+    return facts.withColumns({c: F.round(c, 6) for c in ("std", "date_share")}).withColumns(
         {f"{n}_seen": F.col(f"{n}_seen").cast("bigint") for n in ("transport", "inspection", "shipment")})
 
 
@@ -250,7 +247,7 @@ SELECT *, CASE
       CASE WHEN code IS NOT NULL THEN 0.70 END END AS DOUBLE) AS inferred_score,
   CASE WHEN code IS NULL THEN NULL WHEN code = 'defect_rate%' THEN 'divide_by_100'
     WHEN code = 'timestamp' THEN 'date_parse' ELSE 'direct' END AS inferred_transform
-FROM value_headers JOIN profiles USING (upload_id, position) LEFT JOIN date_shares USING (upload_id, position))"""
+FROM value_headers JOIN profiles USING (upload_id, position))"""
 
 
 @query("map_infer", oracle(_INFER))
@@ -262,7 +259,7 @@ def map_infer(spark, sf):
 def _votes(spark, sf):
     """Exact matches win; the other headers are judged by content, without fuzzy votes."""
     exact = mapping.exact_matches(fx.value_headers(spark, sf))
-    inferred = mapping.inferred(_facts(spark, sf).join(exact, ["upload_id", "position"]))
+    inferred = mapping.inferred(mapping.profile(fx.upload_values(spark, sf)).join(exact, ["upload_id", "position"]))
     none = inferred.withColumns({"fuzzy": F.lit(None).cast("string"), "fuzzy_score": F.lit(None).cast("double")})
     return mapping.combine(none)
 
@@ -309,10 +306,39 @@ def map_missing(spark, sf):
     return mapping.mapping_notes(_exact_report(spark, sf)).select("upload_id", "mapped", "missing_fields")
 
 
-@query("map_detect")
+_DETECT = """
+WITH votes AS (
+  SELECT v.upload_id, v.position, v.header, a.field AS exact, f.fuzzy, f.fuzzy_score, i.inferred, i.inferred_score,
+    i.inferred_transform, f.fuzzy IS NOT NULL AND f.fuzzy = i.inferred AS agree,
+    i.inferred IS NOT NULL AND (f.fuzzy IS NULL OR i.inferred_score >= 0.85) AS by_values
+  FROM (SELECT *, {norm} AS norm FROM value_headers) v
+  LEFT JOIN aliases a USING (norm) LEFT JOIN fuzzy_headers f USING (norm)
+  LEFT JOIN ({infer}) i ON i.upload_id = v.upload_id AND i.position = v.position),
+picked AS (
+  SELECT upload_id, position, header,
+    CASE WHEN exact IS NOT NULL THEN exact WHEN agree OR by_values THEN inferred ELSE fuzzy END AS field,
+    CASE WHEN exact IS NOT NULL THEN 0.95 WHEN agree THEN least(greatest(inferred_score, fuzzy_score) + 0.05, 1.0)
+      WHEN by_values THEN inferred_score ELSE fuzzy_score END AS confidence,
+    CASE WHEN exact IS NULL AND (agree OR by_values) THEN inferred_transform ELSE 'direct' END AS transform,
+    CASE WHEN exact IS NOT NULL THEN 'exact' WHEN agree THEN 'fuzzy+dtype' WHEN by_values THEN 'dtype'
+      ELSE 'fuzzy' END AS layer
+  FROM votes),
+assigned AS (
+  SELECT * FROM picked WHERE field IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY upload_id, field ORDER BY confidence DESC, position) = 1)
+SELECT s.s_suppkey AS upload_id, f.field_no, f.field, f.required, p.header AS source_column,
+  coalesce(p.transform, 'derive') AS transform, CASE WHEN p.header IS NULL THEN 'use_default' END AS derive_formula,
+  round(coalesce(p.confidence, 0.0), 3)::DOUBLE AS confidence, coalesce(p.layer, 'none') AS match_layer
+FROM supplier s CROSS JOIN (VALUES {fields}) f(field_no, field, required)
+LEFT JOIN assigned p ON p.upload_id = s.s_suppkey AND p.field = f.field""".format(
+    norm=sql.NORM.format("header"), infer=_INFER,
+    fields=", ".join(f"({i}, '{n}', {str(r).lower()})" for i, (n, _, r) in enumerate(schema.CANONICAL)))
+
+
+@query("map_detect", oracle(_DETECT))
 def map_detect(spark, sf):
     """All layers: exact, fuzzy and inferred votes combined, one column per field."""
-    votes = mapping.detect(fx.value_headers(spark, sf), fx.upload_values(spark, sf), fx.ORDER)
+    votes = mapping.detect(fx.value_headers(spark, sf), fx.upload_values(spark, sf))
     return mapping.mapping_report(fx.value_headers(spark, sf), mapping.assign(votes))
 
 

@@ -225,6 +225,24 @@ FROM (SELECT upload_id, position, {written('h', '(upload_id % 4)')} AS w
     BLOCKS["exact_headers"] = """
 SELECT h.upload_id, h.position, h.header, h.norm, a.field AS exact
 FROM norm_headers h LEFT JOIN aliases a ON h.norm = a.norm"""
+    # common subsequence by dynamic programming: one row of the table for each character of the header
+    BLOCKS["fuzzy_headers"] = f"""
+WITH RECURSIVE pairs AS (
+  SELECT norm, alias_no, alias, field FROM (
+    SELECT DISTINCT norm FROM norm_headers UNION SELECT DISTINCT {NORM.format('header')} FROM value_headers)
+  CROSS JOIN (SELECT alias_no, norm AS alias, field FROM aliases)),
+steps(norm, alias_no, alias, i, best) AS (
+  SELECT norm, alias_no, alias, 0, list_transform(range(length(alias) + 1), lambda j: 0) FROM pairs
+  UNION ALL
+  SELECT norm, alias_no, alias, i + 1, list_transform(range(1, length(alias) + 2), lambda j: list_max(grown[1:j]))
+  FROM (SELECT *, list_transform(range(1, length(alias) + 2), lambda j:
+          CASE WHEN j > 1 AND alias[j - 1] = norm[i + 1] THEN best[j - 1] + 1 ELSE best[j] END) AS grown
+        FROM steps WHERE i < length(norm)))
+SELECT norm, field AS fuzzy, score AS fuzzy_score FROM (
+  SELECT norm, field, alias_no,
+    2.0::DOUBLE * best[length(alias) + 1]::DOUBLE / (length(norm) + length(alias))::DOUBLE AS score
+  FROM steps JOIN pairs USING (norm, alias_no, alias) WHERE i = length(norm))
+WHERE score >= 0.6 QUALIFY row_number() OVER (PARTITION BY norm ORDER BY score DESC, alias_no) = 1"""
     BLOCKS["cells"] = f"""
 SELECT l_suppkey AS upload_id, unnest(range({len(value_headers)})) AS position, row_seq, unnest([
     CASE l_linenumber % 4 WHEN 0 THEN 'Road' WHEN 1 THEN 'Air' WHEN 2 THEN 'Rail' ELSE 'Sea' END,
@@ -250,12 +268,8 @@ SELECT s_suppkey AS upload_id, unnest(range({len(value_headers)})) AS position,
     BLOCKS["profiles"] = f"""
 SELECT upload_id, position, count(value) AS filled, count(TRY_CAST(value AS DOUBLE)) AS numbers,
   min(TRY_CAST(value AS DOUBLE)) AS low, max(TRY_CAST(value AS DOUBLE)) AS high,
-  stddev_samp(TRY_CAST(value AS DOUBLE)) AS std, {parts} FROM cells GROUP BY upload_id, position"""
-    BLOCKS["date_shares"] = """
-SELECT upload_id, position, avg(CASE WHEN TRY_CAST(value AS TIMESTAMP) IS NOT NULL THEN 1.0 ELSE 0.0 END) AS date_share
-FROM (SELECT * FROM cells WHERE value IS NOT NULL
-      QUALIFY row_number() OVER (PARTITION BY upload_id, position ORDER BY row_seq) <= 10)
-GROUP BY upload_id, position"""
+  stddev_samp(TRY_CAST(value AS DOUBLE)) AS std,
+  count(TRY_CAST(value AS TIMESTAMP))::DOUBLE / nullif(count(value), 0) AS date_share, {parts} FROM cells GROUP BY upload_id, position"""
     registry = upload_headers[1:] + ["comment"]
     BLOCKS["registry"] = f"""
 SELECT sha256(n_name) AS id, n_name AS company_id, n_nationkey / 25.0 AS confidence_score,

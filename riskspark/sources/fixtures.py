@@ -44,6 +44,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(LAYOUTS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Deals narrow rows to all cores where the files are too few to do so, before they are
+    widened."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+
+
 # Canonical column: (table it needs besides lineitem, expression).
 COLUMNS = {
     "supplier_id": ("", "format_string('SUP-%04d', l_suppkey)"),
@@ -190,8 +197,10 @@ def upload_values(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(c("l_linenumber") > 1, F.concat(F.lit("note "), c("l_linenumber").cast("string"))),
     ]
     cells = F.array(*[F.struct(F.lit(i).alias("position"), t.alias("value")) for i, t in enumerate(text)])
-    return table(spark, sf_dir, "lineitem").select(
-        c("l_suppkey").alias("upload_id"), F.struct(*KEY_COLUMNS).alias("row_key"), F.inline(cells))
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
+        "l_returnflag", "l_linestatus", "l_shipdate")
+    return spread(lines).select(c("l_suppkey").alias("upload_id"), F.inline(cells))
 
 
 def value_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
