@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from riskspark.functions import rules
 from riskspark.functions.columns import iso_time, parse_time
 from riskspark.functions.text import exact_round, fixed, float_or, grouped, join_lines, num, quoted, text_or
-from riskspark.operators.ordering import number_rows, top_per_key
+from riskspark.operators.ordering import first_per_key, number_rows, top_per_key
 
 RECENT_INCIDENTS = 5
 
@@ -246,8 +246,17 @@ def supplier_documents(df: DataFrame, order: list[str]) -> DataFrame:
     return _chunk(s, "supplier_summary", "concat('supplier_summary_', supplier_id)", text, metadata)
 
 
-def documents(df: DataFrame, order: list[str]) -> DataFrame:
-    return record_documents(df).unionByName(supplier_documents(df, order))
+def latest_records(df: DataFrame, order: list[str]) -> DataFrame:
+    """The last row of each code and supplier by row order, chosen before any text is built."""
+    r = Record(df)
+    keyed = df.withColumns({"_code": F.expr(r.code), "_supplier": F.expr(r.supplier)})
+    return first_per_key(keyed, ["_code", "_supplier"], [F.col(c).desc() for c in order]).drop("_code", "_supplier")
+
+
+def documents(df: DataFrame, order: list[str], latest: bool = False) -> DataFrame:
+    """All chunks of a batch. With ``latest``, rows that share a chunk id leave one record, the last."""
+    records = record_documents(latest_records(df, order) if latest else df)
+    return records.unionByName(supplier_documents(df, order))
 
 
 def link_incidents(incidents: DataFrame, df: DataFrame, order: list[str]) -> DataFrame:

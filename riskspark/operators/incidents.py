@@ -113,6 +113,14 @@ def delete_rows(table: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame
     return table.join(keys.select(key), key, "left_anti").select(*table.columns)
 
 
-def upsert_latest(existing: DataFrame, batch: DataFrame, key: str) -> DataFrame:
-    """Rows of the batch replace rows with the same key."""
+def latest(batch: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The last row of each key by row order."""
+    return first_per_key(batch, [key], [F.col(c).desc() for c in order])
+
+
+def upsert_latest(existing: DataFrame, batch: DataFrame, key: str, order: list[str] | None = None) -> DataFrame:
+    """Rows of the batch replace rows with the same key. Where keys repeat inside the batch,
+    ``order`` names the columns by which its last row wins; they are not kept."""
+    if order:
+        batch = latest(batch, key, order).drop(*order)
     return batch.unionByName(existing.join(batch.select(key), key, "left_anti").select(*existing.columns))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from riskspark import schema
@@ -103,11 +104,14 @@ def upsert_documents(spark, sf):
     df = fx.canonical(spark, sf, ["sku", "supplier_id", "line_status"])
     chunks = df.select(
         F.concat(F.lit("record_"), "sku", F.lit("_"), "supplier_id").alias("chunk_id"),
-        F.col("line_status").alias("status"), "line_status", F.lit("record").alias("chunk_type"))
-    old, new = (h.drop("line_status").dropDuplicates(["chunk_id"]) for h in _halves(chunks))
+        F.col("line_status").alias("status"), "line_status", F.lit("record").alias("chunk_type"), "row_key")
+    old, new = (h.drop("line_status") for h in _halves(chunks))
+    # the batch brings each of its chunks twice, first as it was
+    new = new.withColumn("pass", F.lit(2)).unionByName(new.withColumns({"pass": F.lit(1), "status": F.lit("old")}))
     store = files.Table(spark, scratch_path(spark, "chunks"), ["chunk_type"])
-    store.overwrite(old)
-    store.overwrite(incidents.upsert_latest(store.read().select(*old.columns), new, "chunk_id"))
+    store.overwrite(incidents.latest(old, "chunk_id", ["row_key"]).drop("row_key"))
+    known = store.read().select("chunk_id", "status", "chunk_type")
+    store.overwrite(incidents.upsert_latest(known, new, "chunk_id", ["pass", "row_key"]))
     return store.read()
 
 
@@ -792,12 +796,16 @@ def anomaly_all(spark, sf):
 SELECT CASE anomaly_type WHEN 'stockout_risk' THEN 'inventory' WHEN 'trend' THEN 'shipment' ELSE 'supplier' END AS category,
   severity, CASE WHEN supplier_name <> 'Multiple' THEN supplier_name END AS supplier_ref,
   CAST(CASE WHEN severity = 'critical' THEN 90 ELSE 70 END AS DOUBLE) AS impact_score, 'open' AS resolution_status,
-  'ANO-' || upper(substr(sku, 1, 6)) AS code_start FROM ({_ALL_EVENTS})"""))
+  'ANO-' || upper(substr(sku, 1, 6)) AS code_start,
+  count(*) OVER (PARTITION BY anomaly_type, field, supplier_name, sku, severity) AS same_code, 64 AS digest_chars
+FROM ({_ALL_EVENTS})"""))
 def anomaly_incidents(spark, sf):
     found = anomaly.to_incidents(anomaly.detect(_odd(spark, sf), fx.ORDER), fx.AS_OF)
     return found.select(
         "category", "severity", "supplier_ref", "impact_score", "resolution_status",
-        F.regexp_replace("incident_code", "-[0-9A-F]{8}$", "").alias("code_start"))
+        F.regexp_replace("incident_code", "-[0-9A-F]+$", "").alias("code_start"),
+        F.count("*").over(Window.partitionBy("incident_code")).alias("same_code"),
+        F.length(F.regexp_extract("incident_code", "-([0-9A-F]+)$", 1)).alias("digest_chars"))
 
 
 # --- F: documents ----------------------------------------------------------------

@@ -256,19 +256,21 @@ def _session_frame(spark, sf):
         {
             "overall_score": F.col("evaluation_score"),
             "risk_score": F.col("evaluation_score") * 10,
-            "final_response": F.substring("query_text", 1, 20),
-            "recommendations": F.array(F.lit("REC-001")),
+            "final_response": F.col("query_text"),
+            "recommendations": F.array(F.concat(F.lit("REC-"), "session_id")),
         }
     )
     return q.session_rows(final)
 
 
 @query("log_session_rows", oracle("""
-SELECT session_id, user_id, round(evaluation_score * 10, 6) AS risk_score, substr(query_text, 1, 20) AS final_response,
+SELECT session_id, user_id, round(evaluation_score * 10, 6) AS risk_score, query_text AS final_response,
+  'REC-' || session_id AS recommendation,
   tokens_used, latency_ms, evaluation_score FROM sessions"""))
 def log_session_rows(spark, sf):
     return _session_frame(spark, sf).select(
         "session_id", "user_id", F.round("result.risk_score", 6).alias("risk_score"), "result.final_response",
+        F.element_at("result.recommendations", 1).alias("recommendation"),
         "tokens_used", "latency_ms", "evaluation_score")
 
 

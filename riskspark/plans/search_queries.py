@@ -161,6 +161,9 @@ _RULE = "chr(10) || chr(10) || repeat('─', 60)"
 
 
 @query("retrieve_context", oracle(f"""
+SELECT item_id AS query_id, CASE WHEN parts IS NULL THEN '{r.NO_CONTEXT}' ELSE context END AS context,
+  coalesce(parts, 0) AS parts
+FROM benchmark LEFT JOIN (
 SELECT query_id, {_RULE} || string_agg(part, chr(10) || chr(10) ORDER BY pos) AS context,
   CAST(count(part) AS INT) AS parts
 FROM (SELECT query_id, pos, CASE WHEN used + length(text) <= 3000 THEN text WHEN 3000 - used > 300
@@ -168,10 +171,10 @@ FROM (SELECT query_id, pos, CASE WHEN used + length(text) <= 3000 THEN text WHEN
   SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY query_id ORDER BY (source = 'src3') DESC, score DESC, rank
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used,
     row_number() OVER (PARTITION BY query_id ORDER BY (source = 'src3') DESC, score DESC, rank) AS pos
-  FROM keyword_texts)) GROUP BY query_id"""))
+  FROM keyword_texts)) GROUP BY query_id) ON query_id = item_id"""))
 def retrieve_context(spark, sf):
     queries, found = fx.search_queries(spark, sf), _texts(spark, sf)
-    return r.build_context(queries, found, prefer="src3").filter("parts > 0 or context not like 'No %'")
+    return r.build_context(queries, found, prefer="src3")
 
 
 _TOK = r"\s*(?:[A-Za-z0-9_]+|[^A-Za-z0-9_\s])"
