@@ -50,10 +50,12 @@ def upsert_suppliers(existing: DataFrame, batch: DataFrame) -> DataFrame:
     ).select(*existing.columns)
 
 
-def incident_rows(df: DataFrame, order: list[str]) -> DataFrame:
-    """Incidents of one batch: the first row of each code, severity by the fixed rules."""
+def incident_rows(df: DataFrame, order: list[str], unique: bool = False) -> DataFrame:
+    """Incidents of one batch: the first row of each code, severity by the fixed rules. With
+    ``unique``, the caller has chosen one row of each code already."""
     r = docs.Record(df)
-    first = first_per_key(r.frame.withColumn("_code", F.expr(r.code)), ["_code"], order)
+    first = r.frame.withColumn("_code", F.expr(r.code))
+    first = first if unique else first_per_key(first, ["_code"], order)
     impact = f"CASE WHEN {r.severity} = 'critical' THEN 9D ELSE 5D END"
     if "ImpactScore" in r.columns:
         impact = f"coalesce(try_cast(ImpactScore AS DOUBLE), {impact})"

@@ -44,6 +44,21 @@ def io_csv_scan(spark, sf):
         float_or(F.col("delivery_delay_days")).alias("delivery_delay_days"), "inspection_status", "timestamp")
 
 
+@query("io_csv_quoted", oracle("""
+SELECT sku, 'first line' || chr(10) || 'the "second", ' || supplier_id AS note,
+  CASE WHEN row_seq % 3 = 0 THEN NULL ELSE supplier_id END AS supplier_id FROM canonical"""))
+def io_csv_quoted(spark, sf):
+    """Cells with quoted line breaks, quotes and commas, and words that mean no value."""
+    words = F.array(*[F.lit(w) for w in files.NULL_WORDS])
+    gone = F.element_at(words, F.pmod(F.xxhash64("sku"), F.lit(len(files.NULL_WORDS))).cast("int") + 1)
+    df = number_rows(fx.canonical(spark, sf, ["sku", "supplier_id"]), fx.ORDER).select(
+        "sku", F.concat(F.lit('first line\nthe "second", '), "supplier_id").alias("note"),
+        F.when(F.col("row_seq") % 3 == 0, gone).otherwise(F.col("supplier_id")).alias("supplier_id"))
+    path = scratch_path(spark, "quoted")
+    files.write_csv(df, path)
+    return files.read_csv(spark, path).select("sku", "note", "supplier_id")
+
+
 @query("io_profile_sample", oracle("SELECT sku, supplier_id FROM canonical ORDER BY row_seq LIMIT 200"))
 def io_profile_sample(spark, sf):
     raw = _landed_csv(spark, sf, ordered=True)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskspark.operators import derive, incidents
+from riskspark.operators.ordering import first_per_key
 from riskspark.sources import fixtures as fx
 
 # Canonical columns that come from the line table alone and that derivations read.
@@ -24,15 +25,23 @@ def enriched(spark: SparkSession, sf: str, extra: list[str] | None = None) -> Da
     return derive.derive_fields(base, fx.AS_OF, fx.ORDER, stats=stats)[0]
 
 
+_FORMATTED = TEXTS + ["region", "reliability_score", "resolution_status"]
+
+
 def formatted(spark: SparkSession, sf: str, keep: list[str] | None = None) -> DataFrame:
-    df = enriched(spark, sf, TEXTS + ["region", "reliability_score", "resolution_status", *(keep or [])])
+    return _format(enriched(spark, sf, _FORMATTED + list(keep or [])))
+
+
+def _format(df: DataFrame) -> DataFrame:
     return derive.to_pipeline(
         df.withColumnsRenamed(
             {"region": "Region", "reliability_score": "ReliabilityScore", "resolution_status": "ResolutionStatus"}))
 
 
 def incident_table(spark: SparkSession, sf: str) -> DataFrame:
-    return incidents.incident_rows(formatted(spark, sf), fx.ORDER)
+    """The first line of each code is chosen from narrow columns; texts are built after that."""
+    first = first_per_key(enriched(spark, sf, _FORMATTED), ["sku"], fx.ORDER)
+    return incidents.incident_rows(_format(first), fx.ORDER, unique=True)
 
 
 def supplier_table(spark: SparkSession, sf: str) -> DataFrame:

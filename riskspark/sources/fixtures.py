@@ -92,7 +92,7 @@ def canonical(spark: SparkSession, sf_dir: str, columns: list[str] | None = None
     table is joined only when one of the wanted columns comes from it."""
     wanted = columns or list(COLUMNS)
     needs = {COLUMNS[c][0] for c in wanted}
-    df = table(spark, sf_dir, "lineitem")
+    df = spread(table(spark, sf_dir, "lineitem"))
     if "orders" in needs:
         df = df.join(table(spark, sf_dir, "orders"), F.expr("l_orderkey = o_orderkey"))
     if "part" in needs:
