@@ -79,8 +79,10 @@ def grouped(c: Column, digits: int) -> Column:
 
 def exact_round(c: Column, digits: int) -> Column:
     """Rounds the exact binary value, ties to even; decimal-looking ties such as 2.675 differ
-    from ``round``, which goes by the shortest decimal text."""
-    return fixed(c, digits).try_cast("double")
+    from ``round``, which goes by the shortest decimal text. Only numbers near a tie go through text."""
+    scaled = c * F.lit(10.0 ** digits)
+    clear = (F.abs(scaled) < 1e12) & (F.abs(F.abs(scaled - F.floor(scaled)) - 0.5) > 1e-4)
+    return F.when(clear, F.rint(scaled) / F.lit(10.0 ** digits)).otherwise(fixed(c, digits).try_cast("double"))
 
 
 def scaled_round(c: Column, digits: int) -> Column:

@@ -25,7 +25,12 @@ def grouped(e: str, digits: int) -> str:
 
 
 def exact_round(e: str, digits: int) -> str:
-    return f"try_cast({fixed(e, digits)} AS DOUBLE)"
+    """Rounded as its exact binary value asks for. Scaled numbers clear of a tie are rounded as
+    numbers; only the rest goes through text."""
+    scaled = f"({e}) * {num(10 ** digits)}"
+    clear = f"abs({scaled}) < 1e12D AND abs(abs({scaled} - floor({scaled})) - 0.5D) > 1e-4D"
+    return (f"CASE WHEN {clear} THEN rint({scaled}) / {num(10 ** digits)} "
+            f"ELSE try_cast({fixed(e, digits)} AS DOUBLE) END")
 
 
 def float_or(name: str, default: float = 0.0) -> str:

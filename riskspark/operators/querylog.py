@@ -72,7 +72,7 @@ def _last_in_chunk(ts: np.ndarray, ttl: int) -> np.ndarray:
 def _whole_groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
     """Batches of rows sorted by ``keys``, cut so that no group spans two batches, each with
     the positions where its groups begin and end."""
-    rest: pd.DataFrame | None = None
+    rest: list[pd.DataFrame] = []  # the last group so far, joined once it has ended
 
     def borders(pdf: pd.DataFrame) -> np.ndarray:
         changed = np.ones(len(pdf), dtype=bool)
@@ -83,16 +83,19 @@ def _whole_groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[t
         return np.append(np.flatnonzero(changed), len(pdf))
 
     for pdf in frames:
-        if rest is not None:
-            pdf = pd.concat([rest, pdf], ignore_index=True)
         if pdf.empty:
             continue
+        if rest and (pdf[keys].iloc[-1] == rest[0][keys].iloc[-1]).all():
+            rest.append(pdf)
+            continue
+        pdf = pd.concat([*rest, pdf], ignore_index=True)
         cuts = borders(pdf)
         if len(cuts) > 2:
             yield pdf.iloc[: cuts[-2]], cuts[:-1]
-        rest = pdf.iloc[cuts[-2]:]
-    if rest is not None and len(rest):
-        yield rest, np.array([0, len(rest)])
+        rest = [pdf.iloc[cuts[-2]:]]
+    if rest:
+        last = pd.concat(rest, ignore_index=True)
+        yield last, np.array([0, len(last)])
 
 
 def mark_repeats(

@@ -8,6 +8,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,7 @@ from pyspark.sql import types as T
 from riskspark import schema
 from riskspark.functions.columns import tokens
 from riskspark.operators.ordering import top_per_key
+from riskspark.session import landed
 
 # Okapi BM25 parameters and the rank-fusion constant.
 BM25_K1, BM25_B, BM25_EPSILON = 1.5, 0.75, 0.25
@@ -173,22 +175,26 @@ def _unit(rows) -> np.ndarray:
     return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
 
 
-def _best(doc_ids: np.ndarray, docs: np.ndarray, query_ids: list, queries: np.ndarray, k: int) -> pd.DataFrame:
-    """The best k rows of one batch for every query, with ties to the smaller id."""
-    scores = np.round(queries @ docs.T, _SCORE_DIGITS)
-    by_id = np.argsort(doc_ids, kind="stable")
-    order = by_id[np.argsort(-scores[:, by_id], axis=1, kind="stable")[:, :k]]
-    return pd.DataFrame(
-        {
-            "query_id": np.repeat(np.array(query_ids), order.shape[1]),
-            "doc_id": doc_ids[order].ravel(),
-            "score": np.take_along_axis(scores, order, axis=1).ravel(),
-        }
-    )
+MAX_SHIPPED_VALUES = 1_000_000  # numbers of a query matrix sent to every task (8 MB)
+MAX_SCORES = 2_000_000  # scores of a tile in a task's memory (16 MB)
 
 
-MAX_SHIPPED_VALUES = 4_000_000  # numbers of a query matrix sent to every task (32 MB)
-DOCS_PER_BLOCK = 50_000
+def _best(doc_ids: np.ndarray, docs: np.ndarray, query_ids: list, queries: np.ndarray, k: int) -> pd.DataFrame:
+    """The best k rows of one batch for every query, with ties to the smaller id. Queries are
+    taken in slices, so that a tile of scores is bounded whatever their number."""
+    tile = max(1, MAX_SCORES // max(1, len(doc_ids)))
+    found = []
+    for at in range(0, len(queries), tile):
+        scores = np.round(queries[at:at + tile] @ docs.T, _SCORE_DIGITS)
+        least = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(scores), -np.inf)
+        row, col = np.nonzero(scores >= least[:, None])  # ties with the k-th best included
+        order = np.lexsort((doc_ids[col], -scores[row, col], row))
+        row, col = row[order], col[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        row, col = row[rank < k], col[rank < k]
+        found.append(pd.DataFrame({"query_id": [query_ids[at + r] for r in row], "doc_id": doc_ids[col],
+                                   "score": scores[row, col]}))
+    return pd.concat(found, ignore_index=True)
 
 
 def cosine_search(
@@ -196,18 +202,21 @@ def cosine_search(
 ) -> DataFrame:
     """(query_id, doc_id, score, rank from 0) by cosine similarity.
 
-    queries: query_id, embedding; docs: doc_id, embedding. Every batch of documents
-    keeps its best k per query, so pairs never leave a task. A small query batch goes
-    to every task as a matrix; a larger one meets the documents block by block.
+    queries: query_id, embedding; docs: doc_id, embedding. Queries go to every task as matrices
+    of at most ``max_shipped`` numbers, one block of queries after the other; each batch of
+    documents keeps its best k per query, so pairs never leave a task.
     """
     out = T.StructType(
         [queries.schema["query_id"], docs.schema["doc_id"], T.StructField("score", T.DoubleType())])
-    docs, queries = docs.select("doc_id", "embedding"), queries.select("query_id", "embedding")
+    queries = landed(queries.select("query_id", "embedding"), "queries")
     size = queries.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dims")).first()
     if not size.n:
         return _ranked(docs.sparkSession.createDataFrame([], out), k)
-    if size.n * size.dims <= max_shipped:
-        rows = queries.collect()
+    blocks = math.ceil(size.n * size.dims / max_shipped)
+    docs = docs.select("doc_id", "embedding")
+    docs = docs if blocks == 1 else landed(docs, "vectors")  # encoded once for all blocks
+
+    def against(rows: list) -> DataFrame:
         ids, matrix = [r.query_id for r in rows], _unit(r.embedding for r in rows)
 
         def local(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -215,25 +224,11 @@ def cosine_search(
                 if len(pdf):
                     yield _best(pdf["doc_id"].to_numpy(), _unit(pdf["embedding"]), ids, matrix, k)
 
-        return _ranked(docs.mapInPandas(local, out), k)
-
-    n_query_blocks = math.ceil(size.n * size.dims / max_shipped)
-    n_doc_blocks = max(1, math.ceil(docs.count() / DOCS_PER_BLOCK))
-    query_block = F.pmod(F.xxhash64("query_id"), F.lit(n_query_blocks))
-    doc_block = F.pmod(F.xxhash64("doc_id"), F.lit(n_doc_blocks))
-    left = docs.withColumn("doc_block", doc_block).withColumn(
-        "query_block", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1)).cast("array<bigint>")))
-    right = queries.withColumn("query_block", query_block).withColumn(
-        "doc_block", F.explode(F.sequence(F.lit(0), F.lit(n_doc_blocks - 1)).cast("array<bigint>")))
-
-    def block(d: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if d.empty or q.empty:
-            return pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
-        return _best(
-            d["doc_id"].to_numpy(), _unit(d["embedding"]), q["query_id"].tolist(), _unit(q["embedding"]), k)
-
-    keys = ["query_block", "doc_block"]
-    return _ranked(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(block, out), k)
+        return docs.mapInPandas(local, out)
+
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    parts = [against(rows) for b in range(blocks) if (rows := queries.filter(block == b).collect())]
+    return _ranked(reduce(DataFrame.union, parts), k)
 
 
 # --- filters, fusion, rerank -----------------------------------------------------
