@@ -59,7 +59,13 @@ def _postings(tokenised: DataFrame) -> DataFrame:
     )
 
 
-def _term_stats(postings: DataFrame, doc_stats: DataFrame) -> DataFrame:
+def posting_frames(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Postings and lengths of documents, for an index that is kept up document by document."""
+    tokenised = _tokenised(docs, doc_id, text)
+    return _postings(tokenised), tokenised.select("doc_id", "dl")
+
+
+def term_stats(postings: DataFrame, doc_stats: DataFrame) -> DataFrame:
     n_docs = doc_stats.agg(F.count("*").alias("n")).scalar()
     counts = postings.groupBy("term").agg(F.count("*").alias("df")).withColumn(
         "raw", F.ln(n_docs - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
@@ -72,7 +78,7 @@ def index_frames(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """The index as lazy frames, for a single use."""
     tokenised = _tokenised(docs, doc_id, text)
     postings, doc_stats = _postings(tokenised), tokenised.select("doc_id", "dl")
-    return KeywordIndex(postings, doc_stats, _term_stats(postings, doc_stats))
+    return KeywordIndex(postings, doc_stats, term_stats(postings, doc_stats))
 
 
 def build_index(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> KeywordIndex:
@@ -88,7 +94,7 @@ def build_index(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     _postings(tokenised).repartitionByRange("term", "doc_id").sortWithinPartitions("term").write.mode(
         "overwrite").parquet(f"{path}/postings")
     postings, doc_stats = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/doc_stats")
-    _term_stats(postings, doc_stats).write.mode("overwrite").parquet(f"{path}/term_stats")
+    term_stats(postings, doc_stats).write.mode("overwrite").parquet(f"{path}/term_stats")
     return KeywordIndex.load(spark, path)
 
 

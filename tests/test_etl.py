@@ -270,6 +270,7 @@ def test_csv_to_warehouse(spark, tmp_path):
     assert first["suppliers_total"] == 2 and first["chunks_total"] == 5
     again = etl.ingest_csv(spark, str(tmp_path / "in"), home, AS_OF)
     assert again == {**first, "incidents_inserted": 0}
+    assert home.index().doc_stats.count() == home.vectors.count() == 5
     codes = {r.incident_code: r.supplier_ref for r in home.incidents.read().collect()}
     assert codes["K2"] == "V1" and "K4" not in codes
 
@@ -292,6 +293,56 @@ def test_table_versions(spark):
     assert (old.count(), t.count()) == (3, 5)
 
 
+def test_append_and_conflict(spark):
+    t = files.Table(spark, scratch_path(spark, "t"))
+    t.append(spark.range(3))
+    t.append(spark.range(3, 5))
+    assert sorted(r.id for r in t.read().collect()) == [0, 1, 2, 3, 4]
+    with pytest.raises(files.VersionConflict):
+        t._commit(1, {}, "")
+    t.overwrite(spark.range(9, 10))
+    assert t.end_old_versions(keep=1) == 2 and [r.id for r in t.read().collect()] == [9]
+
+
+def test_upsert_replaces_touched_buckets_only(spark):
+    t = files.Table(spark, scratch_path(spark, "t"), key="id", buckets=8)
+    t.overwrite(spark.range(200).withColumn("v", F.lit(0)))
+    before = t.folders()
+    new = spark.createDataFrame([(5, 1), (1000, 1)], "id long, v int")
+    t.upsert(new, lambda old, batch: incidents.upsert_latest(old, batch, "id"))
+    after = t.folders()
+    changed = {b for b in after if after[b] != before[b]}
+    assert len(changed) <= 2 and len(after) == 8
+    rows = {r.id: r.v for r in t.read().collect()}
+    assert len(rows) == 201 and rows[5] == rows[1000] == 1 and sum(rows.values()) == 2
+    t.end_old_versions(keep=1)
+    assert t.count() == 201
+
+
+def test_repeated_chunk_ids_and_null_words(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text(
+        "Vendor ID,Supplier,Stock,Demand,Warehouse,Delay Days,SKU,Note\n"
+        'V1,Acme,10,100,Oslo,9,K1,"two\nlines"\nV1,Acme,20,100,Oslo,9,K1,x\nN/A,NA,5,5,Oslo,1,K9,y\n')
+    home = etl.Warehouse.at(spark, str(tmp_path / "home"))
+    counts = etl.ingest_csv(spark, str(tmp_path / "in"), home, AS_OF)
+    chunks = home.chunks.read().collect()
+    assert counts["chunks_total"] == len({c.chunk_id for c in chunks}) == len(chunks) == 2
+    record = next(c for c in chunks if c.chunk_type == "record")
+    assert record.metadata.inventory_level == 20.0
+    assert home.suppliers.count() == 1
+    etl.replace_documents(home.chunks.read().limit(1), home, reset=True)
+    assert home.chunks.count() == home.vectors.count() == 1
+
+
+def test_events_of_equal_prefix_have_their_own_codes(spark):
+    events = spark.createDataFrame(
+        [("stockout_risk", "inventory_level", 1.0, "a", f"SKU-00{i}", "x", "high", f"d{i}") for i in range(50)],
+        ", ".join(f"{c} {'double' if c == 'value' else 'string'}" for c in anomaly.EVENT_COLUMNS))
+    codes = [r.incident_code for r in anomaly.to_incidents(events, AS_OF).collect()]
+    assert len(set(codes)) == 50 and len({c[:10] for c in codes}) == 1
+
+
 def test_preview_uses_its_own_thresholds(spark):
     raw = spark.createDataFrame([(i, str(i % 4)) for i in range(100)], "n int, delay string")
     same = {"delivery_delay_days": {"source_column": "delay", "transform": "direct"}}
