@@ -6,7 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Date layouts tried after ISO 8601.
-DATE_FORMATS = ["M/d/yyyy", "yyyy/M/d", "d-MMM-yyyy", "M/d/yyyy H:mm"]
+DATE_FORMATS = [
+    "M/d/yyyy", "yyyy/M/d", "d-MMM-yyyy", "M/d/yyyy H:mm", "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy",
+    "dd.MM.yyyy", "yyyyMMdd"]
 
 
 def strip(c: Column) -> Column:

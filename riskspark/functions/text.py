@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 # Characters stripped from both ends of a text.
 BLANKS = r"' \t\n\r\u000B\u000C'"
 
@@ -41,22 +43,12 @@ def text_or(name: str, default: str = "N/A") -> str:
     return f"coalesce(nullif(btrim(CAST({name} AS STRING), {BLANKS}), ''), {quoted(default)})"
 
 
-def join_lines(*lines: str | list[str]) -> str:
-    """Lines of a text template, each a constant or a list of SQL expressions and constants.
-
-    Constants are given with a leading ``=``; everything else is SQL.
-    """
-    parts, constant = [], ""
-    for line in lines:
-        for piece in [line] if isinstance(line, str) else line:
-            if piece.startswith("="):
-                constant += piece[1:]
-            else:
-                if constant:
-                    parts.append(quoted(constant))
-                    constant = ""
-                parts.append(piece)
-        constant += "\n"
-    if constant:
-        parts.append(quoted(constant))
+def filled(template: str, slots: dict[str, str]) -> str:
+    """SQL for a text with ``{name}`` slots, each filled by an SQL expression."""
+    parts = []
+    for text, name, _, _ in string.Formatter().parse(template):
+        if text:
+            parts.append(quoted(text))
+        if name:
+            parts.append(f"({slots[name]})")
     return f"concat({', '.join(parts)})"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from riskspark.functions import rules
 from riskspark.functions.columns import iso_time, parse_time
-from riskspark.functions.text import exact_round, fixed, float_or, grouped, join_lines, num, quoted, text_or
+from riskspark.functions.text import exact_round, filled, fixed, float_or, grouped, num, quoted, text_or
 from riskspark.operators.ordering import first_per_key, number_rows, top_per_key
 
 RECENT_INCIDENTS = 5
@@ -77,34 +77,57 @@ def fill_codes(df: DataFrame, order: list[str]) -> DataFrame:
         "IncidentCode", F.when(code == "", F.concat(F.lit("INC-"), padded)).otherwise(code))
 
 
+# Fixed value: the text of a record; names in braces are slots.
+RECORD_TEXT = """SUPPLY CHAIN INCIDENT REPORT
+Incident Code: {code}
+Supplier: {name} (ID: {supplier})
+Region: {region} | Category: {category}
+Reliability Score: {reliability}/100
+
+Logistics:
+  Warehouse Location: {location}
+  Shipment Status: {status}
+  Delivery Delay: {delay} days
+  Transportation Cost: ${cost}
+
+Inventory:
+  Current Level: {stock} units
+  Demand Forecast: {demand} units
+  Coverage Ratio: {cover} ({stock_status})
+
+Incident:
+  Title: {title}
+  Description: {description}
+  Severity: {severity}
+  Category: {incident_category}
+  Date: {date}
+  Resolution: {resolution}
+"""
+
+
 def record_text(r: Record) -> Column:
-    status = f"CASE WHEN {r.cover} < 0.5D THEN 'STOCKOUT RISK' ELSE 'ADEQUATE' END"
-    return F.expr(join_lines(
-        "=SUPPLY CHAIN INCIDENT REPORT",
-        ["=Incident Code: ", r.code],
-        ["=Supplier: ", r.text("SupplierName"), "= (ID: ", r.supplier, "=)"],
-        ["=Region: ", r.text("Region"), "= | Category: ", r.text("SupplierCategory")],
-        ["=Reliability Score: ", fixed(r.number("ReliabilityScore"), 1), "=/100"],
-        "=",
-        "=Logistics:",
-        ["=  Warehouse Location: ", r.text("WarehouseLocation")],
-        ["=  Shipment Status: ", r.text("ShipmentStatus")],
-        ["=  Delivery Delay: ", fixed(r.delay, 1), "= days"],
-        ["=  Transportation Cost: $", grouped(r.number("TransportationCost"), 2)],
-        "=",
-        "=Inventory:",
-        ["=  Current Level: ", fixed(r.stock, 0), "= units"],
-        ["=  Demand Forecast: ", fixed(r.demand, 0), "= units"],
-        ["=  Coverage Ratio: ", fixed(r.cover, 2), "= (", status, "=)"],
-        "=",
-        "=Incident:",
-        ["=  Title: ", r.text("Title")],
-        ["=  Description: ", r.text("Description")],
-        ["=  Severity: ", f"upper({r.severity})"],
-        ["=  Category: ", r.text("IncidentCategory")],
-        ["=  Date: ", r.text("OccurredAt")],
-        ["=  Resolution: ", r.text("ResolutionStatus", "open")],
-    ))
+    return F.expr(filled(RECORD_TEXT, {
+        "code": r.code,
+        "name": r.text("SupplierName"),
+        "supplier": r.supplier,
+        "region": r.text("Region"),
+        "category": r.text("SupplierCategory"),
+        "reliability": fixed(r.number("ReliabilityScore"), 1),
+        "location": r.text("WarehouseLocation"),
+        "status": r.text("ShipmentStatus"),
+        "delay": fixed(r.delay, 1),
+        "cost": grouped(r.number("TransportationCost"), 2),
+        "stock": fixed(r.stock, 0),
+        "demand": fixed(r.demand, 0),
+        "cover": fixed(r.cover, 2),
+        "stock_status": f"CASE WHEN {r.cover} < 0.5D THEN 'STOCKOUT RISK' ELSE 'ADEQUATE' END",
+        "title": r.text("Title"),
+        "description": r.text("Description"),
+        "severity": f"upper({r.severity})",
+        "incident_category": r.text("IncidentCategory"),
+        "date": r.text("OccurredAt"),
+        "resolution": r.text("ResolutionStatus", "open"),
+    }))
 
 
 METADATA_TYPES = {
@@ -212,25 +235,40 @@ def risk_label(level: str) -> str:
     return f"CASE {level} {cases} END"
 
 
+# Fixed value: the text of a supplier summary; names in braces are slots.
+SUMMARY_TEXT = """SUPPLIER PERFORMANCE SUMMARY
+Supplier: {name} (ID: {supplier})
+Region: {region} | Category: {category}
+Total Incidents on Record: {total}
+
+Performance Metrics:
+  Average Reliability Score: {reliability}/100
+  Average Delivery Delay: {delay} days
+  Critical Incidents: {critical}
+  High-Severity Incidents: {high}
+
+Recent Incident History:
+{recent}
+
+Risk Assessment: {assessment}
+"""
+
+
 def supplier_documents(df: DataFrame, order: list[str]) -> DataFrame:
     s = supplier_stats(df, order).join(recent_incidents(df, order), "supplier_id", "left")
-    text = F.expr(join_lines(
-        "=SUPPLIER PERFORMANCE SUMMARY",
-        ["=Supplier: ", "name", "= (ID: ", "supplier_id", "=)"],
-        ["=Region: ", "region", "= | Category: ", "category"],
-        ["=Total Incidents on Record: ", "total"],
-        "=",
-        "=Performance Metrics:",
-        ["=  Average Reliability Score: ", fixed("avg_reliability", 1), "=/100"],
-        ["=  Average Delivery Delay: ", fixed("avg_delay", 1), "= days"],
-        ["=  Critical Incidents: ", "critical_count"],
-        ["=  High-Severity Incidents: ", "high_count"],
-        "=",
-        "=Recent Incident History:",
-        ["coalesce(recent, '')"],
-        "=",
-        ["=Risk Assessment: ", risk_label("risk_level")],
-    ))
+    text = F.expr(filled(SUMMARY_TEXT, {
+        "name": "name",
+        "supplier": "supplier_id",
+        "region": "region",
+        "category": "category",
+        "total": "total",
+        "reliability": fixed("avg_reliability", 1),
+        "delay": fixed("avg_delay", 1),
+        "critical": "critical_count",
+        "high": "high_count",
+        "recent": "coalesce(recent, '')",
+        "assessment": risk_label("risk_level"),
+    }))
     metadata = {
         "supplier_id": "supplier_id",
         "supplier_name": "name",
