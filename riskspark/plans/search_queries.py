@@ -125,14 +125,34 @@ def retrieve_hybrid(spark, sf):
     return _hybrid(spark, sf).withColumn("score", F.round("score", 6))
 
 
+def _hybrid_some(spark, sf):
+    """Hybrid search whose vector side sees chunks of one type from some suppliers only."""
+    queries = fx.search_queries(spark, sf)
+    vectors = r.embed(queries, key="query_id")
+    docs = fx.documents(spark, sf)
+    metadata = F.struct(F.col("lang").alias("region"), F.col("source").alias("chunk_type"))
+    docs = r.embed(docs).join(docs.select("doc_id", metadata.alias("metadata")), "doc_id")
+    filters = {"region": ["de", "fr"], "chunk_type": "src0"}
+    return r.hybrid_search(queries.join(vectors, "query_id"), docs, _index(spark, sf), filters=filters)
+
+
+@query("retrieve_hybrid_filtered", oracle(
+    "SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM reranked_some"))
+def retrieve_hybrid_filtered(spark, sf):
+    return _hybrid_some(spark, sf).withColumn("score", F.round("score", 6))
+
+
 @query("retrieve_for_agent", oracle("""
-SELECT item_id AS query_id, text AS query, coalesce(documents, '') AS documents, coalesce(n, 0) AS total_retrieved
+SELECT item_id AS query_id, text AS query, coalesce(documents, '') AS documents, coalesce(scores, '') AS scores,
+  coalesce(n, 0) AS total_retrieved
 FROM benchmark LEFT JOIN (SELECT query_id, string_agg(doc_id::VARCHAR, ',' ORDER BY rank) AS documents,
-    CAST(count(*) AS INT) AS n FROM keyword GROUP BY query_id) ON query_id = item_id"""))
+    string_agg(printf('%.4f', score), ',' ORDER BY rank) AS scores, CAST(count(*) AS INT) AS n
+  FROM reranked_some GROUP BY query_id) ON query_id = item_id"""))
 def retrieve_for_agent(spark, sf):
-    packed = r.for_agent(_keyword(spark, sf), fx.search_queries(spark, sf))
+    packed = r.for_agent(_hybrid_some(spark, sf), fx.search_queries(spark, sf))
     ids = F.array_join(F.transform("documents", lambda x: x.cast("string")), ",")
-    return packed.select("query_id", "query", ids.alias("documents"), "total_retrieved")
+    scores = F.array_join(F.transform("scores", lambda x: F.format_string("%.4f", x)), ",")
+    return packed.select("query_id", "query", ids.alias("documents"), scores.alias("scores"), "total_retrieved")
 
 
 def _texts(spark, sf):

@@ -377,6 +377,11 @@ SELECT query_id, doc_id, score, rank FROM (
     LEFT JOIN (SELECT query_id, doc_id, idf FROM query_terms JOIN postings USING (term) JOIN terms USING (term)) t
       ON p.query_id = t.query_id AND p.doc_id = t.doc_id
     GROUP BY p.query_id, p.doc_id, p.rank)) WHERE rank < 10"""
+# the same search with the vector side restricted to some documents
+BLOCKS["semantic_some"] = BLOCKS["semantic"].replace(
+    "FROM documents) d", "FROM documents WHERE lang IN ('de', 'fr') AND source = 'src0') d")
+BLOCKS["fused_some"] = BLOCKS["fused"].replace("FROM semantic UNION", "FROM semantic_some UNION")
+BLOCKS["reranked_some"] = BLOCKS["reranked"].replace("FROM fused ", "FROM fused_some ")
 BLOCKS["keyword_texts"] = """
 SELECT k.query_id, k.doc_id, k.score, k.rank, d.text, d.source FROM keyword k JOIN documents d USING (doc_id)
 WHERE k.rank < 10"""
