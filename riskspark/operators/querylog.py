@@ -16,6 +16,7 @@ from riskspark import schema
 from riskspark.functions.columns import exact_round, strip
 from riskspark.operators.analytics import at, day_start, newest_sessions, snippet
 from riskspark.operators.incidents import patch
+from riskspark.session import landed
 
 # Limits and patterns a query text is checked against.
 QUERY_MIN, QUERY_MAX = 5, 2000
@@ -98,6 +99,78 @@ def _whole_groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[t
         yield last, np.array([0, len(last)])
 
 
+FAN = 64  # reductions that one task composes or follows
+
+
+def _chunks_of(pdf: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(chunk, enter, leave) of the rows of one group, which are sorted by chunk and entry."""
+    chunk, enter, leave = (pdf[c].to_numpy() for c in ("_chunk", "enter", "leave"))
+    borders = np.flatnonzero(np.diff(chunk)) + 1
+    yield from zip(chunk[np.r_[0, borders]].tolist(), np.split(enter, borders), np.split(leave, borders))
+
+
+def _composed(parts: list[tuple[int, np.ndarray, np.ndarray]], ttl: int) -> tuple[np.ndarray, np.ndarray]:
+    """The reduction of neighbouring chunks. A chain that passes the first chunk by enters the
+    second at its first entry: chunks are no shorter than the lifetime."""
+    (_, enter, last), rest = parts[0], parts[1:]
+    if rest:
+        enter, last = np.append(enter, rest[0][1][0]), np.append(last, rest[0][1][0] - ttl)
+    for _, begins, ends in rest:
+        at = np.searchsorted(begins, last + ttl)
+        on = at < len(begins)
+        last[on] = ends[at[on]]
+    keep = np.append(last[1:] != last[:-1], True)
+    return enter[keep], last[keep]
+
+
+def _entries(exits: DataFrame, ttl: int) -> DataFrame:
+    """(_key, _chunk, _last): the last miss before each chunk, null if there is none."""
+
+    def compose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, cuts in _whole_groups(frames, ["_key", "_group"]):
+            out = []
+            for begin, end in zip(cuts[:-1], cuts[1:]):
+                part = pdf.iloc[begin:end]
+                enter, leave = _composed(list(_chunks_of(part)), ttl)
+                out.append(pd.DataFrame({"_key": part["_key"].iloc[0], "_chunk": part["_group"].iloc[0], "enter": enter,
+                                         "leave": leave}))
+            yield pd.concat(out)
+
+    def follow(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, cuts in _whole_groups(frames, ["_key", "_group"]):
+            out = []
+            for begin, end in zip(cuts[:-1], cuts[1:]):
+                part = pdf.iloc[begin:end]
+                key, last = part["_key"].iloc[0], part["_last"].iloc[0]
+                last = None if pd.isna(last) else int(last)
+                for chunk, enter, leave in _chunks_of(part):
+                    out.append((key, chunk, last))
+                    at = 0 if last is None else int(np.searchsorted(enter, last + ttl))
+                    last = int(leave[at]) if at < len(leave) else last
+            yield pd.DataFrame(out, columns=["_key", "_chunk", "_last"]).astype({"_last": "Int64"})
+
+    def grouped(level: DataFrame) -> DataFrame:
+        return level.withColumn("_group", F.floor(F.col("_chunk") / FAN))
+
+    def in_order(level: DataFrame) -> DataFrame:
+        return level.repartition("_key", "_group").sortWithinPartitions("_key", "_group", "_chunk", "enter")
+
+    levels = [exits]
+    low, high = exits.agg(F.min("_chunk"), F.max("_chunk")).first()
+    while high is not None and high - low >= FAN:
+        up = in_order(grouped(levels[-1])).mapInPandas(compose, "_key string, _chunk bigint, enter bigint, leave bigint")
+        levels.append(landed(up, "exits"))
+        low, high = low // FAN, high // FAN
+    entries = None
+    for level in reversed(levels):
+        if entries is None:  # few enough to be followed from the start
+            rows = level.withColumns({"_group": F.lit(0).cast("bigint"), "_last": F.lit(None).cast("bigint")})
+        else:
+            rows = grouped(level).join(entries.withColumnRenamed("_chunk", "_group"), ["_key", "_group"])
+        entries = in_order(rows).mapInPandas(follow, "_key string, _chunk bigint, _last bigint")
+    return entries
+
+
 def mark_repeats(
     df: DataFrame, key: str = "key", ts: str = "ts", ident: str = "event_id",
     ttl_seconds: int = CACHE_SECONDS, chunk_seconds: int = 3600,
@@ -106,9 +179,10 @@ def mark_repeats(
 
     A hit does not extend the lifetime, so each answer depends on the one before. The
     log is cut into chunks of time per key. Every chunk is first reduced to "if the
-    chain enters here, it leaves there"; only these reductions are followed along a
-    key, and the chunks are then marked independently. A key that holds most of the
-    log is therefore spread over its chunks. ``ident`` breaks ties in time.
+    chain enters here, it leaves there". ``FAN`` neighbouring reductions are composed into one,
+    and these again, until a key has few; the times at which the chain enters are then handed
+    down the same tree, and the chunks are marked independently. No task sees a key's whole log
+    or all its reductions. ``ident`` breaks ties in time.
     """
     ttl, size = ttl_seconds * _MICROS, max(chunk_seconds, ttl_seconds) * _MICROS
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
@@ -131,22 +205,6 @@ def mark_repeats(
                 out["_chunk"].append(np.repeat(chunks[begin], keep.sum()))
             yield pd.DataFrame({c: np.concatenate(parts) for c, parts in out.items()})
 
-    def follow(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # rows arrive sorted by key, chunk, entry; the state is one time per key
-        name = chunk = last = None
-        done = False
-        for pdf in frames:
-            out = []
-            for k, c, enter, leave in zip(pdf["_key"], pdf["_chunk"], pdf["enter"], pdf["leave"]):
-                if k != name:
-                    name, chunk, last = k, None, None
-                if c != chunk:
-                    chunk, done = c, False
-                    out.append((k, c, last))
-                if not done and (last is None or enter >= last + ttl):
-                    last, done = leave, True
-            yield pd.DataFrame(out, columns=["_key", "_chunk", "_last"]).astype({"_last": "Int64"})
-
     columns = df.columns
 
     def mark(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -160,14 +218,10 @@ def mark_repeats(
                     i = int(np.searchsorted(t, t[i] + ttl))
             yield pdf[columns].assign(hit=hit)
 
-    exits = (
+    exits = landed(
         rows.select(*group, "_us").repartition(*group).sortWithinPartitions(*group, "_us")
-        .mapInPandas(reduce, "_key string, _chunk bigint, enter bigint, leave bigint")
-    )
-    entries = (
-        exits.repartition("_key").sortWithinPartitions("_key", "_chunk", "enter")
-        .mapInPandas(follow, "_key string, _chunk bigint, _last bigint")
-    )
+        .mapInPandas(reduce, "_key string, _chunk bigint, enter bigint, leave bigint"), "exits")
+    entries = _entries(exits, ttl)
     out = T.StructType([*df.schema.fields, T.StructField("hit", T.BooleanType())])
     return (
         rows.join(entries, group).repartition(*group).sortWithinPartitions(*group, "_us", ident)

@@ -31,8 +31,10 @@ def brute_repeats(rows, ttl=600):
     return hits
 
 
-@pytest.mark.parametrize("chunk", [600, 1700, 3600])
-def test_repeats_equal_brute_force(spark, chunk):
+@pytest.mark.parametrize("chunk, fan", [(600, 64), (600, 2), (700, 3), (1700, 64), (3600, 2)])
+def test_repeats_equal_brute_force(spark, monkeypatch, chunk, fan):
+    """With a small fan, no task sees more than a few of a key's reductions."""
+    monkeypatch.setattr(querylog, "FAN", fan)
     rng = random.Random(chunk)
     rows = []
     for i in range(3000):
