@@ -12,6 +12,8 @@ depth:
 * These remaining suffixes are merged the same way: the fingerprints of their first 200 bytes are
   sorted, and adjacent equal ones are the repeated strings.
 
+Blocks get back one bit for each name they sent.
+
 Names say where equal strings start; no order beyond the depth is made, so no ranks of the whole
 corpus are shuffled in rounds of recursion.
 
@@ -120,22 +122,26 @@ def _unpacked(data: bytes, kept: int) -> np.ndarray:
 
 Key = tuple[pa.Scalar, ...]
 _RUNS = pa.schema([("range", pa.int64()), ("block", pa.int64()), ("once", pa.binary()), ("several", pa.binary())])
-_FOUND = pa.schema([("block", pa.int64()), ("range", pa.int64()), ("names", pa.binary())])
+_FOUND = pa.schema([("block", pa.int64()), ("range", pa.int64()), ("marks", pa.binary())])
 
 
 def _repeated(kept: int):
-    """For each block of a range, which of its names stand anywhere else."""
+    """For each block of a range, one bit for each name that it holds once: it stands in another
+    block too. Groups below 0 are notes of a block to itself."""
 
     def work(key: Key, group: pa.Table) -> pa.Table:
+        place = key[0].as_py()
+        if place < 0:
+            return pa.table([group["block"], group["range"], group["once"]], schema=_FOUND)
         once = [_unpacked(b, kept) for b in group["once"].to_pylist()]
         several = [_unpacked(b, kept) for b in group["several"].to_pylist()]
         names = np.sort(np.concatenate([*once, *several, *several]))
-        again = np.unique(names[1:][names[1:] == names[:-1]])
+        again = names[1:][names[1:] == names[:-1]]
         rows = []
-        for block, a, b in zip(group["block"].to_pylist(), once, several):
-            found = np.concatenate([a[_among(a, again)], b])
-            if len(found):
-                rows.append((block, key[0].as_py(), _packed(found, kept)))
+        for block, held in zip(group["block"].to_pylist(), once):
+            marks = _among(held, again)
+            if marks.any():
+                rows.append((block, place, np.packbits(marks).tobytes()))
         columns = list(zip(*rows)) if rows else [[], [], []]
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, _FOUND)], schema=_FOUND)
 
@@ -148,23 +154,24 @@ def _among(names: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, names), len(table) - 1)] == names
 
 
-def _is_found(names: np.ndarray, found: pa.Table, ranges: int, kept: int) -> np.ndarray:
-    """Which of a block's names are among those reported back."""
-    marks = np.zeros(len(names), bool)
-    place, short = _range_of(names, ranges), _shortened(names, kept)
-    order = np.argsort(place, kind="stable")
-    borders = np.searchsorted(place[order], np.arange(ranges + 1))
-    for i, data in zip(found["range"].to_pylist(), found["names"].to_pylist()):
-        members = order[borders[i]:borders[i + 1]]
-        marks[members] = _among(short[members], np.unique(_unpacked(data, kept)))
-    return marks
+def _stand_elsewhere(names: np.ndarray, found: pa.Table, ranges: int) -> np.ndarray:
+    """Which of a block's names stand anywhere else, from the bits reported back for the runs that
+    ``_runs`` makes of the same names."""
+    held, inverse, times = np.unique(names, return_inverse=True, return_counts=True)
+    borders = np.searchsorted(_range_of(held, ranges), np.arange(ranges + 1))
+    marks = times > 1
+    for i, data in zip(found["range"].to_pylist(), found["marks"].to_pylist()):
+        if i >= 0:
+            once = borders[i] + np.flatnonzero(times[borders[i]:borders[i + 1]] == 1)
+            marks[once] = np.unpackbits(np.frombuffer(data, np.uint8), count=len(once)).astype(bool)
+    return marks[inverse]
 
 
 def _block(texts: pa.Table, length: int) -> tuple[pa.Table, Block]:
-    """The block of the distinct texts of a group; each map task sent a text once."""
+    """The block of the distinct texts of a group, in the order of their hashes, which is the same
+    in every step and attempt; each map task sent a text once."""
     order = {key: i for i, key in enumerate(zip(texts["h1"].to_pylist(), texts["h2"].to_pylist()))}
-    if len(order) < texts.num_rows:
-        texts = texts.take(pa.array(sorted(order.values())))
+    texts = texts.take(pa.array([i for _, i in sorted(order.items())], pa.int64()))
     return texts, Block(texts["content"].to_pylist(), length)
 
 
@@ -210,32 +217,37 @@ def _changed(dealt: DataFrame, ranges: int, length: int, with_kept: bool) -> Dat
 
     def names(key: Key, texts: pa.Table) -> pa.Table:
         _, block = _block(texts, length)
-        found = block.names(block.sampled(), width)
-        return _run_table(key, _runs(found, ranges, SAMPLE_BYTES))
+        return _run_table(key, _runs(block.names(block.sampled(), width), ranges, SAMPLE_BYTES))
 
     def strings(key: Key, texts: pa.Table, found: pa.Table) -> pa.Table:
-        if not found.num_rows or not texts.num_rows:
+        if not texts.num_rows:
             return _RUNS.empty_table()
         _, block = _block(texts, length)
         at = block.sampled()
-        at = block.candidates(at[_is_found(block.names(at, width), found, ranges, SAMPLE_BYTES)])
-        return _run_table(key, _runs(block.names(at, length), ranges, STRING_BYTES))
+        repeated = _stand_elsewhere(block.names(at, width), found, ranges)
+        at = block.candidates(at[repeated])
+        if not len(at):
+            return _RUNS.empty_table()
+        note = (-1 - key[0].as_py(), np.packbits(repeated).tobytes(), b"")
+        return _run_table(key, [note, *_runs(block.names(at, length), ranges, STRING_BYTES)])
 
     def cut(key: Key, texts: pa.Table, found: pa.Table) -> pa.Table:
-        if not found.num_rows or not texts.num_rows:
+        notes = [m for i, m in zip(found["range"].to_pylist(), found["marks"].to_pylist()) if i < 0]
+        if not notes or not texts.num_rows:
             return _CHANGED.empty_table()
         texts, block = _block(texts, length)
-        at = np.flatnonzero(block.begins(length))
-        # a string that repeats is looked up wherever it stands; candidates need no second naming
-        marks = _is_found(block.names(at, length), found, ranges, STRING_BYTES)
+        at = block.sampled()
+        repeated = np.unpackbits(np.frombuffer(notes[0], np.uint8), count=len(at)).astype(bool)
+        at = block.candidates(at[repeated])
+        marks = _stand_elsewhere(block.names(at, length), found, ranges)
         return _cut(texts, block, at[marks], with_kept)
 
     by_block = lambda df: df.groupBy("block")
     runs = by_block(dealt).applyInArrow(names, "range long, block long, once binary, several binary")
-    found = runs.groupBy("range").applyInArrow(_repeated(SAMPLE_BYTES), "block long, range long, names binary")
+    found = runs.groupBy("range").applyInArrow(_repeated(SAMPLE_BYTES), "block long, range long, marks binary")
     more = by_block(dealt).cogroup(by_block(found)).applyInArrow(
         strings, "range long, block long, once binary, several binary")
-    again = more.groupBy("range").applyInArrow(_repeated(STRING_BYTES), "block long, range long, names binary")
+    again = more.groupBy("range").applyInArrow(_repeated(STRING_BYTES), "block long, range long, marks binary")
     return by_block(dealt).cogroup(by_block(again)).applyInArrow(
         cut, "h1 long, h2 long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
