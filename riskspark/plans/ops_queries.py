@@ -664,6 +664,41 @@ def stream_daily_volume(spark, sf):
     return streams.drain_final(daily).withColumn("score", F.round("score", 6))
 
 
+@query("stream_uploads", oracle("""
+SELECT sku AS incident_code, supplier_id AS supplier_ref, round(delivery_delay_days, 2) AS delivery_delay_days,
+  product_type AS supplier_category
+FROM canonical WHERE floor(inventory_level / 10) % 3 <> 2"""))
+def stream_uploads(spark, sf):
+    """Three files with headers of their own arrive in a folder; the one without a required group is
+    rejected whole."""
+    styles = [
+        {"sku": "incident code", "supplier_id": "Supplier ID", "supplier_name": "supplier_name", "product_type": "category",
+         "inventory_level": "InventoryLevel", "shipment_status": "shipment status", "timestamp": "Date",
+         "warehouse_location": "Warehouse Location", "delivery_delay_days": "delivery_delay", "demand_forecast": "order quantity",
+         "transportation_cost": "transportation cost"},
+        {"sku": "IncidentCode", "supplier_id": "SUPPLIERID", "supplier_name": "Supplier Name", "product_type": "Supplier Category",
+         "inventory_level": "inventory_level", "shipment_status": "ShipmentStatus", "timestamp": "occurred_at",
+         "warehouse_location": "warehouselocation", "delivery_delay_days": "Delivery Delay Days",
+         "demand_forecast": "demand_forecast", "transportation_cost": "TransportationCost"},
+    ]
+    styles.append({**styles[0], "shipment_status": "remarks"})
+    home, path = scratch_path(spark, "warehouse"), scratch_path(spark, "folder")
+    lines = fx.canonical(spark, sf, list(styles[0])).withColumns(
+        {"shipment_status": F.lit("In-Transit"), "pick": F.floor(F.col("inventory_level") / 10) % 3})
+    for i, style in enumerate(styles):
+        rows = lines.filter(F.col("pick") == i).select(*[F.col(c).alias(h) for c, h in style.items()])
+        files.write_csv(rows.coalesce(1), f"{path}/upload-{i}")  # an upload is one file
+    warehouse, log = etl.Warehouse.at(spark, home), []
+    streams.ingest_folder(spark, path, warehouse, scratch_path(spark, "offsets"), log).awaitTermination()
+    if sorted(e["status"] for e in log) != ["completed", "completed", "failed"]:
+        raise RuntimeError(f"uploads: {log}")
+    chunks = warehouse.chunks.read().filter("chunk_type = 'record'")
+    category = chunks.select(F.col("metadata.incident_code").alias("incident_code"),
+                             F.col("metadata.supplier_category").alias("supplier_category"))
+    return warehouse.incidents.read().select("incident_code", "supplier_ref", "delivery_delay_days").join(
+        category, "incident_code")
+
+
 @query("stream_ingest", oracle("""
 SELECT incident_code, supplier_ref, severity FROM incidents"""))
 def stream_ingest(spark, sf):
