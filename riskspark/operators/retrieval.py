@@ -42,7 +42,11 @@ class KeywordIndex:
     @staticmethod
     def load(spark, path: str) -> "KeywordIndex":
         read = spark.read.parquet
-        return KeywordIndex(read(f"{path}/postings"), read(f"{path}/doc_stats"), read(f"{path}/term_stats"))
+        doc_stats = read(f"{path}/doc_stats")
+        kinds = {f.name: f.dataType.simpleString() for f in doc_stats.schema.fields}
+        layout = f"term string, doc_id {kinds['doc_id']}, tf bigint, dl {kinds['dl']}, bucket int"
+        return KeywordIndex(
+            spark.read.schema(layout).parquet(f"{path}/postings"), doc_stats, read(f"{path}/term_stats"))
 
 
 def _tokenised(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -81,19 +85,29 @@ def index_frames(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return KeywordIndex(postings, doc_stats, term_stats(postings, doc_stats))
 
 
+POSTING_BUCKETS = 64
+
+
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(POSTING_BUCKETS)).cast("int")
+
+
 def build_index(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> KeywordIndex:
     """Writes the index tables and returns them. Each table is made from the one before, so
     texts are split once for postings and once for lengths.
 
-    Postings are laid out by term and document: a search reads the row groups of its
-    terms, and the postings of a frequent term spread over many files.
+    Postings are partitioned by a hash of the term and laid out by term and document: a search
+    reads the partitions of its terms, and the postings of a frequent term spread over many files.
     """
     spark = docs.sparkSession
     tokenised = _tokenised(docs, doc_id, text)
     tokenised.select("doc_id", "dl").write.mode("overwrite").parquet(f"{path}/doc_stats")
-    _postings(tokenised).repartitionByRange("term", "doc_id").sortWithinPartitions("term").write.mode(
+    _postings(tokenised).withColumn("bucket", _bucket(F.col("term"))).repartitionByRange(
+        "bucket", "term", "doc_id").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode(
         "overwrite").parquet(f"{path}/postings")
-    postings, doc_stats = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/doc_stats")
+    doc_stats = spark.read.parquet(f"{path}/doc_stats")
+    layout = f"term string, doc_id {doc_stats.schema['doc_id'].dataType.simpleString()}"
+    postings = spark.read.schema(layout).parquet(f"{path}/postings")
     term_stats(postings, doc_stats).write.mode("overwrite").parquet(f"{path}/term_stats")
     return KeywordIndex.load(spark, path)
 
@@ -110,14 +124,18 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def bm25_search(queries: DataFrame, index: KeywordIndex, k: int = KEYWORD_K) -> DataFrame:
     """(query_id, doc_id, score, rank from 0): the best k documents with a positive score.
 
-    Only postings of query terms are read; scores are added up per task before the
-    shuffle, and each task passes on k rows per query.
+    Of a stored index, only the partitions that hold query terms are read; scores are added up
+    per task before the shuffle, and each task passes on k rows per query.
     """
+    postings = index.postings
+    if "bucket" in postings.columns:
+        held = query_terms(queries).select(_bucket(F.col("term")).alias("b")).distinct().collect()
+        postings = postings.filter(F.col("bucket").isin([r.b for r in held]))
     mean_length = index.doc_stats.agg(F.avg("dl")).scalar()
     weighted = query_terms(queries).join(index.term_stats.select("term", "idf"), "term")
     norm = F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / mean_length)
     scored = (
-        index.postings.join(weighted, "term")
+        postings.join(weighted, "term")
         .groupBy("query_id", "doc_id")
         .agg(F.sum(F.col("qtf") * F.col("idf") * F.col("tf") * (BM25_K1 + 1) / norm).alias("score"))
         .withColumn("score", F.round("score", _SCORE_DIGITS))

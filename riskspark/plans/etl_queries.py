@@ -146,12 +146,21 @@ def io_document_store(spark, sf):
 
 
 @query("index_bm25_tables", oracle("""
-SELECT term, df, round(idf, 6) AS idf FROM terms"""))
+SELECT 'terms' AS part, term, NULL::BIGINT AS doc_id, df::BIGINT AS n, NULL::BIGINT AS dl, round(idf, 6) AS idf FROM terms
+UNION ALL SELECT 'postings', term, doc_id, tf, dl, NULL FROM postings
+UNION ALL SELECT 'lengths', NULL, doc_id, NULL, dl, NULL FROM doc_tokens"""))
 def index_bm25_tables(spark, sf):
     path = scratch_path(spark, "index")
     retrieval.build_index(fx.documents(spark, sf), path)
     loaded = retrieval.KeywordIndex.load(spark, path)
-    return loaded.term_stats.select("term", "df", R6("idf"))
+    parts = {"terms": (loaded.term_stats, {"term": "term", "n": "df", "idf": "idf"}),
+             "postings": (loaded.postings, {"term": "term", "doc_id": "doc_id", "n": "tf", "dl": "dl"}),
+             "lengths": (loaded.doc_stats, {"doc_id": "doc_id", "dl": "dl"})}
+    types = {"term": "string", "doc_id": "bigint", "n": "bigint", "dl": "bigint", "idf": "double"}
+    rows = [df.select(F.lit(part).alias("part"), *[
+        (F.col(names[c]) if c in names else F.lit(None)).cast(kind).alias(c) for c, kind in types.items()])
+        for part, (df, names) in parts.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).withColumn("idf", F.round("idf", 6))
 
 
 @query("io_job_history", oracle("""

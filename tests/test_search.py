@@ -187,3 +187,13 @@ def test_token_budget(spark):
     assert r.pack_to_budget(df, 100).first().packed.count("---") == 2
     counts = spark.range(1).select(r.count_tokens(F.lit("")), r.count_tokens(F.lit("a-b c"))).first()
     assert tuple(counts) == (0, 4)
+
+
+def test_search_reads_only_partitions_of_its_terms(spark):
+    docs = spark.createDataFrame([(i, f"word{i} common text") for i in range(300)], "doc_id long, text string")
+    index = r.build_index(docs, scratch_path(spark, "index"))
+    queries = spark.createDataFrame([(1, "word7")], "query_id int, text string")
+    found = r.bm25_search(queries, index)
+    assert [x.doc_id for x in found.collect()] == [7]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan)
