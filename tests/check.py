@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -72,11 +73,12 @@ def main(argv):
         i = argv.index("--sf")
         sf = argv[i + 1]
         argv = argv[:i] + argv[i + 2:]
-    from riskspark.session import get_session
+    from riskspark.session import clear_scratch, get_session
     import __spark_entry__ as entry
 
     spark = get_session(master="local[8]", **{
         "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "16g",
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="check-"),
         "spark.driver.extraJavaOptions": "-Dlog4j2.level=ERROR"})
     spark.sparkContext.setLogLevel("ERROR")
     sf_dir = f"/root/testdata/sf{sf}"
@@ -88,6 +90,7 @@ def main(argv):
             message, took, good = compare(spark, con, n, queries, oracles, sf_dir)
         except Exception as exc:  # noqa: BLE001
             message, took, good = f"ERROR {type(exc).__name__}: {str(exc)[:700]}", 0.0, False
+        clear_scratch(spark)
         bad += not good
         print(f"{'PASS' if good else 'FAIL'} {n} {took:.1f}s {message}", flush=True)
     print(f"{len(names) - bad} of {len(names)} passed")

@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -51,3 +53,14 @@ def test_top_per_key_limits_before_the_shuffle(spark):
     assert sorted((r.k, r.id) for r in top.collect()) == [(0, 996), (0, 999), (1, 994), (1, 997), (2, 995), (2, 998)]
     plan = top._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_scratch_is_cleared(spark):
+    from riskspark.session import clear_scratch, landed, scratch_path
+
+    kept = landed(spark.range(3))
+    assert kept.count() == 3
+    clear_scratch(spark)
+    clear_scratch(spark)
+    folder = scratch_path(spark, "x").rsplit("/", 1)[0].removeprefix("file://")
+    assert not Path(folder).exists()
