@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import byte_batches, text_of
+from riskspark.llm.common import byte_batches, packed_texts, text_of
 from riskspark.llm.rolling import window_hashes
 
 Q = 9
@@ -207,14 +207,14 @@ def drop_leaking(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     def sieve(items):
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = Index(items, q, max_error)
-            for batch in byte_batches(batches, "_text"):
+            for batch in byte_batches(batches, text_col, packed=True):
                 good = np.ones(batch.num_rows, bool)
-                good[[n for n, *_ in index.find(batch.column(1).to_pylist())]] = False
+                good[[n for n, *_ in index.find([t or "" for t in packed_texts(batch, text_col).to_pylist()])]] = False
                 yield batch.filter(pa.array(good))
 
         return keep
 
-    rows = docs.select(F.struct("*").alias("_row"), text_of(text_col).alias("_text"))
+    rows = docs.select(F.struct("*").alias("_row"))
     for items in _blocks(benchmark, item_col, item_text_col, block_chars):
         rows = rows.mapInArrow(sieve(items), rows.schema)
     return rows.select("_row.*")

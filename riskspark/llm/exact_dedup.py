@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import text_of
+from riskspark.llm.common import row_key, text_of, without_keys
 from riskspark.session import landed
 
 FIRST_DIGIT = 64
@@ -68,10 +68,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without exact copies, all columns kept; of rows that repeat id and
     text one stays."""
-    decided = (exact_groups(docs, id_col, text_col).filter(~F.col("kept"))
-               .select(F.col("id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct())
-    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_id"),
-                       F.sha2(text_of(text_col).cast("binary"), 256).alias("_sha"))
-    left = rows.join(decided, rows["_id"].eqNullSafe(decided["_id"]) & (rows["_sha"] == decided["_sha"]), "left_anti")
-    # identical rows meet here only; the first of them stays
-    return left.dropDuplicates(["_id", "_sha"]).select("_row.*")
+    dropped = (exact_groups(docs, id_col, text_col).filter(~F.col("kept"))
+               .select(row_key("id", F.col("text_sha256")).alias("_key")).distinct())
+    rows = docs.select(row_key(id_col, F.sha2(text_of(text_col).cast("binary"), 256)).alias("_key"),
+                       F.struct("*").alias("_row"))
+    return without_keys(rows, dropped)

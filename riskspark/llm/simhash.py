@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import byte_batches, text_of, words_of
+from riskspark.llm.common import byte_batches, row_key, text_of, without_keys, words_of
 from riskspark.llm.components import components
 from riskspark.session import landed
 
@@ -174,12 +174,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stand for their group of near duplicates, all columns kept."""
-    dropped = (near_groups(docs, id_col, text_col)
-               .filter(~(F.col("id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("first_hash"))))
-               .select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
-    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_id"),
-                       F.xxhash64(text_of(text_col)).alias("_hash"))
-    left = rows.join(dropped, rows["_id"].eqNullSafe(dropped["_id"]) & (rows["_hash"] == dropped["_hash"]),
-                     "left_anti")
-    # rows that repeat id and text meet here only; the first of them stays
-    return left.dropDuplicates(["_id", "_hash"]).select("_row.*")
+    stays = F.col("id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("first_hash"))
+    dropped = (near_groups(docs, id_col, text_col).filter(~stays)
+               .select(row_key("id", F.col("text_hash")).alias("_key")).distinct())
+    rows = docs.select(row_key(id_col, F.xxhash64(text_of(text_col))).alias("_key"), F.struct("*").alias("_row"))
+    return without_keys(rows, dropped)

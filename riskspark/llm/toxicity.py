@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import byte_batches, text_of
+from riskspark.llm.common import byte_batches, packed_texts, text_of
 from riskspark.llm.trees import BoostedTrees, Isotonic
 
 SAMPLE = 20_000
@@ -33,7 +33,7 @@ LEAST_TOXIC = 3
 LEAST_Z = 3.0
 CALIBRATION_FOLDS = 5
 BEGINNINGS = (4, 5, 6, 7, 8)
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 150_000
 LONGEST_WORD = 40
 #: words of the second person in the languages of the corpus
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre "
@@ -229,8 +229,9 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold:
     """The rows of ``docs`` that score below ``threshold``, all columns kept; nothing is shuffled."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in byte_batches(batches, "_text"):
-            yield batch.filter(pa.array(model.score(batch.column(1).to_pylist()) < threshold))
+        for batch in byte_batches(batches, text_col, packed=True):
+            texts = [t or "" for t in packed_texts(batch, text_col).to_pylist()]
+            yield batch.filter(pa.array(model.score(texts) < threshold))
 
-    rows = docs.select(F.struct("*").alias("_row"), text_of(text_col).alias("_text"))
+    rows = docs.select(F.struct("*").alias("_row"))
     return rows.mapInArrow(keep, rows.schema).select("_row.*")
