@@ -42,10 +42,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     while True:
         keyed = state.select("*", F.substring("content", 1, width).alias("digits"),
                              (F.col("text_bytes") <= width).alias("ended"))
-        groups = (keyed.groupBy("digits", "ended").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("largest"))
-                  .filter("n > 1"))
+        # written, so that the join shuffles both sides itself and can split a hot group
+        groups = landed(keyed.groupBy("digits", "ended").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("largest"))
+                        .filter("n > 1"), "groups")
         shared = F.col("n").isNotNull() & ~F.col("ended")
-        step = landed(keyed.join(groups, ["digits", "ended"], "left").select(
+        step = landed(keyed.join(groups.hint("merge"), ["digits", "ended"], "left").select(
             "id", "text_sha256", "text_bytes", "n", "largest", shared.alias("shared"),
             F.when(shared, F.col("content")).alias("content")), "radix")
         alone = F.col("n").isNull()
