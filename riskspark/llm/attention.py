@@ -8,7 +8,9 @@ import numpy as np
 
 WINDOW, CONTEXT = 32, 8
 WIDTH = 16
-_WINDOWS_AT_ONCE = 1024
+_WINDOWS_AT_ONCE = 256
+#: exponents up to here need no shift in single precision
+_SAFE = 40.0
 
 
 class Attention:
@@ -24,16 +26,18 @@ class Attention:
             "key": small(WIDTH, WIDTH), "value": small(WIDTH, WIDTH), "mix": small(WIDTH, WIDTH),
             "out": small(WIDTH, kinds) * np.float32(0.3), "bias": np.log(share / share.sum()).astype(np.float32)}
         self.mask = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
+        self.seen = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 
     def _attend(self, ids: np.ndarray) -> dict[str, np.ndarray]:
         p = self.params
         x = p["ids"][ids] + p["places"]
         q, k, v = x @ p["query"], x @ p["key"], x @ p["value"]
-        weights = q @ k.transpose(0, 2, 1)
-        weights *= np.float32(WIDTH ** -0.5)
-        weights += self.mask
-        weights -= weights.max(axis=2, keepdims=True)
+        weights = (q * np.float32(WIDTH ** -0.5)) @ k.transpose(0, 2, 1)
+        if weights.max(initial=0) > _SAFE or weights.min(initial=0) < -_SAFE:
+            weights += self.mask
+            weights -= weights.max(axis=2, keepdims=True)
         np.exp(weights, out=weights)
+        weights *= self.seen
         weights /= weights.sum(axis=2, keepdims=True)
         a = weights @ v
         return {"x": x, "q": q, "k": k, "v": v, "weights": weights, "a": a, "h": x + a @ p["mix"]}
@@ -44,8 +48,10 @@ class Attention:
         logits = h @ self.params["out"]
         logits += self.params["bias"]
         chosen = logits[np.arange(len(logits)), targets[wanted]]
-        top = logits.max(axis=1)
-        logits -= top[:, None]
+        top = np.float32(0)
+        if logits.max(initial=0) > _SAFE or logits.min(initial=0) < -_SAFE:
+            top = logits.max(axis=1)
+            logits -= top[:, None]
         np.exp(logits, out=logits)
         return (chosen - top - np.log(logits.sum(axis=1))).astype(np.float64) / np.log(10)
 
