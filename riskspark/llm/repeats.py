@@ -295,7 +295,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.when(whole, F.lit(1)).otherwise(F.col("n_spans")).cast("long").alias("n_spans"),
         F.when(whole, F.lit(_EMPTY)).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
         F.when(whole, F.lit(b"")).otherwise(F.col("kept")).alias("kept"))
-    out = keyed.join(decided if with_kept else decided.drop("kept"), ["h1", "h2"], "left")
+    # written, so that the join shuffles both sides itself and can split a text with very many copies
+    decided = landed(decided if with_kept else decided.drop("kept"), "decided")
+    out = keyed.join(decided.hint("merge"), ["h1", "h2"], "left")
     return out.select("id", "n_bytes", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
                       F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"),
                       F.coalesce("kept_sha256", "sha").alias("kept_sha256"),
