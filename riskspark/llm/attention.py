@@ -9,10 +9,19 @@ import numpy as np
 WINDOW, CONTEXT = 32, 8
 WIDTH = 16
 _WINDOWS_AT_ONCE = 256
+_ROWS_AT_ONCE = 512
 #: exponents up to here need no shift in single precision
 _SAFE = 40.0
 
 
+def _rows(m: np.ndarray) -> np.ndarray:
+    return m.reshape(-1, m.shape[-1])
+
+
+def _sums(m: np.ndarray) -> np.ndarray:
+    return m @ np.ones(m.shape[1], m.dtype)
+
+
 class Attention:
     """Predicts the next id from up to ``WINDOW`` ids before it; id ``kinds`` marks the beginning."""
 
@@ -29,56 +38,79 @@ class Attention:
         self.seen = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 
     def _attend(self, ids: np.ndarray) -> dict[str, np.ndarray]:
-        p = self.params
+        p, shape = self.params, (*ids.shape, WIDTH)
         x = p["ids"][ids] + p["places"]
-        q, k, v = x @ p["query"], x @ p["key"], x @ p["value"]
+        rows = _rows(x)  # one product over all windows
+        q, k, v = ((rows @ p[name]).reshape(shape) for name in ("query", "key", "value"))
         weights = (q * np.float32(WIDTH ** -0.5)) @ k.transpose(0, 2, 1)
         if weights.max(initial=0) > _SAFE or weights.min(initial=0) < -_SAFE:
             weights += self.mask
             weights -= weights.max(axis=2, keepdims=True)
         np.exp(weights, out=weights)
         weights *= self.seen
-        weights /= weights.sum(axis=2, keepdims=True)
+        weights /= _sums(_rows(weights)).reshape(*ids.shape, 1)
         a = weights @ v
-        return {"x": x, "q": q, "k": k, "v": v, "weights": weights, "a": a, "h": x + a @ p["mix"]}
+        return {"x": x, "q": q, "k": k, "v": v, "weights": weights, "a": a,
+                "h": x + (_rows(a) @ p["mix"]).reshape(shape)}
+
+    def _exponents(self, h: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray | np.float32]]:
+        """For slices of the rows of ``h``: logits, an array for their exponents, and what to
+        subtract from the logits before. Both arrays are written over for the next slice."""
+        both = np.empty((2, min(len(h), _ROWS_AT_ONCE), self.kinds), np.float32)
+        for at in range(0, len(h), _ROWS_AT_ONCE):
+            part = h[at:at + _ROWS_AT_ONCE]
+            logits, exponents = both[:, :len(part)]
+            np.matmul(part, self.params["out"], out=logits)
+            logits += self.params["bias"]
+            top = np.float32(0)
+            if logits.max(initial=0) > _SAFE or logits.min(initial=0) < -_SAFE:
+                top = logits.max(axis=1)
+                np.subtract(logits, top[:, None], out=exponents)
+                np.exp(exponents, out=exponents)
+            else:
+                np.exp(logits, out=exponents)
+            yield slice(at, at + len(part)), logits, exponents, top
 
     def log10(self, ids: np.ndarray, targets: np.ndarray, wanted: np.ndarray) -> np.ndarray:
         """log10 probability of the wanted targets, in order."""
-        h = self._attend(ids)["h"][wanted]
-        logits = h @ self.params["out"]
-        logits += self.params["bias"]
-        chosen = logits[np.arange(len(logits)), targets[wanted]]
-        top = np.float32(0)
-        if logits.max(initial=0) > _SAFE or logits.min(initial=0) < -_SAFE:
-            top = logits.max(axis=1)
-            logits -= top[:, None]
-        np.exp(logits, out=logits)
-        return (chosen - top - np.log(logits.sum(axis=1))).astype(np.float64) / np.log(10)
+        h, aims = self._attend(ids)["h"][wanted], targets[wanted]
+        found = np.empty(len(h))
+        for part, logits, exponents, top in self._exponents(h):
+            found[part] = logits[np.arange(len(logits)), aims[part]] - top - np.log(_sums(exponents))
+        return found / np.log(10)
 
     def gradients(self, ids: np.ndarray, targets: np.ndarray, wanted: np.ndarray) -> dict[str, np.ndarray]:
         p, s = self.params, self._attend(ids)
-        logits = s["h"] @ p["out"] + p["bias"]
-        logits -= logits.max(axis=2, keepdims=True)
-        d = np.exp(logits)
-        d /= d.sum(axis=2, keepdims=True)
-        b, w = np.indices(ids.shape)
-        d[b, w, targets] -= 1
-        d *= (wanted / max(1, wanted.sum()))[:, :, None].astype(np.float32)
-        flat = lambda m: m.reshape(-1, m.shape[-1])
-        g = {"out": flat(s["h"]).T @ flat(d), "bias": flat(d).sum(axis=0)}
-        dh = d @ p["out"].T
-        g["mix"] = flat(s["a"]).T @ flat(dh)
-        da = dh @ p["mix"].T
+        shape = s["x"].shape
+        at = np.flatnonzero(wanted)
+        h, aims, scale = _rows(s["h"])[at], targets.ravel()[at], np.float32(1 / max(1, len(at)))
+        g = {"out": np.zeros_like(p["out"]), "bias": np.zeros_like(p["bias"])}
+        dh = np.zeros((ids.size, WIDTH), np.float32)
+        for part, _, d, _ in self._exponents(h):
+            d *= (scale / _sums(d))[:, None]
+            d[np.arange(len(d)), aims[part]] -= scale
+            g["out"] += h[part].T @ d
+            g["bias"] += np.ones(len(d), np.float32) @ d
+            dh[at[part]] = d @ p["out"].T
+        g["mix"] = _rows(s["a"]).T @ dh
+        da = (dh @ p["mix"].T).reshape(shape)
         dv = s["weights"].transpose(0, 2, 1) @ da
-        dw = da @ s["v"].transpose(0, 2, 1)
-        ds = s["weights"] * (dw - (dw * s["weights"]).sum(axis=2, keepdims=True)) * np.float32(WIDTH ** -0.5)
+        ds = da @ s["v"].transpose(0, 2, 1)
+        ds -= np.einsum("bij,bij->bi", ds, s["weights"])[:, :, None]
+        ds *= s["weights"]
+        ds *= np.float32(WIDTH ** -0.5)
         dq, dk = ds @ s["k"], ds.transpose(0, 2, 1) @ s["q"]
-        dx = dh + dq @ p["query"].T + dk @ p["key"].T + dv @ p["value"].T
+        dx, x = dh, _rows(s["x"])
         for name, part in (("query", dq), ("key", dk), ("value", dv)):
-            g[name] = flat(s["x"]).T @ flat(part)
-        g["places"] = dx.sum(axis=0)
+            g[name] = x.T @ _rows(part)
+            dx = dx + _rows(part) @ p[name].T
+        g["places"] = dx.reshape(shape).sum(axis=0)
         g["ids"] = np.zeros_like(p["ids"])
-        np.add.at(g["ids"], ids.ravel(), flat(dx))
+        order = np.argsort(ids, axis=None, kind="stable")
+        sorted_ids = ids.ravel()[order]
+        first = np.flatnonzero(np.diff(sorted_ids, prepend=-1))
+        if len(first):
+            g["ids"][sorted_ids[first]] = np.add.reduceat(dx[order], first, axis=0)
         return g
 
     def flat(self) -> np.ndarray:

@@ -8,9 +8,9 @@ Each word is scored once, in windows that overlap by their context.
 
 Counts come from all training texts, by map-side combined aggregates. Frequent words, at most
 ``KNOWN_WORDS``, travel with the tasks; the others, a few of each text, meet their counts in a
-join by word. The attention weights are trained in numpy where the texts are: in each round every
-task follows the gradient over its share of a fixed fraction of all training texts, and the
-weights are averaged by Spark, so training grows with the corpus and no text reaches the driver.
+join by word. The attention weights are trained in numpy where the texts are: the rounds deal all
+training rows among them, each row to one; in each round every task follows the gradient over its
+rows of that round, and the weights are averaged by Spark. No text reaches the driver.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ KINDS = 128
 KNOWN_WORDS = 100_000
 LONGEST_KNOWN = 64
 LONGEST_HEAD = 16
-ROUNDS, SHARE = 2, 16
+ROUNDS = 2
 BATCH = 64
 _COUNTED_AT_ONCE = 300_000
 _HEADS_KEPT = 300_000
@@ -159,7 +159,8 @@ def _vocabulary(counts: DataFrame, texts: int, heads: Heads) -> Vocabulary:
     return vocabulary
 
 
-def _train(texts: DataFrame, vocabulary: Vocabulary, rounds: int, share: int) -> Attention:
+def _train(texts: DataFrame, vocabulary: Vocabulary, rounds: int) -> Attention:
+    """Every row of ``texts`` (id, text) is learned from in one of the rounds."""
     model = Attention(vocabulary.kinds, vocabulary.tokens)
     for turn in range(rounds):
         start = model.flat()
@@ -181,7 +182,8 @@ def _train(texts: DataFrame, vocabulary: Vocabulary, rounds: int, share: int) ->
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values * weight),
                                                   pa.array(np.full(len(values), float(weight)))], ["place", "value", "weight"])
 
-        mine = texts.filter(F.pmod(F.xxhash64("text"), F.lit(share)) == turn % share).select("text")
+        # by id too, so that the copies of one text are dealt to all rounds
+        mine = texts.filter(F.pmod(F.xxhash64("id", "text"), F.lit(rounds)) == turn).select("text")
         mean = (mine.mapInArrow(follow, "place long, value double, weight double").groupBy("place")
                 .agg((F.sum("value") / F.sum("weight")).alias("value")).orderBy("place").collect())
         if mean:
@@ -228,7 +230,7 @@ def _scorer(vocabulary: Vocabulary, model: Attention):
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out_col: str = "held_out",
-           model_path: str | None = None, rounds: int = ROUNDS, share: int = SHARE) -> DataFrame:
+           model_path: str | None = None, rounds: int = ROUNDS) -> DataFrame:
     """One row per row of ``docs``: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Training texts are those of rows whose held_out is not true. Words are lower-cased in A-Z; every
@@ -251,7 +253,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held
     training = rows.filter("not held_out")
     counts = landed(word_counts(training), "counts")
     vocabulary = _vocabulary(counts, training.count(), Heads(model_path))
-    model = _train(training, vocabulary, rounds, share)
+    model = _train(training, vocabulary, rounds)
     scored = landed(rows.mapInArrow(_scorer(vocabulary, model), _SCORED)
                     .withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", F.col("r.n").alias("times"))

@@ -86,6 +86,14 @@ def test_scores_of_nothing(spark):
     assert (only.n_known, only.train_tokens, only.n_tokens) == (0, 0, 3)
 
 
+def test_every_training_text_reaches_the_weights(spark):
+    # alone in its table, a text of any hash must move the weights and so its own score
+    for i in range(4):
+        docs = spark.createDataFrame([(i, "some words go on and on " * 5 + str(i), False)],
+                                     "doc_id long, text string, held_out boolean")
+        assert scoring.scores(docs).first().score > scoring.scores(docs, rounds=0).first().score
+
+
 def test_held_out_texts_score_above_the_base(spark):
     # 800 training texts; a sixteenth of them in each round is the least that teaches the weights
     rows = queries.model_scores(spark, "/root/testdata/sf0.01").filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
