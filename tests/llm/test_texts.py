@@ -250,6 +250,17 @@ def test_secrets(spark):
     assert secrets.secret_scan(frame(spark, [])).count() == 0
 
 
+def test_secrets_held_by_many_repositories_of_one_owner(spark):
+    rows = [(i, "all Zyxwvutsrq9876543210KLMNOP here", "en", "one") for i in range(5)] + [(9, SECRETS[9], "en", "one"), (9, SECRETS[9], "en", "one")]
+    by_owners = {r.id: r for r in secrets.secret_scan(frame(spark, rows)).collect()}
+    assert all((by_owners[i].n_live, by_owners[i].repositories) == (1, "5") for i in range(5))
+    got = {r.id: r for r in secrets.secret_scan(frame(spark, rows), most_repositories=4).collect()}
+    assert all((got[i].n_live, got[i].n_copied, got[i].spans, got[i].repositories) == (0, 1, "", "") for i in range(5))
+    assert (got[9].n_live, got[9].spans, got[9].repositories) == (1, "mixed:4:30", "1")
+    exact = {r.id: r for r in secrets.secret_scan(frame(spark, rows), most_repositories=5).collect()}
+    assert all(exact[i].n_live == 1 for i in range(5))
+
+
 # ---- mixing
 
 def brute_targets(sizes, weights=(1, 2, 3), most=3):
