@@ -15,7 +15,7 @@ pair of its fingerprints still meets.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -160,10 +160,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     * Repeated rows share a component. Other columns are not read; an empty table gives an
       empty result.
     """
-    rows = landed(fingerprints(docs, id_col, text_col), "fingerprints")
+    return grouped(landed(fingerprints(docs, id_col, text_col), "fingerprints"), near_links)
+
+
+def grouped(rows: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``rows`` (id, text_hash, fp) with the component of each over the edges that ``links`` gives
+    for the distinct values of fp, as ``near_groups`` returns them."""
     first = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")
     distinct = landed(rows.groupBy("fp").agg(F.min(first).alias("first")), "distinct")
-    linked = components(near_links(distinct.select("fp")))
+    linked = components(links(distinct.select("fp")))
     rooted = landed(distinct.join(linked.select(F.col("node").alias("fp"), "component"), "fp", "left")
                     .select("fp", F.coalesce("component", "fp").alias("root"), "first"), "roots")
     firsts = rooted.groupBy("root").agg(F.min("first").alias("first"))
@@ -174,8 +179,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stand for their group of near duplicates, all columns kept."""
+    return without_near_copies(docs, near_groups(docs, id_col, text_col), id_col, text_col)
+
+
+def without_near_copies(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that stay by ``groups``, all columns kept."""
     stays = F.col("id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("first_hash"))
-    dropped = (near_groups(docs, id_col, text_col).filter(~stays)
-               .select(row_key("id", F.col("text_hash")).alias("_key")).distinct())
+    dropped = groups.filter(~stays).select(row_key("id", F.col("text_hash")).alias("_key")).distinct()
     rows = docs.select(row_key(id_col, F.xxhash64(text_of(text_col))).alias("_key"), F.struct("*").alias("_row"))
     return without_keys(rows, dropped)

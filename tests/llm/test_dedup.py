@@ -8,6 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from riskspark.llm import components as parts
 from riskspark.llm import exact_dedup, repeats, simhash
 
@@ -104,6 +105,30 @@ def test_near_groups_on_edge_cases(spark):
     assert sorted(r.doc_id for r in left.collect() if r.doc_id in (1, 2, 9, 10)) == [1, 9, 10]
 
 
+def test_pipeline_drops_what_is_alike_in_five_word_shingles(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for _ in range(12):
+        words = [f"w{n}" for n in rng.integers(0, 5000, 200)]
+        for edits in (0, 2, 4, 30):
+            some = list(words)
+            for at in rng.choice(len(some), edits, replace=False):
+                some[at] = "X" + some[at]
+            rows.append((len(rows), " ".join(some)))
+    rows += [(100, None), (101, " \t"), (102, "one two"), (103, "ONE  two"), (104, "one three"), (None, "one two")]
+    sets = []
+    for _, text in rows:
+        words = (text or "").lower().split()
+        sets.append({tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))})
+    label = list(range(len(rows)))
+    for _ in rows:
+        label = [min(label[j] for j in range(len(rows)) if 5 * len(s & sets[j]) >= 4 * len(s | sets[j])) for s in sets]
+    want = {rows[i][0] for i in label}
+    got = corpus_pipeline.remove_near_copies(spark, frame(spark, rows), "")
+    assert got.columns == ["doc_id", "text", "kept", "id"]
+    assert sorted(r.doc_id for r in got.collect()) == sorted(want) and len(want) < 36
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     assert exact_dedup.exact_groups(none).count() == simhash.near_groups(none).count() == 0
