@@ -3,19 +3,22 @@ SQL can say the same."""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm import (decontamination, exact_dedup, mixing, quality, repeats, scoring, secrets, simhash,
-                           token_counts, toxicity)
+from riskspark.llm import (alignment, decontamination, exact_dedup, mixing, neighbours, quality, repeats, runs, scoring,
+                           secrets, simhash, token_counts, toxicity)
 from riskspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: labelled rows with this remainder are held out of training
 FOLDS, HELD_OUT_TOXICITY, HELD_OUT_SCORING = 5, 0, 1
+#: every row of embeddings whose id this number divides asks for so many neighbours
+EVERY, NEIGHBOURS = 20, 20
 
 
 def fold(id_col: str = "doc_id"):
@@ -89,6 +92,36 @@ def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "size", "source_size", "target", "copies", "taken")
 
 
+def align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path(alignment.BYTE_MODEL),
+                            public_tokenizers.path(alignment.PIECE_MODEL))
+    return alignment.agreement(found).withColumnRenamed("id", "doc_id")
+
+
+def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    index = neighbours.build_index(vectors, keep=NEIGHBOURS + 1)
+    return neighbours.nearest(index, vectors.filter(f"vec_id % {EVERY} = 0"))
+
+
+def repeat_from(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of one document in ten, chosen by its id, repeat periodically from some place on."""
+    if doc_id is None or not words:
+        return words
+    g, chosen = divmod(zlib.crc32(str(doc_id).encode()), 10)
+    if chosen:
+        return words
+    start = g % len(words)
+    period = 1 + (len(words) - start) // (3 + g % 8)
+    return words[:start] + [words[start + i % period] for i in range(len(words) - start)]
+
+
+def find_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.periodic_runs(table(spark, sf_dir, "documents"), rewrite=repeat_from).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Query] = {
     "op1_benchmark_decontamination": decontaminate,
     "op2_quality_classifier": quality_scores,
@@ -100,6 +133,9 @@ QUERIES: dict[str, Query] = {
     "op8_simhash_near_dedup": near_copies,
     "op9_secret_scans": find_secrets,
     "op10_mixing_sources": mix_sources,
+    "op11_cross_tokenizer_alignment": align_tokens,
+    "op12_nearest_neighbours": nearest_vectors,
+    "op13_periodic_runs": find_runs,
 }
 
 ORACLES: dict[str, str] = {
@@ -178,6 +214,20 @@ ORACLES: dict[str, str] = {
                        / 4294967296.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END AS copies
             FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
         SELECT doc_id, size, source_size, target, copies, copies * size AS taken FROM c""",
+    # exact, as the query is where its sample holds all vectors
+    "op12_nearest_neighbours": """
+        WITH v AS (
+            SELECT DISTINCT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+              AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+        c AS (SELECT len(x) AS n FROM v GROUP BY n ORDER BY count(*) DESC, n DESC LIMIT 1),
+        u AS (SELECT v.* FROM v JOIN c ON len(x) = n),
+        p AS (
+            SELECT q.vec_id AS query_id, u.vec_id,
+                   list_reduce(list_transform(list_zip(q.x, u.x), lambda z: z[1] * z[2]), lambda a, b: a + b) AS score
+            FROM u AS q JOIN u ON q.vec_id <> u.vec_id WHERE q.vec_id % 20 = 0)
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+        FROM p QUALIFY rank <= 20""",
 }
 
 
