@@ -35,7 +35,7 @@ BYTE_MODEL, PIECE_MODEL = "byte_bpe_50k.json", "piece_bpe_32k.model"
 SPACE_MARK = "▁"
 SAFE = re.compile(f"(?<=[^\\s{SPACE_MARK}]) (?=[^\\s{SPACE_MARK}])")
 #: bounds of the parts whose tokens a task keeps
-KNOWN_PARTS, KNOWN_CHARS = 300_000, 1 << 23
+KNOWN_PARTS, KNOWN_CHARS = 500_000, 1 << 23
 #: rows of pair counts (24 bytes each) up to which they are sent to every executor; more are joined by a shuffle
 SMALL_COUNTS = 1_000_000
 
@@ -106,7 +106,7 @@ class Encoder:
         one, other = (v.model for v in self.vocabularies)
         encoded = ([e.ids for e in one.encode_batch_fast([" " + part for part in new], add_special_tokens=False)],
                    other.encode(new, num_threads=1)) if new else ([], [])
-        places = pa.array(map(self.known.__getitem__, parts), pa.int32())
+        places = pa.array(np.fromiter(map(self.known.__getitem__, parts), np.int32, len(parts)))
         found = []
         for lists, ids, borders in zip(encoded, self.ids, self.borders):
             ids.extend(chain.from_iterable(lists))
@@ -176,7 +176,8 @@ def _aligned(texts: list[str | None], encoder: Encoder) -> dict[str, pa.Array]:
     counts = (pa.table({"doc": links["doc"], "pair": pair}).group_by(["doc", "pair"], use_threads=False)
               .aggregate([([], "count_all")]).sort_by([("doc", "ascending"), ("pair", "ascending")]))
     width = max(map(len, want), default=0) + 1
-    cuts = np.unique(_keys(links, width))
+    keys = np.sort(_keys(links, width))
+    cuts = keys[np.diff(keys, prepend=-1) > 0]
     groups = pc.binary_join_element_wise(_group_texts(a, "a", cuts, width, one.names),
                                          _group_texts(b, "b", cuts, width, other.names), pa.scalar("|", pa.large_string()))
     group_borders = np.searchsorted(cuts, np.arange(n + 1) * width)
