@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from riskspark.llm import components as parts
-from riskspark.llm import exact_dedup, repeats, simhash
+from riskspark.llm import exact_dedup, minhash, repeats, simhash
 
 SCHEMA = "doc_id long, text string, kept int, id string"
 LONG = "word " * 300
@@ -183,3 +183,11 @@ def test_repeats_of_repeated_and_null_ids(spark):
     df = frame(spark, [(1, LONG), (1, LONG), (None, "z" * 300), (None, "short")]).withColumn("n_removed", F.lit(5))
     rows = sorted((r.id or 0, r.n_bytes, r.n_removed) for r in repeats.without_repeats(df).collect())
     assert rows == [(0, 5, 0), (0, 300, 300), (1, len(LONG), len(LONG)), (1, len(LONG), len(LONG))]
+
+
+@pytest.mark.parametrize("few", [0, 100])
+def test_shingle_sets_by_either_join(spark, few):
+    docs = frame(spark, [(1, "a b c d e f"), (2, "a b c d e f"), (3, None), (4, "other words"), (None, "x")])
+    hashes = docs.filter("doc_id in (1, 3)").select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    sets = {bytes(r.shingles) for r in minhash.shingle_sets(docs, hashes, "text", few).collect()}
+    assert sets == {minhash.shingles(t).tobytes() for t in ("a b c d e f", "")}
