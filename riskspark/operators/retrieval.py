@@ -7,7 +7,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import replace
 from functools import reduce
 
 import numpy as np
@@ -17,136 +17,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskspark import schema
-from riskspark.functions.columns import tokens
+from riskspark.operators.keyword import (  # noqa: F401  (the index is part of this module's surface)
+    _SCORE_DIGITS, KEYWORD_K, KeywordIndex, _ranked, bm25_search, build_index, index_frames, query_terms)
 from riskspark.operators.ordering import top_per_key
 from riskspark.session import landed
 
-# Okapi BM25 parameters and the rank-fusion constant.
-BM25_K1, BM25_B, BM25_EPSILON = 1.5, 0.75, 0.25
+# Fixed value: the rank-fusion constant.
 RRF_K = 60
-SEMANTIC_K, KEYWORD_K, RERANK_POOL, TOP_K = 15, 15, 20, 10
-
-# Equal documents must tie whatever the order of addition was.
-_SCORE_DIGITS = 9
-
-
-# --- keyword index ---------------------------------------------------------------
-
-
-@dataclass
-class KeywordIndex:
-    postings: DataFrame  # term, doc_id, tf, dl
-    doc_stats: DataFrame  # doc_id, dl
-    term_stats: DataFrame  # term, df, idf
-
-    @staticmethod
-    def load(spark, path: str) -> "KeywordIndex":
-        read = spark.read.parquet
-        doc_stats = read(f"{path}/doc_stats")
-        kinds = {f.name: f.dataType.simpleString() for f in doc_stats.schema.fields}
-        layout = f"term string, doc_id {kinds['doc_id']}, tf bigint, dl {kinds['dl']}, bucket int"
-        return KeywordIndex(
-            spark.read.schema(layout).parquet(f"{path}/postings"), doc_stats, read(f"{path}/term_stats"))
-
-
-def _tokenised(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("terms")).withColumn(
-        "dl", F.size("terms"))
-
-
-def _postings(tokenised: DataFrame) -> DataFrame:
-    return (
-        tokenised.select("doc_id", "dl", F.explode("terms").alias("term"))
-        .groupBy("doc_id", "dl", "term")
-        .agg(F.count("*").alias("tf"))
-        .select("term", "doc_id", "tf", "dl")
-    )
-
-
-def posting_frames(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Postings and lengths of documents, for an index that is kept up document by document."""
-    tokenised = _tokenised(docs, doc_id, text)
-    return _postings(tokenised), tokenised.select("doc_id", "dl")
-
-
-def term_stats(postings: DataFrame, doc_stats: DataFrame) -> DataFrame:
-    n_docs = doc_stats.agg(F.count("*").alias("n")).scalar()
-    counts = postings.groupBy("term").agg(F.count("*").alias("df")).withColumn(
-        "raw", F.ln(n_docs - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
-    mean_idf = counts.agg(F.avg("raw")).scalar()
-    return counts.select(
-        "term", "df", F.when(F.col("raw") < 0, mean_idf * BM25_EPSILON).otherwise(F.col("raw")).alias("idf"))
-
-
-def index_frames(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> KeywordIndex:
-    """The index as lazy frames, for a single use."""
-    tokenised = _tokenised(docs, doc_id, text)
-    postings, doc_stats = _postings(tokenised), tokenised.select("doc_id", "dl")
-    return KeywordIndex(postings, doc_stats, term_stats(postings, doc_stats))
-
-
-POSTING_BUCKETS = 64
-
-
-def _bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(POSTING_BUCKETS)).cast("int")
-
-
-def build_index(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> KeywordIndex:
-    """Writes the index tables and returns them. Each table is made from the one before, so
-    texts are split once for postings and once for lengths.
-
-    Postings are partitioned by a hash of the term and laid out by term and document: a search
-    reads the partitions of its terms, and the postings of a frequent term spread over many files.
-    """
-    spark = docs.sparkSession
-    tokenised = _tokenised(docs, doc_id, text)
-    tokenised.select("doc_id", "dl").write.mode("overwrite").parquet(f"{path}/doc_stats")
-    _postings(tokenised).withColumn("bucket", _bucket(F.col("term"))).repartitionByRange(
-        "bucket", "term", "doc_id").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode(
-        "overwrite").parquet(f"{path}/postings")
-    doc_stats = spark.read.parquet(f"{path}/doc_stats")
-    layout = f"term string, doc_id {doc_stats.schema['doc_id'].dataType.simpleString()}"
-    postings = spark.read.schema(layout).parquet(f"{path}/postings")
-    term_stats(postings, doc_stats).write.mode("overwrite").parquet(f"{path}/term_stats")
-    return KeywordIndex.load(spark, path)
-
-
-def query_terms(queries: DataFrame) -> DataFrame:
-    """(query_id, term, qtf) of a batch with columns query_id, text."""
-    return (
-        queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term"))
-        .groupBy("query_id", "term")
-        .agg(F.count("*").alias("qtf"))
-    )
-
-
-def bm25_search(queries: DataFrame, index: KeywordIndex, k: int = KEYWORD_K) -> DataFrame:
-    """(query_id, doc_id, score, rank from 0): the best k documents with a positive score.
-
-    Of a stored index, only the partitions that hold query terms are read; scores are added up
-    per task before the shuffle, and each task passes on k rows per query.
-    """
-    postings = index.postings
-    if "bucket" in postings.columns:
-        held = query_terms(queries).select(_bucket(F.col("term")).alias("b")).distinct().collect()
-        postings = postings.filter(F.col("bucket").isin([r.b for r in held]))
-    mean_length = index.doc_stats.agg(F.avg("dl")).scalar()
-    weighted = query_terms(queries).join(index.term_stats.select("term", "idf"), "term")
-    norm = F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / mean_length)
-    scored = (
-        postings.join(weighted, "term")
-        .groupBy("query_id", "doc_id")
-        .agg(F.sum(F.col("qtf") * F.col("idf") * F.col("tf") * (BM25_K1 + 1) / norm).alias("score"))
-        .withColumn("score", F.round("score", _SCORE_DIGITS))
-        .filter(F.col("score") > 0)
-    )
-    return _ranked(scored, k)
-
-
-def _ranked(scored: DataFrame, k: int, ties: str = "doc_id") -> DataFrame:
-    top = top_per_key(scored, ["query_id"], [F.col("score").desc(), F.col(ties)], k)
-    return top.select("query_id", "doc_id", "score", (F.col("_rank") - 1).cast("int").alias("rank"))
+SEMANTIC_K, RERANK_POOL, TOP_K = 15, 20, 10
 
 
 # --- vectors ---------------------------------------------------------------------
@@ -343,7 +221,8 @@ def candidate_pool(
     semantic = cosine_search(queries, allowed, SEMANTIC_K)
     if filter_both:
         ids = allowed.select("doc_id")
-        index = KeywordIndex(index.postings.join(ids, "doc_id", "left_semi"), index.doc_stats, index.term_stats)
+        # the blocks bound all postings, so also these
+        index = replace(index, postings=index.postings.join(ids, "doc_id", "left_semi"))
     keyword = bm25_search(queries, index, KEYWORD_K)
     return fuse([semantic, keyword]).filter(F.col("rank") < RERANK_POOL)
 

@@ -5,18 +5,27 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskspark import schema
+from riskspark.functions.columns import tokens
 from riskspark.operators import retrieval as r
 from riskspark.plans import sql
 from riskspark.plans.registry import query
 from riskspark.plans.sql import oracle
-from riskspark.session import scratch_path
+from riskspark.session import scratch_exists, scratch_path
 from riskspark.sources import fixtures as fx
 
 R6 = lambda c: F.round(c, 6).alias(c)
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
 def _index(spark, sf):
-    return r.build_index(fx.documents(spark, sf), scratch_path(spark, "index"))
+    """The index of a folder's documents, built once for an application while its files are there."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEXES or not scratch_exists(spark, f"{_INDEXES[key]}/term_stats/_SUCCESS"):
+        _INDEXES[key] = scratch_path(spark, "index")
+        r.build_index(fx.documents(spark, sf), _INDEXES[key])
+    return r.KeywordIndex.load(spark, _INDEXES[key])
 
 
 def _keyword(spark, sf, k=r.KEYWORD_K):
@@ -27,7 +36,7 @@ def _keyword(spark, sf, k=r.KEYWORD_K):
 SELECT term, count(*) AS n, count(DISTINCT doc_id) AS docs
 FROM (SELECT doc_id, unnest(terms) AS term FROM doc_tokens) GROUP BY term"""))
 def bm25_tokens(spark, sf):
-    rows = fx.documents(spark, sf).select("doc_id", F.explode(r.tokens(F.col("text"))).alias("term"))
+    rows = fx.documents(spark, sf).select("doc_id", F.explode(tokens(F.col("text"))).alias("term"))
     # counting per document first keeps a frequent word small before the second count
     per_doc = rows.groupBy("term", "doc_id").agg(F.count("*").alias("n"))
     return per_doc.groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
@@ -40,7 +49,7 @@ def bm25_statistics(spark, sf):
 
 @query("bm25_postings", oracle("SELECT term, doc_id, tf, dl FROM postings"))
 def bm25_postings(spark, sf):
-    return r.index_frames(fx.documents(spark, sf)).postings
+    return r.index_frames(fx.documents(spark, sf)).postings.select("term", "doc_id", "tf", "dl")
 
 
 @query("bm25_search", oracle("SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM keyword"))

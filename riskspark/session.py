@@ -56,6 +56,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{_scratch(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def scratch_exists(spark: SparkSession, path: str) -> bool:
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(found)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Removes the intermediate tables of this application. The application owns them: call this
     when no frame that reads them is used any more, at the latest before it ends."""
