@@ -5,8 +5,8 @@ which grows with its count of the term and falls with the document's length. The
 are kept in blocks of like impact, and for each block the index holds how many there are, the largest
 count and the smallest length: these bound the impact of all of them, whatever the mean length.
 
-A search takes the blocks of highest impact first, up to a fixed number of postings: the k-th best of
-their sums is a score that the last result cannot fall short of. Terms whose bounds together stay
+A search takes the blocks of highest impact first, up to a fixed number of postings, and scores the
+documents with the best sums: their k-th best is a score that the last result cannot fall short of. Terms whose bounds together stay
 below it are optional: no document enters by them alone, so their postings are joined only to
 documents that can still enter. Blocks of the other terms that cannot lift a document to that score
 are not read at all.
@@ -36,6 +36,11 @@ LEVELS, USUAL_LENGTH = 8, 256
 POSTING_BUCKETS = 64
 #: postings a query's first bound is taken from
 SEED_POSTINGS = 2000
+#: optional terms reach at most this share of the bound, so that documents must get the rest from other terms;
+#: at 1 fewest documents are met, but in long queries most of those are then looked up for every optional term
+OPTIONAL_SHARE = 0.25
+#: documents scored for that bound, as a multiple of the results wanted
+LIKELY = 4
 
 
 @dataclass
@@ -179,16 +184,18 @@ def search_plan(queries: DataFrame, index: KeywordIndex, k: int = KEYWORD_K, see
 
     by_reach = Window.partitionBy("query_id").orderBy(F.desc("most"), "n", "term", "level")
     first = blocks.filter((F.col("n") <= seeds) & (F.col("most") > 0)).withColumn("read", F.sum("n").over(by_reach)).filter(F.col("read") <= seeds)
-    sums = _sums(postings, first, impact)
+    likely = top_per_key(_sums(postings, first, impact), ["query_id"], [F.desc("partial")], LIKELY * k)
     terms = blocks.groupBy("query_id", "term", "weight").agg(F.max("most").alias("most"), F.min("least").alias("least"))
+    likely = landed(likely.select("query_id", "doc_id").join(terms.select("query_id", "term", "weight"), "query_id"), "likely")
+    whole = (postings.join(likely, ["term", "doc_id"]).groupBy("query_id", "doc_id")
+             .agg(F.sum(F.col("weight") * impact).alias("partial")))
     totals = terms.groupBy("query_id").agg(F.sum("most").alias("all_most"), F.sum("least").alias("all_least"))
-    bound = (_kth(sums, k).join(totals, "query_id", "right")
-             .select("query_id", "all_most", "all_least",
-                     F.greatest(F.coalesce(F.col("kth") + F.col("all_least"), F.lit(0.0)) - _SLACK, F.lit(0.0)).alias("bound")))
+    bound = _kth(whole, k).join(totals, "query_id", "right").select(
+        "query_id", "all_most", "all_least", F.greatest(F.coalesce("kth", F.lit(0.0)) - _SLACK, F.lit(0.0)).alias("bound"))
     rising = Window.partitionBy("query_id").orderBy("most", "term")
     terms = landed(terms.join(bound, "query_id").withColumn("sum_most", F.sum("most").over(rising)).select(
         "query_id", "term", "weight", "most", "least", "all_most", "all_least", "bound",
-        (F.col("sum_most") < F.col("bound")).alias("optional")), "query_terms")
+        (F.col("sum_most") < F.col("bound") * OPTIONAL_SHARE).alias("optional")), "query_terms")
 
     needed = blocks.join(terms.filter("not optional").select("query_id", "term", F.col("most").alias("term_most"), "all_most", "bound"),
                          ["query_id", "term"]).filter(F.col("all_most") - F.col("term_most") + F.col("most") >= F.col("bound"))
