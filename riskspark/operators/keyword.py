@@ -90,6 +90,13 @@ def block_stats(postings: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
 
 
+def add_blocks(parts: DataFrame) -> DataFrame:
+    """Blocks of several batches as one. A negative n takes postings away; the bounds stay those of all
+    postings there ever were, and so hold."""
+    return parts.groupBy("term", "level").agg(
+        F.sum("n").alias("n"), F.max("max_tf").alias("max_tf"), F.min("min_dl").alias("min_dl")).filter("n > 0")
+
+
 def term_stats(blocks: DataFrame, doc_stats: DataFrame) -> DataFrame:
     n_docs = doc_stats.agg(F.count("*").alias("n")).scalar()
     counts = blocks.groupBy("term").agg(F.sum("n").alias("df")).withColumn(
@@ -107,7 +114,7 @@ def index_frames(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return KeywordIndex(postings, doc_stats, term_stats(blocks, doc_stats), blocks)
 
 
-def _bucket(term: Column) -> Column:
+def posting_bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(POSTING_BUCKETS)).cast("int")
 
 
@@ -122,7 +129,7 @@ def build_index(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     spark = docs.sparkSession
     tokenised = _tokenised(docs, doc_id, text)
     tokenised.select("doc_id", "dl").write.mode("overwrite").parquet(f"{path}/doc_stats")
-    _postings(tokenised).withColumn("bucket", _bucket(F.col("term"))).repartitionByRange(
+    _postings(tokenised).withColumn("bucket", posting_bucket(F.col("term"))).repartitionByRange(
         "bucket", "term", "level", "doc_id").sortWithinPartitions("bucket", "term", "level").write.partitionBy("bucket").mode(
         "overwrite").parquet(f"{path}/postings")
     doc_stats = spark.read.parquet(f"{path}/doc_stats")
@@ -219,7 +226,7 @@ def _of_terms(postings: DataFrame, blocks: DataFrame) -> DataFrame:
     """Of stored postings those in the partitions of the queries' terms."""
     if "bucket" not in postings.columns:
         return postings
-    held = blocks.select(_bucket(F.col("term")).alias("b")).distinct().collect()
+    held = blocks.select(posting_bucket(F.col("term")).alias("b")).distinct().collect()
     return postings.filter(F.col("bucket").isin([r.b for r in held]))
 
 

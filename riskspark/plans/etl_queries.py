@@ -14,7 +14,7 @@ from riskspark.plans import etl, frames, sql
 from riskspark.plans.registry import query
 from riskspark.plans.sql import oracle
 from riskspark.session import scratch_path
-from riskspark.sources import files
+from riskspark.sources import files, store
 from riskspark.sources import fixtures as fx
 
 sql.define_uploads(fx.UPLOAD_HEADERS, fx.VALUE_HEADERS, schema.aliases())
@@ -123,11 +123,13 @@ def upsert_documents(spark, sf):
     old, new = (h.drop("line_status") for h in _halves(chunks))
     # the batch brings each of its chunks twice, first as it was
     new = new.withColumn("pass", F.lit(2)).unionByName(new.withColumns({"pass": F.lit(1), "status": F.lit("old")}))
-    store = files.Table(spark, scratch_path(spark, "chunks"), ["chunk_type"])
-    store.overwrite(incidents.latest(old, "chunk_id", ["row_key"]).drop("row_key"))
-    known = store.read().select("chunk_id", "status", "chunk_type")
-    store.overwrite(incidents.upsert_latest(known, new, "chunk_id", ["pass", "row_key"]))
-    return store.read()
+    home = store.Store(spark, scratch_path(spark, "chunks"))
+    chunk_table = home.table("chunks", key="chunk_id", partition_by=("chunk_type",))
+    for batch, order in ((old, ["row_key"]), (new, ["pass", "row_key"])):
+        load = home.begin()
+        load.write(chunk_table, incidents.latest(batch, "chunk_id", order).drop(*order))
+        load.finish()
+    return chunk_table.read().select("chunk_id", "status", "chunk_type")
 
 
 @query("io_document_store", oracle("""
@@ -139,9 +141,11 @@ def io_document_store(spark, sf):
     s = documents.supplier_stats(df, fx.ORDER)
     rows = df.select(F.concat("Title", "Description").alias("text"), F.lit("record").alias("chunk_type")).unionByName(
         s.select(F.concat("name", "region").alias("text"), F.lit("supplier_summary").alias("chunk_type")))
-    store = files.Table(spark, scratch_path(spark, "store"), ["chunk_type"])
-    store.overwrite(rows)
-    return store.read().groupBy("chunk_type").agg(
+    home = store.Store(spark, scratch_path(spark, "store"))
+    chunks, load = home.table("chunks", partition_by=("chunk_type",)), home.begin()
+    load.write(chunks, rows)
+    load.finish()
+    return chunks.read().groupBy("chunk_type").agg(
         F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 

@@ -285,41 +285,6 @@ def test_csv_rows_keep_their_order(spark, tmp_path):
     assert got == list(range(3000))
 
 
-def test_table_versions(spark):
-    t = files.Table(spark, scratch_path(spark, "t"))
-    assert not t.exists()
-    t.overwrite(spark.range(3))
-    old = t.read()
-    t.overwrite(t.read().union(spark.range(5, 7)))
-    assert (old.count(), t.count()) == (3, 5)
-
-
-def test_append_and_conflict(spark):
-    t = files.Table(spark, scratch_path(spark, "t"))
-    t.append(spark.range(3))
-    t.append(spark.range(3, 5))
-    assert sorted(r.id for r in t.read().collect()) == [0, 1, 2, 3, 4]
-    with pytest.raises(files.VersionConflict):
-        t._commit(1, {}, "")
-    t.overwrite(spark.range(9, 10))
-    assert t.end_old_versions(keep=1) == 2 and [r.id for r in t.read().collect()] == [9]
-
-
-def test_upsert_replaces_touched_buckets_only(spark):
-    t = files.Table(spark, scratch_path(spark, "t"), key="id", buckets=8)
-    t.overwrite(spark.range(200).withColumn("v", F.lit(0)))
-    before = t.folders()
-    new = spark.createDataFrame([(5, 1), (1000, 1)], "id long, v int")
-    t.upsert(new, lambda old, batch: incidents.upsert_latest(old, batch, "id"))
-    after = t.folders()
-    changed = {b for b in after if after[b] != before[b]}
-    assert len(changed) <= 2 and len(after) == 8
-    rows = {r.id: r.v for r in t.read().collect()}
-    assert len(rows) == 201 and rows[5] == rows[1000] == 1 and sum(rows.values()) == 2
-    t.end_old_versions(keep=1)
-    assert t.count() == 201
-
-
 def test_repeated_chunk_ids_and_null_words(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.csv").write_text(

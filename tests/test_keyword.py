@@ -72,7 +72,8 @@ def test_blocks_bound_their_postings(index):
     assert index.blocks.agg(F.sum("n")).first()[0] == index.postings.count()
 
 
-def test_postings_of_a_frequent_term_meet_only_candidates(spark, index):
+def test_postings_of_a_frequent_term_meet_only_candidates(spark, index, monkeypatch):
+    monkeypatch.setattr(kw, "OPTIONAL_SHARE", 0.8)
     asked = spark.createDataFrame([(0, "all r40 r45")], "query_id long, text string")
     plan = kw.search_plan(asked, index, k=3)
     optional = {r.term for r in plan.terms.filter("optional").collect()}
