@@ -203,16 +203,34 @@ def _judged(spark, sf):
 
 
 @query("io_ingest_summary", oracle("""
-SELECT count(*) AS csv_rows, count(*) + count(DISTINCT supplier_id) AS chunks_created,
-  count(DISTINCT supplier_id) AS suppliers_upserted, count(DISTINCT sku) AS incidents_inserted FROM canonical"""))
+SELECT count(*) AS rows_read, count(DISTINCT (sku, supplier_id)) + count(DISTINCT supplier_id) AS chunks_created,
+  count(DISTINCT (sku, supplier_id)) + count(DISTINCT supplier_id) AS chunks_total,
+  count(DISTINCT supplier_id) AS suppliers_upserted, count(DISTINCT supplier_id) AS suppliers_total,
+  count(DISTINCT sku) AS incidents_inserted FROM canonical"""))
 def io_ingest_summary(spark, sf):
-    df = fx.canonical(spark, sf, ["sku", "supplier_id"])
-    return df.agg(
-        F.count("*").alias("csv_rows"),
-        (F.count("*") + F.count_distinct("supplier_id")).alias("chunks_created"),
-        F.count_distinct("supplier_id").alias("suppliers_upserted"),
-        F.count_distinct("sku").alias("incidents_inserted"),
-    )
+    """A load of the whole fixture, counted by its writes."""
+    warehouse = etl.Warehouse.at(spark, scratch_path(spark, "warehouse"))
+    counts = etl.load_pipeline(frames.formatted(spark, sf), fx.ORDER, warehouse)
+    return spark.createDataFrame([tuple(counts.values())], ", ".join(f"{c} long" for c in counts))
+
+
+@query("io_reset_ingest", oracle("""
+SELECT 'chunk' AS part, 'record_' || sku || '_' || supplier_id AS name FROM canonical WHERE l_linestatus = 'O' GROUP BY 2
+UNION ALL SELECT 'chunk', 'supplier_summary_' || supplier_id FROM canonical WHERE l_linestatus = 'O' GROUP BY 2
+UNION ALL SELECT 'vector', 'record_' || sku || '_' || supplier_id FROM canonical WHERE l_linestatus = 'O' GROUP BY 2
+UNION ALL SELECT 'vector', 'supplier_summary_' || supplier_id FROM canonical WHERE l_linestatus = 'O' GROUP BY 2
+UNION ALL SELECT 'incident', sku FROM canonical GROUP BY 2
+UNION ALL SELECT 'supplier', supplier_id FROM canonical GROUP BY 2"""))
+def io_reset_ingest(spark, sf):
+    """Of two loads the second resets the documents; incidents and suppliers stay."""
+    warehouse = etl.Warehouse.at(spark, scratch_path(spark, "warehouse"))
+    old, new = (half.drop("line_status") for half in _halves(_formatted_with_status(spark, sf)))
+    etl.load_pipeline(old, fx.ORDER, warehouse)
+    etl.load_pipeline(new, fx.ORDER, warehouse, reset_documents=True)
+    parts = [("chunk", warehouse.chunks, "chunk_id"), ("vector", warehouse.vectors, "doc_id"),
+             ("incident", warehouse.incidents, "incident_code"), ("supplier", warehouse.suppliers, "supplier_id")]
+    rows = [t.read().select(F.lit(part).alias("part"), F.col(c).alias("name")) for part, t, c in parts]
+    return rows[0].union(rows[1]).union(rows[2]).union(rows[3])
 
 
 # --- B: mapping ------------------------------------------------------------------

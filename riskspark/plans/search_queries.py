@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from riskspark import schema
 from riskspark.functions.columns import tokens
 from riskspark.operators import retrieval as r
-from riskspark.plans import sql
+from riskspark.plans import etl, sql
 from riskspark.plans.registry import query
 from riskspark.plans.sql import oracle
 from riskspark.session import scratch_exists, scratch_path
@@ -57,6 +57,19 @@ def bm25_search(spark, sf):
     return _keyword(spark, sf).withColumn("score", F.round("score", 6))
 
 
+@query("search_warehouse", oracle(
+    "SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM keyword"))
+def search_warehouse(spark, sf):
+    """Searches the loaded index after two uploads, of which the second replaces every third document."""
+    docs = fx.documents(spark, sf).select(F.col("doc_id").alias("chunk_id"), F.lit("record").alias("chunk_type"), "text")
+    third = F.pmod(F.xxhash64("chunk_id"), F.lit(3)) == 0
+    warehouse = etl.Warehouse.at(spark, scratch_path(spark, "warehouse"))
+    before = docs.withColumn("text", F.when(third, F.concat_ws(" ", F.lit("old text of"), F.reverse("text"))).otherwise(F.col("text")))
+    etl.replace_documents(before, warehouse)
+    etl.replace_documents(docs.filter(third), warehouse)
+    return warehouse.search(fx.search_queries(spark, sf)).withColumn("score", F.round("score", 6))
+
+
 @query("embed_hash", oracle("""
 SELECT d.doc_id, i AS dim, round(coalesce(v.val / v.norm, 0), 6) + 0.0 AS x
 FROM (SELECT doc_id, unnest(range(64)) AS i FROM documents) d
