@@ -64,13 +64,16 @@ class Record:
         return parse_time(F.col("OccurredAt").cast("string"))
 
 
-def fill_codes(df: DataFrame, order: list[str]) -> DataFrame:
-    """Gives rows without a code INC- and their 0-based row number. Rows are numbered only
-    when some code is missing."""
+def fill_codes(df: DataFrame, order: list[str], upload: str | None = None) -> DataFrame:
+    """Gives rows without a code INC- and their 0-based row number, within each ``upload`` if that
+    column is named. Rows are numbered only when some code is missing."""
     code = F.expr(Record(df).code)
     if "IncidentCode" in df.columns and df.filter(code == "").isEmpty():
         return df
     numbered = number_rows(df.drop("row_seq"), order)
+    if upload:
+        starts = numbered.groupBy(upload).agg((F.min("row_seq") - 1).alias("_before"))
+        numbered = numbered.join(starts, upload).withColumn("row_seq", F.col("row_seq") - F.col("_before")).drop("_before")
     number = (F.col("row_seq") - 1).cast("string")
     padded = F.when(F.length(number) < 5, F.lpad(number, 5, "0")).otherwise(number)
     return numbered.withColumn(
@@ -291,15 +294,20 @@ def latest_records(df: DataFrame, order: list[str]) -> DataFrame:
     return first_per_key(keyed, ["_code", "_supplier"], [F.col(c).desc() for c in order]).drop("_code", "_supplier")
 
 
-def documents(df: DataFrame, order: list[str], latest: bool = False) -> DataFrame:
-    """All chunks of a batch. With ``latest``, rows that share a chunk id leave one record, the last."""
+def documents(df: DataFrame, order: list[str], latest: bool = False, of_suppliers: DataFrame | None = None) -> DataFrame:
+    """All chunks of a batch. With ``latest``, rows that share a chunk id leave one record, the last.
+    Summaries are made of ``of_suppliers`` if given."""
     records = record_documents(latest_records(df, order) if latest else df)
-    return records.unionByName(supplier_documents(df, order))
+    return records.unionByName(supplier_documents(df if of_suppliers is None else of_suppliers, order))
 
 
-def link_incidents(incidents: DataFrame, df: DataFrame, order: list[str]) -> DataFrame:
-    """Adds the id of the record document; the last row of a code wins."""
+def link_incidents(incidents: DataFrame, df: DataFrame, order: list[str], upload: str | None = None) -> DataFrame:
+    """Adds the id of the record document; the last row of a code wins, or the last of the first
+    ``upload`` that has the code."""
     r = Record(df)
-    links = df.groupBy(F.expr(r.code).alias("incident_code")).agg(
-        F.max_by(F.expr(r.chunk_id), F.struct(*order)).alias("document_id"))
+    code, last = F.expr(r.code).alias("incident_code"), F.max_by(F.expr(r.chunk_id), F.struct(*order)).alias("document_id")
+    if upload:
+        links = df.groupBy(code, upload).agg(last).groupBy("incident_code").agg(F.min_by("document_id", upload).alias("document_id"))
+    else:
+        links = df.groupBy(code).agg(last)
     return incidents.join(links, "incident_code", "left")
