@@ -315,26 +315,45 @@ def header_sets(headers: DataFrame) -> DataFrame:
     return headers.groupBy("upload_id").agg(F.sort_array(F.collect_set("header")).alias("columns"))
 
 
+def _rare_headers(sets: DataFrame, name: str, counts: DataFrame, threshold: float) -> DataFrame:
+    """Of each set the headers that a set alike enough must share one of: its rarest n - ceil(t n) + 1."""
+    ordered = F.array_sort(F.collect_list(F.struct("n", "header")))
+    sized = (sets.select(name, F.explode(name).alias("header")).join(counts, "header")
+             .groupBy(name).agg(ordered.alias("ordered")).withColumn(f"{name}_size", F.size("ordered")))
+    # the margin keeps a product such as 0.7 * 10 from being rounded up past its value
+    least = F.ceil(F.col(f"{name}_size") * threshold - 1e-9)
+    rare = F.slice("ordered", 1, (F.col(f"{name}_size") - least + 1).cast("int"))
+    return sized.select(name, f"{name}_size", F.explode(rare).alias("of")).select(name, f"{name}_size", "of.header")
+
+
+def alike_candidates(up: DataFrame, saved: DataFrame, threshold: float) -> DataFrame:
+    """(up, saved): pairs of the distinct header sets of two frames that may overlap by the threshold or
+    more. Two sets of n and m headers that do share one of their rarest n - ceil(t n) + 1 and
+    m - ceil(t m) + 1, in an order common to all, and neither is much longer; so a header that
+    most sets have brings no pairs about."""
+    both = up.select(F.explode("up").alias("header")).unionAll(saved.select(F.explode("saved").alias("header")))
+    counts = both.groupBy("header").agg(F.count("*").alias("n"))
+    pairs = _rare_headers(up, "up", counts, threshold).join(_rare_headers(saved, "saved", counts, threshold), "header")
+    near = ((F.col("up_size") >= F.col("saved_size") * threshold - 1e-9)
+            & (F.col("saved_size") >= F.col("up_size") * threshold - 1e-9))
+    return pairs.filter(near).select("up", "saved").distinct()
+
+
 def match_saved(uploads: DataFrame, registry: DataFrame, threshold: float = SAVED_MATCH) -> DataFrame:
     """(upload_id, company_id, overlap): the most recently used mapping whose headers overlap
     by more than the threshold.
 
     uploads: upload_id, columns; registry: company_id, source_columns, last_used_at.
     Uploads and mappings with equal header sets are handled once, and only sets that share
-    a header are compared.
+    a rare header are compared.
     """
     up = uploads.select("upload_id", F.sort_array(F.array_distinct("columns")).alias("up"))
     saved = registry.select(
         F.sort_array(F.array_distinct("source_columns")).alias("saved"), "last_used_at", "company_id")
     newest = saved.groupBy("saved").agg(
         F.max_by(F.struct("last_used_at", "company_id"), F.struct("last_used_at", "company_id")).alias("m"))
-    sets = up.select("up").distinct()
-    shared = (
-        sets.select("up", F.explode("up").alias("header"))
-        .join(newest.select("saved", F.explode("saved").alias("header")), "header")
-        .groupBy("up", "saved")
-        .agg(F.count("*").alias("both"))
-    )
+    shared = alike_candidates(up.select("up").distinct(), newest.select("saved"), threshold).withColumn(
+        "both", F.size(F.array_intersect("up", "saved")))
     overlap = F.col("both") / (F.size("up") + F.size("saved") - F.col("both"))
     close = shared.withColumn("overlap", overlap).filter(F.col("overlap") > threshold)
     best = close.join(newest, "saved").groupBy("up").agg(

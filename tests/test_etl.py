@@ -320,3 +320,30 @@ def test_preview_uses_its_own_thresholds(spark):
     raw = spark.createDataFrame([(i, str(i % 4)) for i in range(100)], "n int, delay string")
     same = {"delivery_delay_days": {"source_column": "delay", "transform": "direct"}}
     assert etl.preview(raw, same, AS_OF, ["n"]).count() == 10
+
+
+def test_saved_mappings_are_found_through_rare_headers(spark):
+    import random
+
+    rng = random.Random(6)
+    common = [f"common {i}" for i in range(6)]
+    draw = lambda g: common + [f"g{g} {i}" for i in range(8) if rng.random() < 0.85] + [f"x{rng.randrange(9)}"]
+    saved = [(f"c{i}", draw(i % 40), datetime(2024, 1, 1 + i % 28)) for i in range(160)]
+    up = [(f"u{i}", draw(i % 50)) for i in range(100)] + [("none", []), ("same", saved[7][1])]
+    uploads = spark.createDataFrame(up, "upload_id string, columns array<string>")
+    registry = spark.createDataFrame(saved, "company_id string, source_columns array<string>, last_used_at timestamp")
+    want = set()
+    for u, headers in up:
+        near = [(t, c, len(set(headers) & set(s)) / len(set(headers) | set(s))) for c, s, t in saved]
+        near = [x for x in near if x[2] > 0.7]
+        if near:
+            want.add((u, max(near)[1], max(near)[2]))
+    got = mapping.match_saved(uploads, registry)
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 60
+    # 40 of 50 groups have mappings, 4 each: pairs that share only the six common headers are not built
+    sets = mapping.alike_candidates(
+        uploads.select(F.sort_array("columns").alias("up")).distinct(),
+        registry.select(F.sort_array("source_columns").alias("saved")).distinct(), 0.7)
+    rare = F.filter(F.array_intersect("up", "saved"), lambda h: ~h.startswith("common"))
+    assert sets.filter(F.size(rare) == 0).count() == 0
+    assert sets.count() < 102 * 160 / 10
