@@ -16,6 +16,7 @@ from riskspark import schema
 from riskspark.functions.columns import exact_round, strip
 from riskspark.operators.analytics import at, day_start, newest_sessions, snippet
 from riskspark.operators.incidents import patch
+from riskspark.operators.ordering import top_per_key
 from riskspark.session import landed
 
 # Limits and patterns a query text is checked against.
@@ -274,6 +275,27 @@ def trace_events(parts: DataFrame) -> DataFrame:
     return parts.select("session_id", F.inline("events"))
 
 
+CONTEXT_DOCUMENTS = 20  # a session keeps as many of its retrieved documents
+
+
+def saved_sessions(final_events: DataFrame, traces: DataFrame, retrieved: DataFrame) -> DataFrame:
+    """Session rows as they are stored, with the trace of the run and what was retrieved for it.
+
+    traces: event_id, session_id and the trace fields; retrieved: session_id, rank, doc_id, score. A
+    session with a long trace has a row for each part of it, numbered by ``part``; one without events
+    or documents has one row with empty arrays. ``retrieval_context`` holds the best documents by rank.
+    """
+    best = top_per_key(retrieved, ["session_id"], ["rank", "doc_id"], CONTEXT_DOCUMENTS)
+    context = best.groupBy("session_id").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "doc_id", "score"))).alias("retrieval_context"))
+    parts = trace_parts(traces).withColumnRenamed("events", "_events")
+    stored = session_rows(final_events).join(parts, "session_id", "left").join(context, "session_id", "left")
+    empty = lambda c: F.coalesce(F.col(c), F.array().cast(stored.schema[c].dataType))
+    return stored.select(
+        *[c for c in session_rows(final_events).columns], F.coalesce("part", F.lit(0)).alias("part"),
+        F.struct(empty("_events").alias("events")).alias("agent_trace"), empty("retrieval_context").alias("retrieval_context"))
+
+
 def user_sessions(df: DataFrame, user_id: str, skip: int = 0, limit: int = 20) -> DataFrame:
     rows = df.filter(F.col("user_id") == user_id).orderBy(*newest_sessions())
     return (rows.offset(skip) if skip else rows).limit(limit)

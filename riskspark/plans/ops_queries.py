@@ -251,8 +251,8 @@ def log_repeats(spark, sf):
     return q.mark_repeats(_log_keys(spark, sf)).select("event_id", "key", "hit")
 
 
-def _session_frame(spark, sf):
-    final = fx.sessions(spark, sf).withColumns(
+def _final_events(spark, sf):
+    return fx.sessions(spark, sf).withColumns(
         {
             "overall_score": F.col("evaluation_score"),
             "risk_score": F.col("evaluation_score") * 10,
@@ -260,7 +260,32 @@ def _session_frame(spark, sf):
             "recommendations": F.array(F.concat(F.lit("REC-"), "session_id")),
         }
     )
-    return q.session_rows(final)
+
+
+def _session_frame(spark, sf):
+    return q.session_rows(_final_events(spark, sf))
+
+
+@query("log_saved_sessions", oracle("""
+SELECT s.session_id, user_id, final_response, tokens_used, coalesce(events, 0) AS events, coalesce(spent, 0) AS spent, last_agent,
+  coalesce(context, '') AS context
+FROM (SELECT session_id, user_id, query_text AS final_response, tokens_used FROM sessions) s
+LEFT JOIN (SELECT session_id, count(*) AS events, CAST(sum(tokens_used) AS BIGINT) AS spent, arg_max(agent, ts) AS last_agent
+  FROM traces GROUP BY session_id) t ON t.session_id = s.session_id
+LEFT JOIN (SELECT 'S-' || CAST(floor(doc_id / 10) AS BIGINT) AS session_id,
+  string_agg((doc_id % 10 + 1) || ':' || doc_id, ',' ORDER BY doc_id % 10) AS context FROM labels GROUP BY 1) c
+ON c.session_id = s.session_id"""))
+def log_saved_sessions(spark, sf):
+    """Stored sessions, their traces and retrieval contexts told back."""
+    stored = q.saved_sessions(_final_events(spark, sf), fx.trace_events(spark, sf), fx.retrieved(spark, sf))
+    events = F.col("agent_trace.events")
+    told = F.array_join(F.transform("retrieval_context", lambda d: F.concat_ws(":", d["rank"].cast("string"), d["doc_id"].cast("string"))), ",")
+    parts = stored.select(
+        "session_id", "user_id", F.col("result.final_response").alias("final_response"), "tokens_used", told.alias("context"),
+        F.size(events).alias("n"), F.aggregate(events, F.lit(0).cast("bigint"), lambda s, e: s + F.coalesce(e["tokens_used"], F.lit(0).cast("bigint"))).alias("t"),
+        F.get(events, F.size(events) - 1).alias("last"))
+    return parts.groupBy("session_id", "user_id", "final_response", "tokens_used", "context").agg(
+        F.sum("n").alias("events"), F.sum("t").alias("spent"), F.max_by("last.agent", "last.ts").alias("last_agent"))
 
 
 @query("log_session_rows", oracle("""
@@ -664,6 +689,23 @@ def stream_daily_volume(spark, sf):
     return streams.drain_final(daily).withColumn("score", F.round("score", 6))
 
 
+@query("stream_session_traces", oracle("""
+SELECT s.session_id, s.created_at, count(*) AS events, CAST(sum(t.tokens_used) AS BIGINT) AS spent, max(ts) AS last_ts
+FROM sessions s JOIN traces t ON s.session_id = t.session_id
+  AND ts BETWEEN created_at - INTERVAL 2 DAY AND created_at + INTERVAL 2 DAY GROUP BY s.session_id, s.created_at"""))
+def stream_session_traces(spark, sf):
+    """Trace events and final events arrive as two streams and are joined."""
+    path = scratch_path(spark, "runs")
+    final = fx.sessions(spark, sf).select("session_id", "created_at", "evaluation_score")
+    traces = fx.trace_events(spark, sf)
+    final.write.parquet(f"{path}/final")
+    traces.write.parquet(f"{path}/traces")
+    joined = streams.session_traces(streams.read_files(spark, f"{path}/final", final.schema),
+                                    streams.read_files(spark, f"{path}/traces", traces.schema), within="2 DAYS")
+    return streams.drain(joined).groupBy("session_id", "created_at").agg(
+        F.count("*").alias("events"), F.sum("tokens_used").alias("spent"), F.max("ts").alias("last_ts"))
+
+
 @query("stream_uploads", oracle("""
 SELECT sku AS incident_code, supplier_id AS supplier_ref, round(delivery_delay_days, 2) AS delivery_delay_days,
   product_type AS supplier_category

@@ -275,6 +275,14 @@ def trace_columns(e: DataFrame) -> DataFrame:
     )
 
 
+def retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents retrieved in sessions: ten labelled ones each."""
+    d = F.col("doc_id")
+    return table(spark, sf_dir, "labels").select(
+        F.concat(F.lit("S-"), F.floor(d / 10).cast("string")).alias("session_id"), (d % 10 + 1).cast("int").alias("rank"),
+        "doc_id", (d % 9 / 8.0).alias("score"))
+
+
 def evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metric scores and judge scores, about ten rows per session."""
     d, q, x = F.col("doc_id"), F.col("quality"), F.col("toxic")

@@ -176,3 +176,35 @@ def test_drop_folder_ingest(spark, tmp_path):
     codes = {r.incident_code: r.supplier_ref for r in home.incidents.read().collect()}
     assert codes == {"K1": "A", "K2": "A", "K3": "B"}
     assert home.suppliers.count() == 2
+
+
+def test_saved_sessions_keep_trace_and_context(spark, monkeypatch):
+    final = spark.createDataFrame(
+        [("a", 0.5, T0), ("b", None, T0), ("none", 0.1, T0)], "session_id string, overall_score double, created_at timestamp_ntz").withColumns(
+        {c: F.lit("x") for c in ("user_id", "query_text", "final_response", "risk_score", "recommendations")}
+        | {"tokens_used": F.lit(1), "latency_ms": F.lit(2)})
+    traces = spark.createDataFrame(
+        [(i, "a" if i < 2500 else "b", T0 + timedelta(seconds=i), "done", "retrieval", "ok", 1.0, i) for i in range(2510)],
+        "event_id long, session_id string, ts timestamp_ntz, type string, agent string, status string, elapsed_ms double, tokens_used long")
+    retrieved = spark.createDataFrame([("a", r, r * 10, 1.0 / r) for r in range(1, 31)], "session_id string, rank int, doc_id long, score double")
+    rows = querylog.saved_sessions(final, traces, retrieved).collect()
+    found = {}
+    for r in rows:
+        found.setdefault(r.session_id, []).extend(e.event_id for e in r.agent_trace.events)
+        # no array grows with the session
+        assert len(r.agent_trace.events) < 1500
+    assert {k: sorted(v) for k, v in found.items()} == {"a": list(range(2500)), "b": list(range(2500, 2510)), "none": []}
+    context = {r.session_id: [d.doc_id for d in r.retrieval_context] for r in rows}
+    assert context == {"a": [10 * i for i in range(1, 21)], "b": [], "none": []}
+
+
+def test_streams_of_runs_and_events_are_joined(spark):
+    final_path, trace_path = scratch_path(spark, "final"), scratch_path(spark, "traces")
+    at = lambda m: T0 + timedelta(minutes=m)
+    write_batches(spark, final_path, [[("a", at(10))], [("b", at(200))]], "session_id string, created_at timestamp_ntz")
+    write_batches(spark, trace_path, [[("a", at(5), 1), ("b", at(190), 2), ("a", at(120), 3)], [("c", at(1), 4), ("b", at(201), 5)]],
+                  "session_id string, ts timestamp_ntz, event_id long")
+    streams_ = [streams.read_files(spark, p, spark.read.parquet(p).schema, files_per_trigger=1) for p in (final_path, trace_path)]
+    rows = streams.drain(streams.session_traces(*streams_, within="1 HOUR")).collect()
+    # event 3 is too far from its run, and run c never finished
+    assert sorted((r.session_id, r.event_id) for r in rows) == [("a", 1), ("b", 2), ("b", 5)]
