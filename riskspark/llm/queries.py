@@ -82,9 +82,7 @@ def near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def find_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # judged by owners alone, with the columns of the check SQL
-    found = secrets.secret_scan(table(spark, sf_dir, "documents"))
-    return found.withColumnRenamed("id", "doc_id").drop("repositories")
+    return secrets.secret_scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
 def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,18 +169,22 @@ ORACLES: dict[str, str] = {
         c AS (
             SELECT * FROM f WHERE place < 3 OR NOT EXISTS (
                 SELECT 1 FROM f AS o WHERE o.doc_id = f.doc_id AND o.place < 3 AND o.a < f.b AND f.a < o.b)),
-        w AS (SELECT v, count(DISTINCT coalesce(source, chr(1))) AS owners FROM c GROUP BY v),
-        j AS (SELECT c.*, owners <= 2 AS live, kind || ':' || a || ':' || b AS span FROM c JOIN w USING (v)),
+        w AS (
+            SELECT v, count(DISTINCT coalesce(source, chr(1))) AS owners,
+                   count(DISTINCT coalesce(doc_id::VARCHAR, chr(1))) AS repositories
+            FROM c GROUP BY v),
+        j AS (SELECT c.*, repositories, owners <= 2 AND repositories <= 20 AS live, kind || ':' || a || ':' || b AS span FROM c JOIN w USING (v)),
         r AS (
             SELECT doc_id, count(*) FILTER (place = 0) AS n_assign, count(*) FILTER (place = 1) AS n_access,
                    count(*) FILTER (place = 2) AS n_hex,
                    coalesce(string_agg(span, ',' ORDER BY a, place) FILTER (place < 3), '') AS base,
                    coalesce(string_agg(span, ',' ORDER BY a, place) FILTER (place < 3 OR live), '') AS spans,
+                   coalesce(string_agg(repositories::VARCHAR, ',' ORDER BY a, place) FILTER (place < 3 OR live), '') AS repositories,
                    count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied
             FROM j GROUP BY doc_id)
         SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access,
                coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
-               coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+               coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied, coalesce(repositories, '') AS repositories
         FROM d LEFT JOIN r USING (doc_id)""",
     "op10_mixing_sources": r"""
         WITH d AS (
