@@ -1,9 +1,10 @@
 """Exact quantiles by narrowing value ranges.
 
 ``percentile`` keeps every distinct value of a column in one task. Here each pass
-only counts values per range, and the next pass looks inside the ranges that hold
-the wanted ranks. A range with a single distinct value ends the search, so columns
-with few values need one pass. Like ``approxQuantile`` this runs jobs and returns
+only counts values per range, a histogram of bounded width that every task adds up before
+the shuffle, and the next pass looks inside the ranges that hold the wanted ranks. A range
+with a single distinct value ends the search, so columns with few values need one pass, and
+no more than five or so are ever needed. Like ``approxQuantile`` this runs jobs and returns
 plain numbers; at most one row per wanted rank reaches the driver.
 """
 
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _LOG_STEPS = 512  # ranges per e-fold of the absolute value
-_SPLIT = 65536  # equal parts of a range in the second pass
+_SPLIT = 65536  # equal parts of a range in the later passes
 
 
 def _log_range(v: Column) -> Column:
@@ -53,38 +54,32 @@ def order_statistics(df: DataFrame, columns: dict[str, Column], ranks: dict[str,
                 if h.low == h.high:
                     found[m, rank] = h.low
                 else:
-                    open_[m, rank] = (h.k, h.low, h.high, rank - h.before)
+                    open_[m, rank] = (h.low, h.high, rank - h.before)
     if not open_:
         return found
 
-    # look inside the ranges that hold a rank, split into equal parts
-    part = F.lit(None).cast("bigint")
-    for (m, _), (k, low, high, _) in open_.items():
-        inside = (F.col("metric") == m) & (F.col("k") == k)
-        part = F.when(inside, F.floor((F.col("v") - low) / (high - low) * (_SPLIT - 1))).otherwise(part)
-    parts = long.withColumn("part", part).filter(F.col("part").isNotNull())
-    wanted = [(m, k, r) for (m, _), (k, _, _, r) in open_.items()]
-    narrow = {}
-    for h in _holding(parts.groupBy("metric", "k", "part").agg(*bounds), ["metric", "k"], "part", wanted):
-        for (m, rank), (k, _, _, r) in open_.items():
-            if (m, k) == (h.metric, h.k) and h.before <= r < h.before + h.n:
-                if h.low == h.high:
-                    found[m, rank] = h.low
-                else:
-                    narrow[m, rank] = (k, h.part, r - h.before)
-    if not narrow:
-        return found
-
-    # what is left is one part in 65,536 of a range, with equal values counted once
-    keep = F.lit(False)
-    for (m, _), (k, p, _) in narrow.items():
-        keep = keep | ((F.col("metric") == m) & (F.col("k") == k) & (F.col("part") == p))
-    values = parts.filter(keep).groupBy("metric", "k", "part", "v").agg(F.count("*").alias("n"))
-    wanted = [(m, k, p, r) for (m, _), (k, p, r) in narrow.items()]
-    for h in _holding(values, ["metric", "k", "part"], "v", wanted):
-        for (m, rank), (k, p, r) in narrow.items():
-            if (m, k, p) == (h.metric, h.k, h.part) and h.before <= r < h.before + h.n:
-                found[m, rank] = h.v
+    # look inside the ranges that hold a rank, each split into equal parts, until a range has one value:
+    # its least and greatest value fall into different parts, so every pass narrows all ranges left
+    while open_:
+        ranges = sorted({(m, low, high) for (m, _), (low, high, _) in open_.items()})
+        parts = F.lit(None).cast("bigint")
+        for i, (m, low, high) in enumerate(ranges):
+            inside = (F.col("metric") == m) & F.col("v").between(low, high)
+            part = F.floor((F.col("v") - low) / (high - low) * (_SPLIT - 1)) + i * _SPLIT
+            parts = F.when(inside, part).otherwise(parts)
+        hist = long.withColumn("part", parts).filter(F.col("part").isNotNull()).withColumn(
+            "place", F.floor(F.col("part") / _SPLIT)).groupBy("metric", "place", "part").agg(*bounds)
+        wanted = [(m, ranges.index((m, low, high)), r) for (m, _), (low, high, r) in open_.items()]
+        held = _holding(hist, ["metric", "place"], "part", wanted)
+        after = {}
+        for (m, rank), (low, high, r) in open_.items():
+            for h in held:
+                if (m, ranges.index((m, low, high))) == (h.metric, h.place) and h.before <= r < h.before + h.n:
+                    if h.low == h.high:
+                        found[m, rank] = h.low
+                    else:
+                        after[m, rank] = (h.low, h.high, r - h.before)
+        open_ = after
     return found
 
 

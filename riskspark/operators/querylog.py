@@ -387,9 +387,8 @@ def agent_stats_all_time(sessions: DataFrame, traces: DataFrame, limit: int | No
     """Statistics of completed events over the newest sessions, or all with ``limit=None``."""
     done = traces.filter(F.col("type") == "agent_completed")
     if limit is not None:
-        # at most ``limit`` rows
         newest = sessions.orderBy(*newest_sessions()).limit(limit).select("session_id")
-        done = done.join(F.broadcast(newest), "session_id", "left_semi")
+        done = done.join(newest, "session_id", "left_semi")
     return done.groupBy(F.coalesce("agent", F.lit("unknown")).alias("agent_name")).agg(
         F.round(F.avg(F.coalesce("elapsed_ms", F.lit(0.0))), 0).alias("avg_latency_ms"),
         F.count("*").alias("total_calls"),
