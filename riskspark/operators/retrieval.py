@@ -8,7 +8,6 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import replace
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -77,7 +76,10 @@ def _unit(rows) -> np.ndarray:
     return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
 
 
-MAX_SHIPPED_VALUES = 1_000_000  # numbers of a query matrix sent to every task (8 MB)
+MAX_SHIPPED_VALUES = 1_000_000  # numbers of the queries that one task compares at a time (8 MB)
+MAX_VECTORS = 1 << 15  # documents that one task compares at a time
+PIVOTS, PIVOT_SAMPLE = 32, 1024
+_MARGIN = 1e-8
 MAX_SCORES = 2_000_000  # scores of a tile in a task's memory (16 MB)
 
 
@@ -100,37 +102,85 @@ def _best(doc_ids: np.ndarray, docs: np.ndarray, query_ids: list, queries: np.nd
 
 
 def cosine_search(
-    queries: DataFrame, docs: DataFrame, k: int = SEMANTIC_K, max_shipped: int = MAX_SHIPPED_VALUES
+    queries: DataFrame, docs: DataFrame, k: int = SEMANTIC_K, max_shipped: int = MAX_SHIPPED_VALUES,
+    max_vectors: int = MAX_VECTORS,
 ) -> DataFrame:
-    """(query_id, doc_id, score, rank from 0) by cosine similarity.
+    """(query_id, doc_id, score, rank from 0) by cosine similarity, exact.
 
-    queries: query_id, embedding; docs: doc_id, embedding. Queries go to every task as matrices
-    of at most ``max_shipped`` numbers, one block of queries after the other; each batch of
-    documents keeps its best k per query, so pairs never leave a task.
+    queries: query_id, embedding; docs: doc_id, embedding. Documents are kept by their nearest pivot, of
+    a few taken from a bounded sample. A query's k-th best in that sample bounds its k-th best of all;
+    pivots whose documents lie within too small an angle to reach it are left out. The others
+    meet the query in blocks of at most ``max_vectors`` documents and ``max_shipped`` numbers of queries,
+    dealt by a shuffle; each keeps its best k per query, so pairs never leave a task.
     """
+    spark = docs.sparkSession
     out = T.StructType(
         [queries.schema["query_id"], docs.schema["doc_id"], T.StructField("score", T.DoubleType())])
     queries = landed(queries.select("query_id", "embedding"), "queries")
+    vectors = landed(docs.select("doc_id", "embedding"), "vectors")  # encoded once
     size = queries.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dims")).first()
-    if not size.n:
-        return _ranked(docs.sparkSession.createDataFrame([], out), k)
-    blocks = math.ceil(size.n * size.dims / max_shipped)
-    docs = docs.select("doc_id", "embedding")
-    docs = docs if blocks == 1 else landed(docs, "vectors")  # encoded once for all blocks
+    sample = [r.embedding for r in vectors.orderBy(F.xxhash64("doc_id"), "doc_id").limit(PIVOT_SAMPLE).collect()]
+    if not size.n or not sample:
+        return _ranked(spark.createDataFrame([], out), k)
+    sample = _unit(sample)
+    pivots = sample[:PIVOTS]
+
+    placed_as = T.StructType([*vectors.schema.fields, T.StructField("pivot", T.IntegerType()), T.StructField("near", T.DoubleType())])
+    placed = vectors.mapInPandas(_placing(pivots), placed_as)
+    # one row per pivot
+    cells = {r.pivot: r for r in placed.groupBy("pivot").agg(F.count("*").alias("n"), F.min("near").alias("near")).collect()}
+    widest = np.array([np.arccos(np.clip(cells[i].near, -1, 1)) if i in cells else -np.inf for i in range(len(pivots))])
+    parts = np.array([-(-cells[i].n // max_vectors) if i in cells else 0 for i in range(len(pivots))])
+    groups = math.ceil(size.n * size.dims / max_shipped)
+
+    group = F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int").alias("group")
+    reach_as = T.StructType([*queries.schema.fields, T.StructField("pivots", T.ArrayType(T.IntegerType()))])
+    asked = queries.mapInPandas(_reaching(sample, pivots, widest, k), reach_as).select(
+        "query_id", "embedding", group, F.explode("pivots").alias("pivot"))
+    counts = F.array(*[F.lit(int(n)) for n in parts])
+    asked = asked.select("query_id", "embedding", "group", "pivot", F.explode(
+        F.sequence(F.lit(0), F.get(counts, F.col("pivot")) - 1)).alias("part"))
+    held = placed.select(
+        "doc_id", "embedding", "pivot", F.pmod(F.xxhash64("doc_id"), F.greatest(F.get(counts, F.col("pivot")), F.lit(1))).cast("int").alias("part"),
+        F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
+
+    def compare(some: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        if not len(some) or not len(others):
+            return pd.DataFrame({"query_id": some["query_id"][:0], "doc_id": others["doc_id"][:0], "score": np.zeros(0)})
+        return _best(others["doc_id"].to_numpy(), _unit(others["embedding"]), list(some["query_id"]), _unit(some["embedding"]), k)
+
+    block = ["pivot", "part", "group"]
+    return _ranked(asked.groupBy(*block).cogroup(held.groupBy(*block)).applyInPandas(compare, out), k)
+
+
+def _placing(pivots: np.ndarray):
+    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            if len(pdf):
+                near = _unit(pdf["embedding"]) @ pivots.T
+                pivot = near.argmax(axis=1)
+                yield pdf.assign(pivot=pivot.astype(np.int32), near=near[np.arange(len(pdf)), pivot])
 
-    def against(rows: list) -> DataFrame:
-        ids, matrix = [r.query_id for r in rows], _unit(r.embedding for r in rows)
+    return place
 
-        def local(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in frames:
-                if len(pdf):
-                    yield _best(pdf["doc_id"].to_numpy(), _unit(pdf["embedding"]), ids, matrix, k)
 
-        return docs.mapInPandas(local, out)
+def _reaching(sample: np.ndarray, pivots: np.ndarray, widest: np.ndarray, k: int):
+    """Adds to queries the pivots whose documents can be among their best k."""
 
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    parts = [against(rows) for b in range(blocks) if (rows := queries.filter(block == b).collect())]
-    return _ranked(reduce(DataFrame.union, parts), k)
+    def reach(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            if not len(pdf):
+                continue
+            unit = _unit(pdf["embedding"])
+            bound = np.full(len(unit), -np.inf)
+            if len(sample) >= k:
+                bound = np.partition(unit @ sample.T, -k, axis=1)[:, -k] - _MARGIN
+            angle = np.arccos(np.clip(unit @ pivots.T, -1, 1))
+            most = np.where(np.isfinite(widest), np.cos(np.maximum(angle - widest, 0)), -np.inf) + _MARGIN
+            able = (most >= bound[:, None]) & np.isfinite(widest)
+            yield pdf.assign(pivots=[np.flatnonzero(row).astype(np.int32) for row in able])
+
+    return reach
 
 
 # --- filters, fusion, rerank -----------------------------------------------------

@@ -111,6 +111,37 @@ def test_cosine_small_and_blocked_paths_agree(spark):
     assert r.cosine_search(queries.limit(0), docs).count() == 0
 
 
+def test_pivots_out_of_reach_are_left_out():
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(10, 16))
+    docs = r._unit((centres[rng.integers(0, 10, 500)] + rng.normal(size=(500, 16)) * 0.02).tolist())
+    pivots = docs[:32]
+    near = docs @ pivots.T
+    at = near.argmax(axis=1)
+    widest = np.array([np.arccos(np.clip(near[at == i, i].min(initial=1), -1, 1)) if (at == i).any() else -np.inf for i in range(32)])
+    pdf = pd.DataFrame({"query_id": range(100), "embedding": docs[:100].tolist()})
+    met = next(iter(r._reaching(docs, pivots, widest, 5)([pdf])))
+    assert met["pivots"].map(len).mean() < 10
+    for i in range(100):
+        best = np.argsort(-(docs @ docs[i]))[:5]
+        assert set(at[best]) <= set(met["pivots"][i])
+
+
+@pytest.mark.parametrize("shipped, vectors", [(1000, 40), (50, 1000)])
+def test_cosine_of_clustered_vectors(spark, shipped, vectors):
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(12, 6))
+    d = [(f"d{i:04}", v) for i, v in enumerate((centres[rng.integers(0, 12, 1500)] + rng.normal(size=(1500, 6)) * 0.05).tolist())]
+    docs = spark.createDataFrame(d, "doc_id string, embedding array<double>").repartition(5)
+    q = [(i, v) for i, v in enumerate(centres.tolist())]
+    rows = r.cosine_search(spark.createDataFrame(q, "query_id int, embedding array<double>"), docs, 7, shipped, vectors).collect()
+    unit = r._unit([v for _, v in d])
+    for i, v in q:
+        s = np.round(unit @ r._unit([v])[0], 9)
+        best = sorted(range(1500), key=lambda j: (-s[j], d[j][0]))[:7]
+        assert [x.doc_id for x in sorted(rows, key=lambda x: x.rank) if x.query_id == i] == [d[j][0] for j in best]
+
+
 def test_embedding(spark, docs):
     vectors = {x.doc_id: np.array(x.embedding) for x in r.embed(docs).collect()}
     assert all(np.isclose(np.linalg.norm(v), 1) for i, v in vectors.items() if i != 3)
