@@ -151,4 +151,4 @@ def test_check_sql(spark, name):
 
 def test_queries_are_registered():
     found = entry.queries()
-    assert len({n.split("_")[0] for n in found if n.startswith("op") and n[2].isdigit()}) == 10 and "pipeline" in found
+    assert len({n.split("_")[0] for n in found if n.startswith("op") and n[2].isdigit()}) == 13 and "pipeline" in found
