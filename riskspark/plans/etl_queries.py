@@ -705,10 +705,17 @@ def derive_enums(spark, sf):
         .alias("resolution_status"))
 
 
-@query("derive_field_audit", oracle("""
-SELECT f AS field, f IN ('shipping_carrier', 'transportation_mode') AS is_empty
-FROM (SELECT unnest([{}]) AS f), (SELECT count(*) AS n FROM canonical) WHERE n > 0""".format(
-    ", ".join(f"'{f}'" for f in schema.FIELDS))))
+def _per_field(fields, view, test):
+    """SQL with a row (field, flag) per field, from the values of its column in a view."""
+    column = {"timestamp": "ts_text"}
+    return " UNION ALL ".join(
+        f"SELECT '{f}' AS field, coalesce({test.format(column.get(f, f))}, true) AS flag FROM {view}" for f in fields)
+
+
+_BLANK = "bool_and(coalesce(CAST({} AS VARCHAR), '') = '')"
+
+
+@query("derive_field_audit", oracle(f"SELECT field, flag AS is_empty FROM ({_per_field(schema.FIELDS, 'enriched', _BLANK)})"))
 def derive_field_audit(spark, sf):
     return derive.field_audit(frames.enriched(spark, sf, schema.FIELDS))
 
@@ -745,12 +752,23 @@ def validate_summary(spark, sf):
     return validate.summary(_checked(spark, sf)).withColumn("pass_rate", F.round("pass_rate", 6))
 
 
-@query("validate_dataset", oracle("""
-SELECT f AS field, 'warning' AS level, 'Optional field ''' || f || ''' absent — defaults applied.' AS message
-FROM (SELECT unnest([{}]) AS f), (SELECT count(*) AS n FROM canonical) WHERE n > 0""".format(
-    ", ".join(f"'{f}'" for f in schema.FIELDS if f not in _CHECKED + ["severity"]))))
+#: with an optional field that has no value in any row, and one that has
+_SEEN = [*_CHECKED, "shipping_carrier", "product_type"]
+_ABSENT = [f for f in schema.FIELDS if f not in [*_SEEN, "severity"]]
+_NEEDED = ", ".join(f"'{f}'" for f in schema.REQUIRED)
+
+
+@query("validate_dataset", oracle(f"""
+SELECT field, CASE WHEN needed THEN 'error' ELSE 'warning' END AS level,
+  CASE WHEN needed THEN 'Required field ' || chr(39) || field || chr(39) || ' missing after transformation.'
+    ELSE 'Optional field ' || chr(39) || field || chr(39) || ' absent — defaults applied.' END AS message
+FROM (
+  SELECT field, field IN ({_NEEDED}) AS needed, false AS gone
+  FROM ({_per_field([*_SEEN, "severity"], "faulty", "count({}) = 0")}) WHERE flag
+  UNION ALL SELECT field, field IN ({_NEEDED}), true FROM (SELECT unnest({_ABSENT}) AS field))
+WHERE gone OR NOT needed"""))
 def validate_dataset(spark, sf):
-    return validate.dataset_messages(fx.with_faults(fx.canonical(spark, sf, _CHECKED)))
+    return validate.dataset_messages(fx.with_faults(fx.canonical(spark, sf, _SEEN)))
 
 
 @query("validate_keep", oracle("SELECT sku, supplier_id FROM checked WHERE NOT no_identity"))
