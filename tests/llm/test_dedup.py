@@ -129,6 +129,31 @@ def test_pipeline_drops_what_is_alike_in_five_word_shingles(spark):
     assert sorted(r.doc_id for r in got.collect()) == sorted(want) and len(want) < 36
 
 
+def test_members_of_one_group_unlike_its_leaders_are_linked(spark):
+    # every text in one group of candidates, so that most families are unlike its first and last
+    rng = np.random.default_rng(9)
+    rows = []
+    for family in range(14):
+        words = [f"w{n}" for n in rng.integers(0, 900, 40 if family else 400)]
+        for at in range(1 + family % 5):
+            rows.append((len(rows), " ".join([*words[:at * 3], *["Y" + w for w in words[at * 3:at * 3 + 1]], *words[at * 3 + 1:]])))
+    rows += [(100, None), (101, "a b c d e"), (102, "a b c d e"), (None, "a b c d e f")]
+    docs = frame(spark, rows)
+    sketches = minhash.sketches(docs, "doc_id", "text").withColumn("keys", F.array(F.lit(7).cast("long")))
+    sets = {m - 2 ** 64 if m >= 2 ** 63 else m: set(s.tolist())
+            for s in (minhash.shingles(t or "") for _, t in rows) for m in [minhash._mark(s)]}
+    alike = {f: {g for g in sets if 5 * len(sets[f] & sets[g]) >= 4 * len(sets[f] | sets[g])} for f in sets}
+    label = {f: f for f in sets}
+    for _ in sets:
+        label = {f: min(label[g] for g in alike[f]) for f in sets}
+    edges = minhash.similar_links(sketches, docs)
+    assert all(e.b in alike[e.a] for e in edges.collect())
+    found = {r.node: r.component for r in parts.components(edges).collect()}
+    assert {f: found.get(f, f) for f in sets} == label and len(set(label.values())) > 14
+    none = minhash.similar_links(sketches.limit(0), docs)
+    assert none.columns == ["a", "b"] and none.isEmpty()
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     assert exact_dedup.exact_groups(none).count() == simhash.near_groups(none).count() == 0

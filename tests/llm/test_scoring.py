@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 import corpus_pipeline
 from check import compare, duck
-from riskspark.llm import attention, decontamination, queries, scoring, simhash, toxicity
+from riskspark.llm import attention, decontamination, queries, scoring, toxicity
 from riskspark.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -109,10 +109,14 @@ def test_pipeline_stages_match_brute_force(spark):
     for i, r in kept.items():
         last[r.text] = max(i, last.get(r.text, -1))
     kept = {i: r for i, r in kept.items() if last[r.text] == i}
-    prints = {i: simhash.fingerprint(r.text) for i, r in kept.items()}
+    sets = {}
+    for i, r in kept.items():
+        w = r.text.lower().split()
+        sets[i] = {tuple(w[j:j + 5]) for j in range(max(1, len(w) - 4))}
+    alike = {i: [j for j in kept if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])] for i in kept}
     label = {i: i for i in kept}
     while True:
-        new = {i: min(label[j] for j in kept if ((prints[i] ^ prints[j]) % 2 ** 64).bit_count() <= 3) for i in kept}
+        new = {i: min(label[j] for j in alike[i]) for i in kept}
         if new == label:
             break
         label = new
