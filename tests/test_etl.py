@@ -210,6 +210,21 @@ def test_stockouts_and_spikes(spark):
     assert all(r.incident_code.startswith("ANO-") for r in found)
 
 
+def test_all_anomalies_in_three_scans(spark, tmp_path):
+    stock = [2, 3] + [100] * 28
+    frame(spark, [0] * 20 + list(range(9)) + [90], stock=stock, defects=[0.9] + [0.0] * 29,
+          names=["bad"] + ["ok"] * 27 + [None] * 2).write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
+    every = anomaly.detect(df, ["n"])
+    # two scans are left: the means come from what the first one wrote
+    assert every._jdf.queryExecution().executedPlan().toString().count("/rows]") == 2
+    parts = [anomaly.outliers(df), anomaly.stockouts(df), anomaly.delay_trend(df, ["n"]), anomaly.defect_spikes(df)]
+    want = sorted(str(r) for p in parts for r in p.select(*anomaly.EVENT_COLUMNS).collect())
+    assert every.columns == anomaly.EVENT_COLUMNS
+    assert sorted(str(r) for r in every.collect()) == want and len({r.split(",")[0] for r in want}) == 4
+    assert anomaly.detect(df.limit(0), ["n"]).count() == 0
+
+
 def test_detect_and_apply_mapping(spark):
     rows = [(i, f"v{i}", "Road" if i % 2 else "Air", str(i / 100), f"2024-01-{i + 1:02d}", str(i * 7), "zz")
             for i in range(12)]
