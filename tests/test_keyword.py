@@ -94,3 +94,27 @@ def test_blocks_of_low_impact_are_left_out(spark):
     index = kw.build_index(spark.createDataFrame(rows, "doc_id long, text string"), scratch_path(spark, "idx"))
     plan = kw.search_plan(spark.createDataFrame([(0, "goods")], "query_id long, text string"), index, k=5)
     assert plan.candidates.count() == 20
+
+
+def test_words_are_counted_where_the_text_is(spark):
+    rows = [(1, "b a B, a"), (2, None), (None, "a"), (3, "é-x9 X9 K")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    postings = kw.index_frames(docs).postings
+    assert "Exchange" not in postings._jdf.queryExecution().executedPlan().toString()
+    found = {(r.term, r.doc_id, r.tf, r.dl) for r in postings.collect()}
+    assert found == {("a", 1, 2, 4), ("b", 1, 2, 4), ("a", None, 1, 1), ("x9", 3, 2, 3), ("k", 3, 1, 3)}
+
+
+def test_repeated_ids_add_up_by_length(spark):
+    rows = [(1, "a b"), (1, "a c"), (1, "a"), (None, "a"), (None, "a")]
+    postings = kw.index_frames(spark.createDataFrame(rows, "doc_id long, text string")).postings
+    found = sorted(((r.term, r.doc_id, r.tf, r.dl) for r in postings.collect()), key=str)
+    assert found == sorted([("a", 1, 2, 2), ("b", 1, 1, 2), ("c", 1, 1, 2), ("a", 1, 1, 1), ("a", None, 2, 1)], key=str)
+
+
+def test_postings_of_a_bucket_are_dealt_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(kw, "TASK_WORDS", 10)
+    docs = spark.range(2000).selectExpr("id AS doc_id", "'all same words' AS text")
+    postings, lengths = kw.posting_frames(docs)
+    sizes = kw.laid_out(postings, lengths).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.max("bucket")).collect()
+    assert sum(r.n for r in sizes) == 6000 and max(r.n for r in sizes) < 600
