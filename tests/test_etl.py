@@ -3,7 +3,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from riskspark.functions.columns import parse_time
+from riskspark.functions.columns import parse_time, to_double
 from riskspark.operators import anomaly, derive, documents, incidents, mapping, validate
 from riskspark.plans import etl
 from riskspark.session import scratch_path
@@ -362,3 +362,14 @@ def test_saved_mappings_are_found_through_rare_headers(spark):
     rare = F.filter(F.array_intersect("up", "saved"), lambda h: ~h.startswith("common"))
     assert sets.filter(F.size(rare) == 0).count() == 0
     assert sets.count() < 102 * 160 / 10
+
+
+def test_profile_casts_only_what_may_be_a_number(spark):
+    texts = ["1", " 7 ", "-2.5", "+3", "1e5", "1E-5", "1e+5", ".5", "5.", "1d", "2F", "0x1p3", "0x1.8P-1", "inf", "-Infinity", "+inf",
+             "NaN", "nan", "Road", "Fail", "Pending", "2024-01-05", "note 3", "1,000", "3/4", "12:30", "", "-", "1-2", "e5"]
+    values = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "upload_id int, position int, value string")
+    numbers = {r.position: (r.numbers, r.low) for r in mapping.profile(values).collect()}
+    every = values.select("position", to_double(F.col("value")).alias("x")).collect()
+    assert numbers == {r.position: (int(r.x is not None), r.x) for r in every}
+    tried = {r.value for r in values.filter(mapping._may_be_number(F.col("value"))).collect()}
+    assert tried.isdisjoint({"Road", "Fail", "2024-01-05", "note 3", "1-2"})

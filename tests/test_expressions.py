@@ -109,3 +109,16 @@ def test_matcher_equals_brute_force():
         expected = [2 * lcs(text, a) / (len(text) + len(a)) for a, _ in table]
         assert np.allclose(matcher.ratios(text), expected)
     assert matcher.best("suplier nme") == ("supplier_name", pytest.approx(22 / 24))
+
+
+def test_only_texts_of_a_layout_are_parsed_as_dates(spark):
+    texts = ["3/4/2024", "2024/3/4", "4-Mar-2024", "4-mar-2024", "3/4/2024 5:06", "Mar 4, 2024", "March 4, 2024", "4 Mar 2024",
+             "4 March 2024", "04.03.2024", "20240304", "2024-03-04", "note 3", "note 3 of 4", "a/b/1", "3/4/2024x", "", " ",
+             " 3/4/2024", "3/4/2024\n", "1.5", "-20240304", "+20240304", "2024030", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    tried = F.coalesce(F.col("t").try_cast("timestamp_ntz"),
+                       *[F.try_to_timestamp("t", F.lit(f)).cast("timestamp_ntz") for f in c.DATE_FORMATS])
+    for row in df.select("t", c.parse_time(F.col("t")).cast("string").alias("got"), tried.cast("string").alias("want")).collect():
+        assert row.got == row.want, row.t
+    shapes = F.array(*[F.rlike("t", F.lit(s)) for s in c.DATE_FORMATS.values()])
+    assert not any(df.filter("t = 'note 3'").select(shapes).first()[0])
