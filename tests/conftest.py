@@ -14,7 +14,7 @@ def spark(tmp_path_factory):
         "spark.sql.shuffle.partitions": "4",
         "spark.ui.enabled": "false",
         "spark.driver.memory": "6g",
-        "spark.sql.maxMetadataValueLength": "1000",  # plans name files whole, however long the path of the run is
+        "spark.sql.maxMetadataStringLength": "1000",  # plans name files whole, however long the path of the run is
         "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
     })
     session.sparkContext.setLogLevel("ERROR")
