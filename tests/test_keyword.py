@@ -118,3 +118,50 @@ def test_postings_of_a_bucket_are_dealt_to_several_tasks(spark, monkeypatch):
     postings, lengths = kw.posting_frames(docs)
     sizes = kw.laid_out(postings, lengths).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.max("bucket")).collect()
     assert sum(r.n for r in sizes) == 6000 and max(r.n for r in sizes) < 600
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_term_counts_shuffle_one_row_per_term(spark):
+    rows = [(1, "b a B, a"), (2, None), (None, "a"), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = kw.term_counts(docs)
+    assert plan_of(found).count("Exchange") == 1  # by term
+    assert sorted(map(tuple, found.collect())) == [("a", 3, 2), ("b", 2, 1)]
+
+
+def test_term_counts_of_repeated_ids(spark):
+    rows = [(1, "a b"), (1, "a c"), (1, "a"), (None, "a"), (None, "a x")]
+    found = kw.term_counts(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, found.collect())) == [("a", 5, 2), ("b", 1, 1), ("c", 1, 1), ("x", 1, 1)]
+
+
+def test_lengths_of_null_and_empty_texts(spark):
+    rows = [(1, "b a B, a"), (2, None), (None, "é-x"), (3, "")]
+    _, lengths = kw.posting_frames(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert "regexp" not in plan_of(lengths)
+    assert {tuple(r) for r in lengths.collect()} == {(1, 4), (2, None), (None, 1), (3, 0)}
+
+
+def test_pairs_of_queries_and_documents_are_not_shuffled(spark, index, queries):
+    mean = index.doc_stats.agg(F.avg("dl")).first()[0]
+    weighted = kw.query_terms(queries).join(index.term_stats, "term").withColumn("weight", F.col("qtf") * F.col("idf"))
+    needed = weighted.join(index.blocks, "term").select("query_id", "term", "level", "weight")
+    rest = queries.select("query_id", F.lit(0.0).alias("rest_most"), F.lit(0.0).alias("all_least"), F.lit(0.0).alias("bound"))
+    impact = kw._impact(F.col("tf"), F.col("dl"), mean)
+    sums = kw._able_sums(index.postings, needed, rest, impact, N, 5, block_queries=3, block_docs=100)
+    found = {}
+    for r in sums.collect():
+        found.setdefault(r.query_id, {})[r.doc_id] = r.partial
+    every = {}
+    for r in kw._sums(index.postings, needed, impact).collect():
+        every.setdefault(r.query_id, {})[r.doc_id] = r.partial
+    assert found.keys() == every.keys()
+    for q, of in every.items():
+        kth = sorted(of.values())[-5]
+        assert found[q] == {d: pytest.approx(of[d]) for d in found[q]}
+        assert found[q].keys() >= {d for d, x in of.items() if x >= kth}
+        # of some seven blocks of documents each gives back its best five and what ties with them
+        assert len(of) < 100 or len(found[q]) < len(of) / 3
