@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskspark import schema
-from riskspark.functions.columns import tokens
 from riskspark.operators import retrieval as r
+from riskspark.operators.keyword import term_counts
 from riskspark.plans import etl, sql
 from riskspark.plans.registry import query
 from riskspark.plans.sql import oracle
@@ -36,10 +36,7 @@ def _keyword(spark, sf, k=r.KEYWORD_K):
 SELECT term, count(*) AS n, count(DISTINCT doc_id) AS docs
 FROM (SELECT doc_id, unnest(terms) AS term FROM doc_tokens) GROUP BY term"""))
 def bm25_tokens(spark, sf):
-    rows = fx.documents(spark, sf).select("doc_id", F.explode(tokens(F.col("text"))).alias("term"))
-    # counting per document first keeps a frequent word small before the second count
-    per_doc = rows.groupBy("term", "doc_id").agg(F.count("*").alias("n"))
-    return per_doc.groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
+    return term_counts(fx.documents(spark, sf))
 
 
 @query("bm25_statistics", oracle("SELECT term, df, round(idf, 6) AS idf FROM terms"))
