@@ -17,12 +17,14 @@ CORE = [
 TEXTS = ["supplier_name", "product_type", "demand_forecast", "warehouse_location", "inspection_status"]
 
 
-def enriched(spark: SparkSession, sf: str, extra: list[str] | None = None) -> DataFrame:
+def enriched(spark: SparkSession, sf: str, extra: list[str] | None = None, one_per_code: bool = False) -> DataFrame:
     """Derived fields over the canonical fixture. Joins add no lines and drop none, so the
-    batch statistics are taken from the line table."""
+    batch statistics are taken from the line table. With ``one_per_code``, of the first line of each code."""
     stats = derive.batch_stats(fx.canonical(spark, sf, CORE))
-    base = fx.canonical(spark, sf, CORE + [c for c in extra or [] if c not in CORE])
-    return derive.derive_fields(base, fx.AS_OF, fx.ORDER, stats=stats)[0]
+    wanted = CORE + [c for c in extra or [] if c not in CORE]
+    early = one_per_code and not derive.needs_row_numbers(stats)  # those count all lines
+    found = derive.derive_fields(fx.canonical(spark, sf, wanted, early), fx.AS_OF, fx.ORDER, stats=stats)[0]
+    return first_per_key(found, ["sku"], fx.ORDER) if one_per_code and not early else found
 
 
 _FORMATTED = TEXTS + ["region", "reliability_score", "resolution_status"]
@@ -39,8 +41,8 @@ def _format(df: DataFrame) -> DataFrame:
 
 
 def incident_table(spark: SparkSession, sf: str) -> DataFrame:
-    """The first line of each code is chosen from narrow columns; texts are built after that."""
-    first = first_per_key(enriched(spark, sf, _FORMATTED), ["sku"], fx.ORDER)
+    """The first line of each code is chosen from the line table; fields and texts are made after that."""
+    first = enriched(spark, sf, _FORMATTED, one_per_code=True)
     return incidents.incident_rows(_format(first), fx.ORDER, unique=True)
 
 

@@ -373,3 +373,29 @@ def test_profile_casts_only_what_may_be_a_number(spark):
     assert numbers == {r.position: (int(r.x is not None), r.x) for r in every}
     tried = {r.value for r in values.filter(mapping._may_be_number(F.col("value"))).collect()}
     assert tried.isdisjoint({"Road", "Fail", "2024-01-05", "note 3", "1-2"})
+
+
+def test_first_line_of_a_code_is_chosen_before_the_joins(spark, tmp_path):
+    from riskspark.plans import frames
+    from riskspark.sources import fixtures as fx
+
+    def put(name, rows):
+        spark.createDataFrame(rows, fx.LAYOUTS[name]).write.parquet(str(tmp_path / f"{name}.parquet"))
+
+    day = datetime(2024, 1, 2)
+    line = lambda order, number, price, part=1: (
+        order, part, 1, number, 5.0, price, 0.01, 0.02, "R", "F", day)
+    put("lineitem", [line(1, 1, 30.0), line(1, 1, 20.0), line(1, 1, 20.0), line(1, 2, 10.0), line(2, 1, 10.0),
+                     line(9, 1, 10.0), line(1, 3, 10.0, None), line(1, None, 40.0), line(1, None, 50.0)])
+    put("orders", [(1, 1, "O", 1.0, day, "x"), (1, 1, "O", 1.0, day, "x"), (2, 1, "F", 1.0, day, "x")])
+    put("part", [(1, "p", "b", "t", 3, 2.0)] * 2)
+    put("supplier", [(1, "one", 1, 0.0)] * 2)
+    put("nation", [(1, "N", 1)])
+    put("region", [(1, "R")])
+    found = frames.incident_table(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Window")  # the joins are above
+    rows = {r.incident_code: (r.resolution_status, r.transportation_cost) for r in found.collect()}
+    assert found.count() == 4
+    assert rows == {"INC-1-1-1-1": ("open", 0.4), "INC-1-2-1-1": ("open", 0.2), "INC-2-1-1-1": ("closed", 0.2),
+                    "INC-1-1-1": ("open", 0.8)}
