@@ -34,6 +34,9 @@ def filter_incidents(
     df: DataFrame, severity: str | None = None, category: str | None = None, supplier_ref: str | None = None,
     warehouse: str | None = None, resolution: str | None = None, search: str | None = None,
 ) -> DataFrame:
+    """Incidents that meet all conditions given. The search comes last: its hit is made as a generated
+    column, since a plain condition on texts is moved below the step that makes them, where every mention
+    of a text makes it anew."""
     conditions = []
     if severity:
         conditions.append(F.col("severity") == severity)
@@ -45,10 +48,11 @@ def filter_incidents(
         conditions.append(contains_text(F.col("warehouse_location"), warehouse))
     if resolution:
         conditions.append(F.col("resolution_status") == resolution)
+    found = _and(df, conditions)
     if search:
-        conditions.append(
-            contains_text(F.col("title"), search) | contains_text(F.col("description"), search))
-    return _and(df, conditions)
+        hit = contains_text(F.col("title"), search) | contains_text(F.col("description"), search)
+        found = found.select("*", F.explode(F.array(hit)).alias("_hit")).filter("_hit").drop("_hit")
+    return found
 
 
 def page(df: DataFrame, order: list[Column], skip: int = 0, limit: int = 50) -> DataFrame:

@@ -399,3 +399,15 @@ def test_first_line_of_a_code_is_chosen_before_the_joins(spark, tmp_path):
     assert found.count() == 4
     assert rows == {"INC-1-1-1-1": ("open", 0.4), "INC-1-2-1-1": ("open", 0.2), "INC-2-1-1-1": ("closed", 0.2),
                     "INC-1-1-1": ("open", 0.8)}
+
+
+def test_search_makes_each_text_once(spark):
+    from riskspark.operators import analytics
+
+    rows = spark.createDataFrame([("Early", "x"), ("b", "so EARLY"), ("c", None), (None, "early"), (None, None)], "a string, b string")
+    texts = rows.select(F.initcap("a").alias("title"), F.initcap("b").alias("description"))
+    found = analytics.filter_incidents(texts, search="eaRly")
+    assert found.columns == ["title", "description"]
+    assert sorted(map(str, map(tuple, found.collect()))) == ["('B', 'So Early')", "('Early', 'X')", "(None, 'Early')"]
+    # the condition is not moved below the step that makes the texts, where it would make them again
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("initcap") == 2
