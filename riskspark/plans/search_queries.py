@@ -10,7 +10,7 @@ from riskspark.operators.keyword import term_counts
 from riskspark.plans import etl, sql
 from riskspark.plans.registry import query
 from riskspark.plans.sql import oracle
-from riskspark.session import scratch_exists, scratch_path
+from riskspark.session import landed, scratch_exists, scratch_path
 from riskspark.sources import fixtures as fx
 
 R6 = lambda c: F.round(c, 6).alias(c)
@@ -177,7 +177,8 @@ def retrieve_for_agent(spark, sf):
 def _texts(spark, sf):
     """Ten best keyword matches per query with their whole texts."""
     docs = fx.documents(spark, sf).select("doc_id", "text", F.col("source").alias("incident_category"))
-    return _keyword(spark, sf, 10).join(docs, "doc_id")
+    # written, so that the join with the texts is planned by its size
+    return landed(_keyword(spark, sf, 10), "found").join(docs, "doc_id")
 
 
 def _topic(agent):
