@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from check import compare, duck
 from riskspark.llm import attention, decontamination, queries, scoring, toxicity
-from riskspark.llm.common import table
+from riskspark.llm.common import split_words, table
 
 SF = "/root/testdata/sf0.001"
 
@@ -79,6 +79,51 @@ def test_scores_on_edge_cases(spark):
     assert all(r.score < 0 for r in got)
 
 
+def test_words_of_batches_match_plain_ones():
+    import pyarrow as pa
+    import public_tokenizers
+
+    texts = ["", " a\x0b\x1c b\u00a0C \x85Q\x0c", "\t", "İA the THE thereafter xqz", "the cat\n" * 3, "über-Straße ab abc abcd"]
+    lists = [t.encode().lower().split() for t in texts]
+    words, owner = split_words(pa.array([""] + [t.encode() for t in texts], pa.binary()).slice(1))
+    assert words.to_pylist() == [w for found in lists for w in found]
+    assert owner.tolist() == [i for i, found in enumerate(lists) for _ in found]
+    heads = scoring.Heads(public_tokenizers.path(scoring.MODEL))
+    heads.of(b"a")
+    longest = {w: next((heads.ids[w[:n]] for n in range(min(len(w), scoring.LONGEST_HEAD), 0, -1) if w[:n] in heads.ids), -1)
+               for found in lists for w in (*found, *(f[:-1] for f in found), *(f + b"s" for f in found))}
+    for _ in range(2):  # found, then kept by their beginnings
+        assert {w: heads.of(w) for w in longest} == longest
+    vocabulary = scoring.Vocabulary(heads, [(i, 1, 1) for i in set(longest.values())], len(texts))
+    vocabulary.learn([(b"the", 5), (b"cat", 3)])
+    got = vocabulary.sequences(words, owner, vocabulary.places(words), len(texts))
+    assert [g.tolist() for g in got] == [[vocabulary.id_of[longest[w]] for w in found] + [vocabulary.end] for found in lists]
+
+
+def test_counts_are_merged_and_whole(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(scoring, "_COUNTED_AT_ONCE", 3)
+    batch = pa.RecordBatch.from_arrays([pa.array([b"a b a", b"", b"c d e F f", b"a g"] * 2, pa.binary())], ["text"])
+    counts, rows = Counter(), 0
+    for found in scoring._counted(iter([batch.slice(i, 1) for i in range(8)])):
+        for r in found.to_pylist():
+            counts[r["word"]] += r["n"]
+            rows += 1
+    assert counts == {b"a": 6, b"b": 2, b"c": 2, b"d": 2, b"e": 2, b"f": 4, b"g": 2} and rows < 16
+
+
+def test_steps_write_over_their_arrays():
+    model, rng = attention.Attention(5), np.random.default_rng(4)
+    few, many = rng.integers(0, 5, (2, attention.WINDOW)), rng.integers(0, 5, (7, attention.WINDOW))
+    every = np.ones(many.shape, bool)
+    first = model.log10(many, many, every)
+    room = model._attend(many)["weights"]
+    assert np.shares_memory(room, model._attend(few)["weights"])
+    model.gradients(few, few, every[:2])
+    assert (model.log10(many, many, every) == first).all()
+
+
 def test_scores_of_nothing(spark):
     schema = "doc_id long, text string, held_out boolean"
     assert scoring.scores(spark.createDataFrame([], schema)).count() == 0
