@@ -135,7 +135,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, rows = [], 0
 
     def merged() -> pa.Table:
-        return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
+        return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).select(
+            ["word", "n_sum"]).rename_columns(["word", "n"])
 
     for batch in byte_batches(batches, "text"):
         found = split_words(batch.column(0))[0].value_counts()
@@ -228,7 +229,7 @@ def _scorer(vocabulary: Vocabulary, model: Attention):
             texts, (words, owner) = batch.num_rows, split_words(batch.column(2))
             places = vocabulary.places(words)
             sequences, known = vocabulary.sequences(words, owner, places, texts), places >= 0
-            logs = np.bincount(owner[known], vocabulary.known_logs[places[known]], texts)
+            logs = np.bincount(owner[known], vocabulary.known_logs[places[known]], texts).astype(float)  # of no words: whole numbers
             norms = [float(vocabulary.group_norm[ids].sum()) for ids in sequences]
             # each rare word of a text once
             others = words.filter(pa.array(~known)).dictionary_encode()
