@@ -154,6 +154,27 @@ def test_members_of_one_group_unlike_its_leaders_are_linked(spark):
     assert none.columns == ["a", "b"] and none.isEmpty()
 
 
+def test_groups_cut_into_blocks_keep_their_links_and_give_no_pairs(spark):
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*base[:i], f"x{i}", *base[i + 1:]])) for i in range(0, 60, 2)]  # each like all others
+    rows += [(100 + i, " ".join(base[:12] + [f"y{i}.{j}" for j in range(48)])) for i in range(30)]  # unlike, with a common line
+    docs = frame(spark, rows)
+    keys = F.array(F.lit(7).cast("long"), F.lit(8).cast("long"))
+    sketches = minhash.sketches(docs, "doc_id", "text").withColumn("keys", keys)
+    blocks = minhash._blocks(sketches, 8, 1 << 20)
+    # two bands with the same members are one group, of 8 parts that meet in pairs
+    assert blocks.select("key").distinct().count() == 1
+    assert blocks.count() == 60 * 8 and blocks.groupBy("part").count().agg({"count": "max"}).first()[0] < 60
+    of = {r.fp: r.id for r in sketches.collect()}
+    for group in (8, 1000):
+        edges = [(of[e.a], of[e.b]) for e in minhash.similar_links(sketches, docs, group=group).collect()]
+        assert all(a < 100 and b < 100 for a, b in edges)
+        found = spark.createDataFrame(edges, "a long, b long")
+        assert {r.component for r in parts.components(found).collect()} == {0}
+        # no more links than join the members of each block
+        assert len(edges) <= (30 * 8 if group == 8 else 29)
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     assert exact_dedup.exact_groups(none).count() == simhash.near_groups(none).count() == 0
