@@ -411,3 +411,30 @@ def test_search_makes_each_text_once(spark):
     assert sorted(map(str, map(tuple, found.collect()))) == ["('B', 'So Early')", "('Early', 'X')", "(None, 'Early')"]
     # the condition is not moved below the step that makes the texts, where it would make them again
     assert found._jdf.queryExecution().optimizedPlan().toString().count("initcap") == 2
+
+
+def test_large_files_are_not_dealt_out_before_the_joins(spark, tmp_path):
+    from riskspark.sources import fixtures as fx
+
+    spark.range(40_000).repartitionByRange(1, "id").write.parquet(str(tmp_path / "one"))
+    rows = lambda: spark.read.parquet(str(tmp_path / "one"))
+    assert len(rows().inputFiles()) == 1
+    before = {key: spark.conf.get(key, None) for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    plan = lambda: fx.spread(rows())._jdf.queryExecution().toString()
+    assert "Repartition" in plan()
+    try:
+        # as for a file of many blocks
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        assert "Repartition" not in plan()
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_lines_are_not_shuffled_to_small_suppliers(spark):
+    from riskspark.sources import fixtures as fx
+
+    df = fx.canonical(spark, "/root/testdata/sf0.01", ["sku", "supplier_name", "warehouse_location", "region"])
+    assert "SortMergeJoin" not in df._jdf.queryExecution().executedPlan().toString()
+    assert df.count() == 60_000
