@@ -13,7 +13,7 @@ from riskspark.operators.ordering import number_rows
 from riskspark.plans import etl, frames, sql
 from riskspark.plans.registry import query
 from riskspark.plans.sql import oracle
-from riskspark.session import scratch_path
+from riskspark.session import landed, scratch_path
 from riskspark.sources import files, store
 from riskspark.sources import fixtures as fx
 
@@ -138,11 +138,12 @@ SELECT chunk_type, count(*) AS n, CAST(sum(chars) AS BIGINT) AS chars FROM (
   UNION ALL SELECT 'supplier_summary', length(name) + length(region) FROM supplier_stats) GROUP BY chunk_type"""))
 def io_document_store(spark, sf):
     df = frames.formatted(spark, sf)
-    s = documents.supplier_stats(df, fx.ORDER)
+    # one row per supplier, written first: its shuffles are gone when the texts are made
+    s = landed(documents.supplier_stats(df, fx.ORDER), "supplier_stats")
     rows = df.select(F.concat("Title", "Description").alias("text"), F.lit("record").alias("chunk_type")).unionByName(
         s.select(F.concat("name", "region").alias("text"), F.lit("supplier_summary").alias("chunk_type")))
     home = store.Store(spark, scratch_path(spark, "store"))
-    chunks, load = home.table("chunks", partition_by=("chunk_type",)), home.begin()
+    chunks, load = home.table("chunks", partition_by=("chunk_type",), writer=store.DENSE), home.begin()
     load.write(chunks, rows)
     load.finish()
     return chunks.read().groupBy("chunk_type").agg(
